@@ -24,7 +24,8 @@ def boilerplate_lines(hashed: DataFrame, min_sites: int) -> DataFrame:
     spread = spread.where(F.col("about") >= int(min_sites * (1 - BAND)) - 1)
     sure = spread.where(F.col("about") > min_sites * (1 + BAND) + 1).select("h")
     near = spread.where(F.col("about") <= min_sites * (1 + BAND) + 1).select("h")
-    exact = hashed.join(near, "h").select("h", "site").distinct().groupBy("h").agg(F.count("site").alias("n")).where(F.col("n") >= min_sites).select("h")
+    # one row per line and site meets the near lines, however often the line stands on a site
+    exact = hashed.distinct().join(near, "h").groupBy("h").agg(F.count("site").alias("n")).where(F.col("n") >= min_sites).select("h")
     return sure.union(exact)
 
 

@@ -18,12 +18,38 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.vectors import near_duplicates
+
+    return near_duplicates(spark, table(spark, sf_dir, "embeddings"), 0.93)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.quality import classify
+
+    return classify(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.ann import search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(spark, vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helixframe.llm.warc import round_trip
 
     return round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.mixing import mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return mix(spark, docs).drop("text")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helixframe.llm.linededup import remove_boilerplate
 
@@ -38,6 +64,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 OP4_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
@@ -59,7 +91,7 @@ SELECT doc_id, n_lines, n_removed, CAST(length(kept) AS BIGINT) AS n_kept, sha25
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op4_warc, op6_line_dedup, op7_packing]
+    own = [op1_embedding_dedup, op2_quality, op3_nearest, op4_warc, op5_mixing, op6_line_dedup, op7_packing, op8_licenses]
     return {f.__name__: f for f in own}
 
 
