@@ -26,12 +26,17 @@ TRAIN_ROWS = 4000
 #: Posteriors between these are not trained on.
 UNSURE = (0.2, 0.8)
 TRIGRAM_SCALE = 40.0
+#: Trigrams of no weight that are added to each text, so that a few words decide little.
+CALM = 40
 SEED = 99
 
 LABELLERS = ("symbols", "capitals", "repetition", "sentences", "lists", "word_length", "letters")
 ABSTAIN, BAD, GOOD = 0, 1, 2
 #: Before any data: the shares of bad and good votes that a labeller casts on bad, then on good documents.
-PRIOR = np.array([[0.4, 0.6], [0.002, 0.998]])
+PRIOR = np.array([[0.2, 0.8], [0.0005, 0.9995]])
+#: Documents that the prior of each class is worth, as shares of the corpus.  Junk comes in kinds that one
+#: labeller each sees, so what is known firmly is that a labeller hardly ever calls a good document bad.
+PRIOR_SHARES = (0.1, 20.0)
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#%&$*+<=>@\\^_`{|}~!"]] = True
@@ -112,25 +117,24 @@ class LabelModel:
         return prior[0] * p[0, :, BAD] + prior[1] * p[1, :, GOOD]
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, turns: int = 100, prior_share: float = 0.1) -> LabelModel:
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, turns: int = 100, prior_shares: tuple[float, float] = PRIOR_SHARES) -> LabelModel:
     """Fit to a table of vote patterns.
 
     It starts with every document that any labeller calls bad as probably bad.
     Abstentions are missing votes: they leave the likelihood as it is, so short
     texts, on which most labellers abstain, don't become a class of their own.
-    A prior worth ``prior_share`` of the documents says what PRIOR does; it keeps
-    the two classes from trading places or settling on some other split.
+    PRIOR keeps the two classes from trading places or settling on another split.
     """
     n = patterns.shape[1]
     good = np.where((patterns == BAD).any(1), 0.1, 0.95)
-    model, strength = None, prior_share * counts.sum() + 1
+    model, strength = None, np.array(prior_shares) * counts.sum() + 1
     for _ in range(turns):
         log, prior = np.zeros((2, n, 3)), np.zeros(2)
         for y, q in enumerate((1 - good, good)):
             weight = q * counts
             prior[y] = weight.sum() + 1
             for k in range(n):
-                c = np.bincount(patterns[:, k], weight, 3)[[BAD, GOOD]] + strength * PRIOR[y]
+                c = np.bincount(patterns[:, k], weight, 3)[[BAD, GOOD]] + strength[y] * PRIOR[y]
                 log[y, k, [BAD, GOOD]] = np.log(c / c.sum())
         model = LabelModel(log, np.log(prior / prior.sum()))
         new = model.posterior(patterns)
@@ -163,7 +167,7 @@ def scores(w: np.ndarray, bias: float, offsets: np.ndarray, data: np.ndarray, m:
     total = np.concatenate([[0.0], np.cumsum(np.where(inside, w[bucket], 0.0))])
     lo = np.minimum(offsets[:-1], len(bucket))
     hi = np.minimum(lo + own, len(bucket))
-    mean = (total[hi] - total[lo]) / np.maximum(own, 1)
+    mean = (total[hi] - total[lo]) / (own + CALM)
     z = bias + TRIGRAM_SCALE * mean + w[flags].sum(1)
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
@@ -238,7 +242,7 @@ def fit(spark: SparkSession, docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Q
                     grams = bucket[lo : lo + own[i]]
                     at, c = np.unique(grams, return_counts=True)
                     at = np.concatenate([at, flags[i]]).astype("<i2")
-                    c = np.concatenate([c * (TRIGRAM_SCALE / max(own[i], 1)), np.ones(flags.shape[1])]).astype("<f4")
+                    c = np.concatenate([c * (TRIGRAM_SCALE / (own[i] + CALM)), np.ones(flags.shape[1])]).astype("<f4")
                     out.append((at.tobytes(), c.tobytes(), float(q[i])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["at", "value", "label"])
