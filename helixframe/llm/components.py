@@ -18,6 +18,29 @@ from helixframe.llm.scratch import Scratch
 FOREST_BLOCK = 1_000_000
 
 
+def runs(batches, most: int):
+    """Whole runs of equal first columns from a sorted partition, about ``most`` rows or one run at a time."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def out(table, last):
+        key = table.column(0).to_numpy()
+        cut = len(key) if last else int(np.searchsorted(key, key[-1], "left"))
+        return table.slice(0, cut), table.slice(cut)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= most:
+                done, rest = out(pa.Table.from_batches(held), False)
+                if done.num_rows:
+                    yield done
+                held, size = rest.to_batches(), rest.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def label_min(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(vertex, smallest vertex it reaches) for links a-b."""
     ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)

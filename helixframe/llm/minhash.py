@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm.components import components, label_min
+from helixframe.llm.components import runs as _runs
 from helixframe.llm.scratch import Scratch
 from helixframe.llm.textkernels import BY_SPACE, U64, mix, shingle_hashes, word_blocks
 
@@ -167,29 +168,6 @@ def branch(nodes: DataFrame, threshold: float) -> DataFrame:
     return nodes.select("key", "id", "signature").mapInArrow(run, NODES)
 
 
-def _runs(batches, most: int):
-    """Whole runs of equal first columns from a sorted partition, about ``most`` rows or one run at a time."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-
-    def out(table, last):
-        key = table.column(0).to_numpy()
-        cut = len(key) if last else int(np.searchsorted(key, key[-1], "left"))
-        return table.slice(0, cut), table.slice(cut)
-
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= most:
-                done, rest = out(pa.Table.from_batches(held), False)
-                if done.num_rows:
-                    yield done
-                held, size = rest.to_batches(), rest.num_rows
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _bar(threshold: float) -> int:
     """Equal sketch places from which a pair is a candidate."""
     return max(1, math.floor(SHOWN * (threshold - ERRORS * math.sqrt(threshold * (1 - threshold) / SHOWN))))

@@ -76,6 +76,12 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"), 85)
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.repeats import remove_repeats
+
+    return remove_repeats(spark, table(spark, sf_dir, "documents"), 100)
+
+
 OP4_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
@@ -97,7 +103,7 @@ SELECT doc_id, n_lines, n_removed, CAST(length(kept) AS BIGINT) AS n_kept, sha25
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_embedding_dedup, op2_quality, op3_nearest, op4_warc, op5_mixing, op6_line_dedup, op7_packing, op8_licenses, op9_minhash]
+    own = [op1_embedding_dedup, op2_quality, op3_nearest, op4_warc, op5_mixing, op6_line_dedup, op7_packing, op8_licenses, op9_minhash, op10_suffix_array]
     return {f.__name__: f for f in own}
 
 
