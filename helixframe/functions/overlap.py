@@ -18,9 +18,8 @@ def aligned_length() -> Column:
     return F.expr("(a_end - a_start + b_end - b_start) div 2")
 
 
-def _near(value: Column, target: Column, tolerance) -> Column:
-    """-1, 0 or 1: below, within or above the tolerance around the target."""
-    return F.when(value < target - tolerance, -1).when(value > target + tolerance, 1).otherwise(0)
+def _hangs() -> tuple[Column, Column, Column, Column]:
+    return F.col("a_start"), F.col("a_len") - F.col("a_end"), F.col("b_start"), F.col("b_len") - F.col("b_end")
 
 
 def location(tolerance=0) -> Column:
@@ -30,19 +29,21 @@ def location(tolerance=0) -> Column:
     on the relative strand.  Whole-read cases need both ends of one read.
     """
     t = F.lit(tolerance)
-    a0, a1 = _near(F.col("a_start"), F.lit(0), t), _near(F.col("a_end"), F.col("a_len"), t)
-    b0, b1 = _near(F.col("b_start"), F.lit(0), t), _near(F.col("b_end"), F.col("b_len"), t)
-    a_whole, b_whole = (a0 == 0) & (a1 == 0), (b0 == 0) & (b1 == 0)
-    a_inner, b_inner = (a0 >= 0) & (a1 <= 0), (b0 >= 0) & (b1 <= 0)
-    a_head, a_tail = (a0 == 0) & (a1 < 0), (a0 > 0) & (a1 == 0)  # which part of the read is aligned
-    b_head, b_tail = (b0 == 0) & (b1 < 0), (b0 > 0) & (b1 == 0)
+    a0, a1, b0, b1 = _hangs()
+    # ends that are met, that leave bases over, or at least don't reach past the read
+    met = {k: (v >= -t) & (v <= t) for k, v in (("a0", a0), ("a1", a1), ("b0", b0), ("b1", b1))}
+    free = {k: v > t for k, v in (("a0", a0), ("a1", a1), ("b0", b0), ("b1", b1))}
+    within = {r: (x >= -t) & (y >= -t) for r, x, y in (("a", a0, a1), ("b", b0, b1))}
+    a_whole, b_whole = met["a0"] & met["a1"], met["b0"] & met["b1"]
+    a_head, a_tail = met["a0"] & free["a1"], free["a0"] & met["a1"]  # which part of the read is aligned
+    b_head, b_tail = met["b0"] & free["b1"], free["b0"] & met["b1"]
     same = same_strand()
     return (
-        F.when(F.when(same, a_tail & b_head).otherwise(a_head & b_head), "Left")
-        .when(F.when(same, a_head & b_tail).otherwise(a_tail & b_tail), "Right")
+        F.when(b_head & F.when(same, a_tail).otherwise(a_head), "Left")
+        .when(b_tail & F.when(same, a_head).otherwise(a_tail), "Right")
         .when(a_whole & b_whole, "Equal")
-        .when(a_inner & b_whole, "Containing")
-        .when(a_whole & b_inner, "Contained")
+        .when(b_whole & within["a"], "Containing")
+        .when(a_whole & within["b"], "Contained")
         .otherwise("Abnormal")
     )
 
@@ -60,10 +61,6 @@ def location_from(read: Column, tolerance=0) -> Column:
     return F.when(read == F.col("a_id"), loc).otherwise(mirrored)
 
 
-def _hangs() -> tuple[Column, Column, Column, Column]:
-    return F.col("a_start"), F.col("a_len") - F.col("a_end"), F.col("b_start"), F.col("b_len") - F.col("b_end")
-
-
 def _shapes() -> list[tuple[Column, Column, Column, int, int]]:
     """(size, a's hang, b's hang, a's end mask, b's end mask) of the four ways two reads can overlap, in order of preference."""
     a0, a1, b0, b1 = _hangs()

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.functions.overlap import location, location_from, same_strand
+from helixframe.functions.overlap import location_from, same_strand
 from helixframe.operators import intervals as I  # noqa: E741
 from helixframe.operators import overlaps as O  # noqa: E741
 from helixframe.operators import statistics as S
+from helixframe.plans.store import Store
 
 
 def per_read_intervals(overlaps: DataFrame) -> DataFrame:
@@ -23,33 +24,41 @@ def read_coverage(overlaps: DataFrame, pad: int = 0) -> DataFrame:
 
 def contained_reads(overlaps: DataFrame) -> DataFrame:
     """read_id and the smallest id that contains it; of equal reads the larger id is contained."""
-    loc = location(0)
+    loc = F.col("__loc")
     inner = F.when(loc == "Contained", F.col("a_id")).when(loc == "Containing", F.col("b_id")).when(loc == "Equal", F.greatest("a_id", "b_id"))
     outer = F.when(loc == "Contained", F.col("b_id")).when(loc == "Containing", F.col("a_id")).when(loc == "Equal", F.least("a_id", "b_id"))
-    rows = overlaps.select(inner.alias("read_id"), outer.alias("container")).where(F.col("read_id").isNotNull() & (F.col("read_id") != F.col("container")))
+    rows = O.with_location(overlaps, 0, "__loc").select(inner.alias("read_id"), outer.alias("container")).where(F.col("read_id").isNotNull() & (F.col("read_id") != F.col("container")))
     return rows.groupBy("read_id").agg(F.min("container").alias("container"))
 
 
-def _needs() -> Column:
-    """Array of (read, other, end, exceeding) checks that an overlap must pass, by location and strand."""
-    a, b = F.col("a_id"), F.col("b_id")
-    hang = lambda r, e: (F.col(f"{r}_start") if e == 0 else F.col(f"{r}_len") - F.col(f"{r}_end")) > 2000
-    no = F.lit(False)
-    need = lambda x, y, end, far: F.struct(x.alias("x"), y.alias("y"), F.lit(end).alias("end"), far.alias("far"))
-    same, loc = same_strand(), location(0)
-    equal = F.array(need(a, b, 0, no), need(a, b, 1, no), need(b, a, 0, no), need(b, a, 1, no))
-    return (
-        F.when((loc == "Left") & same, F.array(need(a, b, 1, hang("b", 1)), need(b, a, 0, hang("a", 0))))
-        .when((loc == "Right") & same, F.array(need(a, b, 0, hang("b", 0)), need(b, a, 1, hang("a", 1))))
-        .when((loc == "Containing") & same, F.array(need(b, a, 0, hang("a", 0)), need(b, a, 1, hang("a", 1))))
-        .when((loc == "Contained") & same, F.array(need(a, b, 0, hang("b", 0)), need(a, b, 1, hang("b", 1))))
-        .when(loc == "Left", F.array(need(a, b, 0, hang("b", 1)), need(b, a, 0, hang("a", 1))))
-        .when(loc == "Right", F.array(need(a, b, 1, hang("b", 0)), need(b, a, 1, hang("a", 0))))
-        .when(loc == "Containing", F.array(need(b, a, 0, hang("a", 1)), need(b, a, 1, hang("a", 0))))
-        .when(loc == "Contained", F.array(need(a, b, 0, hang("b", 1)), need(a, b, 1, hang("b", 0))))
-        .when(loc == "Equal", equal)
-        .otherwise(F.array(need(a, b, 0, no), need(a, b, 1, no)))
-    )
+def _needs(loc: Column) -> Column:
+    """Array of (x is a, end, exceeding) checks that an overlap must pass, by location and strand.
+
+    A location names the ends at which a, and at which b, must meet the other's
+    neighbours; ``far`` asks for neighbours beyond the other read's long free end.
+    """
+    far = {(r, e): (F.col(f"{r}_start") if e == 0 else F.col(f"{r}_len") - F.col(f"{r}_end")) > 2000 for r in "ab" for e in (0, 1)}
+    same = same_strand()
+
+    def need(read: str, end: int, other_end: Column | None) -> Column:
+        return F.struct(F.lit(read == "a").alias("of_a"), F.lit(end).alias("end"), (F.lit(False) if other_end is None else other_end).alias("far"))
+
+    def across(read: str, end: int) -> Column:
+        """Beyond the other read: its same end on one strand, its other end on opposite strands."""
+        other = "b" if read == "a" else "a"
+        return need(read, end, F.when(same, far[other, end]).otherwise(far[other, 1 - end]))
+
+    none = F.lit(None).cast("struct<of_a:boolean,end:int,far:boolean>")
+    pick = lambda *cases: F.coalesce(*[F.when(c, v) for c, v in cases], none)
+    left, right, whole_b, whole_a, equal = (loc == x for x in ("Left", "Right", "Containing", "Contained", "Equal"))
+    plain = (loc == "Abnormal")
+    slots = [
+        pick((equal | plain, need("a", 0, None)), ((right & same) | whole_a | (left & ~same), across("a", 0))),
+        pick((equal | plain, need("a", 1, None)), ((left & same) | whole_a | (right & ~same), across("a", 1))),
+        pick((equal, need("b", 0, None)), (left | whole_b, across("b", 0))),
+        pick((equal, need("b", 1, None)), (right | whole_b, across("b", 1))),
+    ]
+    return F.array_compact(F.array(*slots))
 
 
 def neighbours(overlaps: DataFrame, max_overhang: int) -> DataFrame:
@@ -76,7 +85,9 @@ def lacking_support(overlaps: DataFrame, least: int, max_overhang: int = 500) ->
     and then on (other, read), so repeats spread by both ids.
     """
     near = neighbours(overlaps, max_overhang)
-    rows = overlaps.select("a_id", "b_id", F.explode(_needs()).alias("n")).select("a_id", "b_id", "n.*")
+    placed = O.with_location(overlaps, 0, "__loc")
+    rows = placed.select("a_id", "b_id", F.explode(_needs(F.col("__loc"))).alias("n")).select("a_id", "b_id", "n.*")
+    rows = rows.select("a_id", "b_id", F.when(F.col("of_a"), F.col("a_id")).otherwise(F.col("b_id")).alias("x"), F.when(F.col("of_a"), F.col("b_id")).otherwise(F.col("a_id")).alias("y"), "end", "far")
     ok = F.when(F.col("end") == 0, F.when(F.col("far"), F.col("far0")).otherwise(F.col("near0"))).otherwise(F.when(F.col("far"), F.col("far1")).otherwise(F.col("near1")))
     met = rows.join(near.withColumnRenamed("read", "x"), "x").where(ok & (F.col("other") != F.col("y"))).select("a_id", "b_id", "x", "y", "end", "other")
     met = met.join(near.select(F.col("read").alias("y"), "other"), ["y", "other"]).groupBy("a_id", "b_id", "x", "end").agg(F.count("*").alias("n"))
@@ -100,26 +111,26 @@ def coverage_trough(cov: DataFrame, column: str = "min_coverage") -> int:
 REASONS = ("Simple", "Duplicate", "Local", "FilteredRead", "LackOfSupport", "BestN")
 
 
-def reasons(overlaps: DataFrame, min_identity=90.0, max_overhang=200, min_length=2500, min_aligned=500, min_coverage=1, support=1, best_n=10) -> DataFrame:
+def reasons(spark: SparkSession, overlaps: DataFrame, min_identity=90.0, max_overhang=200, min_length=2500, min_aligned=500, min_coverage=1, support=1, best_n=10) -> DataFrame:
     """All overlaps with ``reason``: null if kept, else the first step that drops it.
 
     Steps: simple limits; the longest of each pair; ends snapped; reads whose
     least coverage is too low, or that another read contains, with their
     overlaps; support at both ends; the best of each read end.
     """
-    simple = O.simple_filter(overlaps, min_identity, min_length, min_aligned=min_aligned, max_overhang=max_overhang).distinct()
-    one = O.dedupe_pairs(simple)
-    snapped = O.snap_ends(one, max_overhang)
+    store = Store(spark, "filter")  # a pass between steps is written once, as several later ones read it
+    simple = store.keep(O.simple_filter(overlaps, min_identity, min_length, min_aligned=min_aligned, max_overhang=max_overhang).distinct(), "simple")
+    one = store.keep(O.dedupe_pairs(simple), "one")
+    snapped = store.keep(O.snap_ends(one, max_overhang), "snapped")
     low = read_coverage(snapped).where(F.col("min_coverage") < min_coverage).select("read_id")
     inner = contained_reads(snapped).select("read_id")
     out_reads = low.union(inner).distinct()
-    left = O.drop_reads(snapped, out_reads)
+    left = store.keep(O.drop_reads(snapped, out_reads), "left")
     weak = lacking_support(left, support, max_overhang)
-    held = left.join(weak, ["a_id", "b_id"], "left_anti").select(*overlaps.columns)
-    best = O.best_n_per_end(held, best_n)
+    held = store.keep(left.join(weak, ["a_id", "b_id"], "left_anti").select(*overlaps.columns), "held")
+    best = store.keep(O.best_n_per_end(held, best_n), "best")
     pair = ["a_id", "b_id"]
     flag = lambda d, name: d.select(*pair).distinct().withColumn(name, F.lit(True))
-    rows = overlaps.withColumn("__simple", F.lit(True))
     key = list(overlaps.columns)
     rows = overlaps.join(simple.withColumn("__s", F.lit(True)), key, "left").join(one.withColumn("__o", F.lit(True)), key, "left")
     rows = rows.join(flag(left, "__l"), pair, "left").join(flag(held, "__h"), pair, "left").join(flag(best, "__b"), pair, "left")

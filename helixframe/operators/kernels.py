@@ -21,7 +21,7 @@ def chain_best(seeds: DataFrame, lengths: DataFrame | None = None, k: int = 15,
     both lengths.
     """
 
-    def best(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def best(key, pdf):
         q, s = pdf.qoff.to_numpy(), pdf.soff.to_numpy()
         rows = []
         for score, path in K.chain(q, s, k, max_gap, band, least, least_seeds)[:chains]:
@@ -90,7 +90,7 @@ def correct(candidates: DataFrame, reads: DataFrame, min_coverage: int = 4, max_
     rank = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("score"), "qid", "qdir", "qbeg", "sbeg"))
     top = with_sequences(candidates.withColumn("rank", rank).where(F.col("rank") <= EXAMINED), reads)
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key, pdf):
         pdf = pdf.sort_values("rank")
         template = pdf.s_seq.iloc[0]
         depth = np.zeros(len(template) + 1, np.int64)
@@ -158,7 +158,7 @@ def polish(mappings: DataFrame, contigs: DataFrame, reads: DataFrame, segment: i
     best = F.row_number().over(Window.partitionBy("sid", "part").orderBy((F.col("send") - F.col("sbeg")).desc(), "qid", "qdir", "sbeg"))
     hits = hits.withColumn("rank", best).where(F.col("rank") <= EXAMINED).select("sid", "part", "rank", "qbeg", "qend", "sbeg", "send", "q_seq")
 
-    def one(key, seg: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key, seg, rows):
         if seg.empty:
             return pd.DataFrame(columns=["sid", "part", "seq"])
         text, lo = seg.s_seq.iloc[0], int(seg.lo.iloc[0])

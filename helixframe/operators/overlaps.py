@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.overlap import aligned_length, location, location_from, overhang_masks, same_strand
+from helixframe.functions.overlap import aligned_length, location, overhang_masks, same_strand
 from helixframe.schema import OVERLAP_COLUMNS
 
 #: What breaks ties of aligned length, so that no ranking depends on arrival.
@@ -16,6 +16,11 @@ def longer_first() -> list:
     return [aligned_length().desc(), *[F.col(c).asc() for c in _TIES]]
 
 
+def with_location(overlaps: DataFrame, tolerance: int = 0, name: str = "loc") -> DataFrame:
+    """The location as a generated column: whatever reads it several times doesn't work it out again."""
+    return overlaps.select("*", F.inline(F.array(F.struct(location(tolerance).alias(name)))))
+
+
 def swap_roles(overlaps: DataFrame) -> DataFrame:
     """Read a becomes b and b becomes a."""
     turned = {"a": "b", "b": "a"}
@@ -88,7 +93,7 @@ def snap_ends(overlaps: DataFrame, tolerance: int) -> DataFrame:
         moved = lambda r, e, by: c[f"{r}_{e}"] - by if e == "start" else c[f"{r}_{e}"] + by
         near_a, near_b = gap("a", a) <= t, gap("b", b) <= t
         new_a = F.when(near_a, limit("a", a)).when(near_b, moved("a", a, gap("b", b))).otherwise(c[f"a_{a}"])
-        new_b = F.when(near_b, F.when(near_a, limit("b", b)).otherwise(limit("b", b))).when(near_a, moved("b", b, gap("a", a))).otherwise(c[f"b_{b}"])
+        new_b = F.when(near_b, limit("b", b)).when(near_a, moved("b", b, gap("a", a))).otherwise(c[f"b_{b}"])
         return new_a, new_b
 
     # same strand: starts meet starts; opposite strands: a's start meets b's end
@@ -97,7 +102,11 @@ def snap_ends(overlaps: DataFrame, tolerance: int) -> DataFrame:
     o_as, o_be = pair("start", "end")
     o_ae, o_bs = pair("end", "start")
     new = {"a_start": (s_as, o_as), "a_end": (s_ae, o_ae), "b_start": (s_bs, o_bs), "b_end": (s_be, o_be)}
-    return overlaps.withColumns({k: F.when(act, F.when(same, s).otherwise(o)).otherwise(c[k]) for k, (s, o) in new.items()})
+    # one generated row: later filters on the new ends stay behind it, instead of being
+    # rewritten over these expressions again and again
+    ends = F.struct(*[F.when(act, F.when(same, s).otherwise(o)).otherwise(c[k]).alias(k) for k, (s, o) in new.items()])
+    rest = [k for k in overlaps.columns if k not in new]
+    return overlaps.select(*rest, F.inline(F.array(ends))).select(*overlaps.columns)
 
 
 def dedupe_pairs(overlaps: DataFrame) -> DataFrame:
@@ -108,10 +117,12 @@ def dedupe_pairs(overlaps: DataFrame) -> DataFrame:
 
 def best_n_per_end(overlaps: DataFrame, n: int = 10) -> DataFrame:
     """Dovetails that are among the ``n`` longest at an end of at least one of their reads."""
-    rows = overlaps.where(location(0).isin("Left", "Right"))
+    rows = with_location(overlaps, 0, "__loc").where(F.col("__loc").isin("Left", "Right"))
     keep = []
     for r in ("a_id", "b_id"):
-        keep.append(rows.select("*", F.col(r).alias("__read"), location_from(F.col(r)).alias("__end")))
+        turned = (F.col(r) != F.col("a_id")) & same_strand()
+        end = F.when(turned, F.when(F.col("__loc") == "Left", "Right").otherwise("Left")).otherwise(F.col("__loc"))
+        keep.append(rows.select("*", F.col(r).alias("__read"), end.alias("__end")).drop("__loc"))
     w = Window.partitionBy("__read", "__end").orderBy(*longer_first())
     kept = keep[0].unionByName(keep[1]).withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= n)
     return kept.drop("__read", "__end", "__rank").distinct()

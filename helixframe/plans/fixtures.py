@@ -42,7 +42,9 @@ def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = t.withColumn("b_start", b_start)
     b_end = F.when(k.isin(0, 1), F.expr("b_start + span")).when(k == 3, F.expr("b_len - oh")).otherwise(F.expr("least(b_len, b_start + a_end - a_start)"))
     t = t.withColumns({"b_end": b_end, "a_strand": F.lit(0).cast("long")})
-    return t.select("a_id", "b_id", "identity", "a_strand", "a_start", "a_end", "a_len", "b_strand", "b_start", "b_end", "b_len")
+    names = ["a_id", "b_id", "identity", "a_strand", "a_start", "a_end", "a_len", "b_strand", "b_start", "b_end", "b_len"]
+    # generated rows, so that what reads them isn't rewritten over the expressions above
+    return t.select(F.inline(F.array(F.struct(*names))))
 
 
 READS_SQL = f"""SELECT doc_id AS read_id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{_LETTERS}', '{_BASES}') AS seq FROM documents"""
