@@ -29,9 +29,9 @@ GRAM = 24
 #: Bytes of a document that are scanned at once; longer documents are scanned in overlapping pieces.
 PIECE = 4_000_000
 #: Bytes of a shard that are sorted together, about; a longer group of one anchor is a shard of its own.
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 2_000_000
 #: Tuples that a sort's queues hold in memory before they go to disk.
-QUEUE_TUPLES = 24_000_000
+QUEUE_TUPLES = 8_000_000
 _PLACE_BITS = U64(24)
 
 
