@@ -41,13 +41,13 @@ def remove_boilerplate(spark: SparkSession, docs: DataFrame, min_sites: int = 10
     """
     scratch = Scratch(spark, "linededup")
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    hashed = docs.select(F.col("doc_id").alias("id"), F.col(site).alias("site"), F.explode(lines).alias("line"))
-    hashed = scratch.keep(hashed.where(F.trim("line") != "").select("id", "site", F.xxhash64("line").alias("h")), "lines")
+    hashed = docs.select(F.col("doc_id").alias("__id"), F.col(site).alias("site"), F.explode(lines).alias("line"))
+    hashed = scratch.keep(hashed.where(F.trim("line") != "").select("__id", "site", F.xxhash64("line").alias("h")), "lines")
     flagged = scratch.keep(boilerplate_lines(hashed.select("h", F.col("site").cast("string").alias("site")), min_sites), "flagged")
-    bad = hashed.join(flagged, "h").groupBy("id").agg(F.collect_set("h").alias("__bad"))
+    bad = hashed.join(flagged, "h").groupBy("__id").agg(F.collect_set("h").alias("__bad"))
     kept = F.filter(lines, lambda x: ~(F.array_contains(F.col("__bad"), F.xxhash64(x)) & (F.trim(x) != "")))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    out = docs.select(*names).join(bad, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    out = docs.select(*names).join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     out = out.withColumn("__kept", F.when(F.col("__bad").isNotNull(), kept))
     text = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
     new = {"text": text, "n_lines": F.size(lines).cast("long"), "n_removed": F.when(F.col("__kept").isNull(), 0).otherwise(F.size(lines) - F.size("__kept")).cast("long")}

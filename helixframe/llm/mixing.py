@@ -17,6 +17,8 @@ from helixframe.llm.scratch import Scratch
 DRIVER_CELLS = 100_000
 MARGINS = ("source", "lang", "topic")
 SALT = 20240611
+#: Raking turns, alike for both forms.
+TURNS = 20
 
 
 def topic_of(text: Column) -> Column:
@@ -39,7 +41,7 @@ def tempered(shares: dict, power: float) -> dict:
     return {k: v / s for k, v in total.items()}
 
 
-def rake(tokens: np.ndarray, groups: list[np.ndarray], targets: list[np.ndarray], budget: float, turns: int = 100, tolerance: float = 1e-9) -> np.ndarray:
+def rake(tokens: np.ndarray, groups: list[np.ndarray], targets: list[np.ndarray], budget: float, turns: int = TURNS, tolerance: float = 1e-9) -> np.ndarray:
     """Cell weights, at most ``tokens`` each, whose marginal sums approach ``budget * targets``.
 
     A turn scales each marginal's cells to its target and then caps cells at
@@ -56,7 +58,7 @@ def rake(tokens: np.ndarray, groups: list[np.ndarray], targets: list[np.ndarray]
     return w
 
 
-def rake_table(cells: DataFrame, targets: dict[str, DataFrame], budget: float, scratch: Scratch, turns: int = 20) -> DataFrame:
+def rake_table(cells: DataFrame, targets: dict[str, DataFrame], budget: float, scratch: Scratch, turns: int = TURNS) -> DataFrame:
     """``rake`` for more cells than the driver should hold: one grouping and join per marginal."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     w = cells.withColumn("w", F.col("tokens") * F.lit(min(1.0, budget / max(total, 1e-300))))
