@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixframe.llm.components import runs as _runs
 from helixframe.llm.hnsw import Graph
 from helixframe.llm.scratch import Scratch
 from helixframe.llm.vectors import matrix, usable
@@ -145,14 +146,53 @@ def _search(spark: SparkSession, base: DataFrame, queries: DataFrame, k: int, di
     asked = queries.mapInArrow(_exploder(shared, most, ratio), "list int, id long, embedding array<double>")
     asked = asked.join(F.broadcast(sizes), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
-    def meet(q: pa.Table, p: pa.Table) -> pa.Table:
-        if not q.num_rows or not p.num_rows:
-            return _HITS.empty_table()
-        got = _nearest(q.column("id").to_numpy(), matrix(q.column("embedding")), p.column("id").to_numpy(), matrix(p.column("embedding")), k)
-        return pa.table(dict(zip(_HITS.names, got, strict=True)), schema=_HITS)
+    # postings and the queries that open them meet in one sorted pass over each list
+    key = (F.col("list").cast("long") * (1 << 31) + F.col("part")).alias("key")
+    rows = posted.select(key, F.lit(False).alias("asks"), "id", "embedding").union(asked.select(key, F.lit(True).alias("asks"), "id", "embedding"))
+    return _ranked(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_meeter(k), HITS), k)
 
-    hits = asked.groupBy("list", "part").cogroup(posted.groupBy("list", "part")).applyInArrow(meet, HITS)
-    return _ranked(hits, k)
+
+#: Hits that a task holds before it cuts them to the best k of each query, and before it passes them on.
+CUT_HITS, MOST_HITS = 200_000, 1_000_000
+
+
+def _best(hits: list[np.ndarray], k: int) -> list[np.ndarray]:
+    q, ids, d = hits
+    order = np.lexsort((ids, d, q))
+    q, ids, d = q[order], ids[order], d[order]
+    fresh = np.ones(len(q), bool)
+    fresh[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])  # copies of a boundary vector have one distance
+    q, ids, d = q[fresh], ids[fresh], d[fresh]
+    best = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return [q[best], ids[best], d[best]]
+
+
+def _meeter(k: int):
+    """Rows (key, asks, id, embedding), sorted by key, to the best k hits of each query in this task."""
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+        size = 0
+        for table in _runs(batches, 20_000):
+            key, asks, ids = table.column(0).to_numpy(), table.column(1).to_numpy(zero_copy_only=False), table.column(2).to_numpy()
+            x = matrix(table.column(3))
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            for a, b in zip(first.tolist(), np.append(first[1:], len(key)).tolist(), strict=True):
+                q = a + np.flatnonzero(asks[a:b])
+                p = a + np.flatnonzero(~asks[a:b])
+                if len(q) and len(p):
+                    held.append(_nearest(ids[q], x[q], ids[p], x[p], k))
+                    size += len(held[-1][0])
+                if size > CUT_HITS:
+                    held = [_best([np.concatenate(c) for c in zip(*held, strict=True)], k)]
+                    size = len(held[0][0])
+                    if size > MOST_HITS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], schema=_HITS)
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _best([np.concatenate(c) for c in zip(*held, strict=True)], k)], schema=_HITS)
+
+    return run
 
 
 _HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
