@@ -111,6 +111,10 @@ def components(spark: SparkSession, links: DataFrame, scratch: Scratch) -> DataF
         .mapInArrow(_forest, "a long, b long")
     )
     e = scratch.keep(e, "forest")
+    if e.count() < FOREST_BLOCK:
+        # one bounded block: a single task finishes it
+        e = scratch.keep(e.coalesce(1).mapInArrow(_forest, "a long, b long"), "stars")
+        return e.select(F.col("a").alias("id"), F.col("b").alias("component_id")).union(e.select("b", "b").distinct())
     mark = lambda d: tuple(d.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
     was = mark(e)
     while was[0]:

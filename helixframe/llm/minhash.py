@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.components import components, label_min
 from helixframe.llm.components import runs as _runs
-from helixframe.llm.scratch import Scratch
+from helixframe.llm.scratch import Scratch, small_batches
 from helixframe.llm.textkernels import BY_SPACE, U64, mix, shingle_hashes, word_blocks
 
 WIDTH = 5
@@ -28,13 +28,16 @@ WIDTH = 5
 PLACES, SHOWN = 128, 64
 #: Levels before nodes are counted, the largest node compared exhaustively, and levels at most.
 DEPTH, NODE, DEEPEST = 2, 256, 12
+#: A large node branches on only while more than this many of its documents are unlike its pivot.
+#: Below that they are compared with the node's other documents, in blocks of NODE.
+BRANCH = 32 * NODE
 RECALL = 0.9999
 #: Standard errors by which a sketch may fall short of the threshold.
 ERRORS = 4.0
 #: Documents whose full sets one task compares with each other.
 BLOCK = 512
 PAIRWISE = 2
-#: Candidate ids that are broadcast at most (8 bytes each).
+#: Rows of a few numbers each that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
 _rng = np.random.default_rng(77)
@@ -233,24 +236,25 @@ def candidates(spark: SparkSession, distinct: DataFrame, threshold: float, scrat
     found = []
     while True:
         counts = scratch.keep(nodes.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("pivot")).where("c > 1"), "counts")
-        small = nodes.join(counts.where(F.col("c") <= node).select("key"), "key").select("key", "id", "sketch")
+        shared = nodes.join(_counted(counts), "key")
+        small = shared.where(F.col("c") <= node).select("key", "id", "sketch")
         # AQE may not split what a join feeds here: a run of one key stays whole, and holds ``node`` rows at most
         found.append(scratch.keep(compare_nodes(small.repartition("key").sortWithinPartitions("key"), threshold), "small"))
         large = counts.where(F.col("c") > node)
         if not large.limit(1).count():
             scratch.drop(nodes)
             return _union(found)
-        big = nodes.join(large, "key")
+        big = shared.where(F.col("c") > node)
         pivots = big.where("id = pivot").groupBy("key").agg(F.min("sketch").alias("of_pivot"))
         big = scratch.keep(big.join(pivots, "key").select("key", "id", "pivot", "c", "sketch", _agreement("sketch", "of_pivot").alias("agree")), "large")
         found.append(scratch.keep(big.where((F.col("agree") >= bar) & (F.col("id") != F.col("pivot"))).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "stars"))
         open_ = scratch.keep(big.where(F.col("agree") < bar).groupBy("key").agg(F.count("*").alias("rest")), "open")
         scratch.drop(nodes)
-        if not open_.limit(1).count():
-            return _union(found)
         depth += 1
-        if depth > DEEPEST:
-            found.append(scratch.keep(_leftover(big.join(open_, "key"), threshold, node), "leftover"))
+        branching = F.col("rest") > (BRANCH if depth <= DEEPEST else 1 << 62)
+        found.append(scratch.keep(_unlike(big.join(open_.where(~branching), "key"), threshold, node), "unlike"))
+        open_ = open_.where(branching)
+        if not open_.limit(1).count():
             return _union(found)
         deeper = big.join(open_.select("key"), "key").select("key", "id").join(distinct.select("id", "signature"), "id")
         nodes = scratch.keep(branch(deeper, threshold), "nodes")
@@ -266,6 +270,11 @@ def _agreement(one: str, other: str) -> Column:
     return F.pandas_udf(equal, "int")(one, other)
 
 
+def _counted(small: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if a count of its rows allows it."""
+    return F.broadcast(small) if small.count() <= BROADCAST_IDS else small.hint("merge")
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -273,8 +282,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _leftover(big: DataFrame, threshold: float, node: int) -> DataFrame:
-    """Dense nodes that branching did not thin out: documents unlike the pivot against all, in blocks."""
+def _unlike(big: DataFrame, threshold: float, node: int) -> DataFrame:
+    """Documents of large nodes that are unlike the pivot against all of their node, in blocks."""
     bar = _bar(threshold)
     parts = F.ceil(F.col("c") / node).cast("int")
     ask_parts = F.ceil(F.col("rest") / node).cast("int")
@@ -286,20 +295,18 @@ def _leftover(big: DataFrame, threshold: float, node: int) -> DataFrame:
     return compare_sides(pick(all_).union(pick(rest)).repartition("key").sortWithinPartitions("key"), threshold)
 
 
-SETS = "id long, grp long, shingles binary"
+SETS = "id long, grp long, c long, shingles binary"
 
 
 def full_sets(docs: DataFrame, groups: DataFrame, width: int) -> DataFrame:
-    """Sorted 64-bit shingles of the documents that ``groups`` (id, grp) names."""
-    if groups.count() <= BROADCAST_IDS:
-        groups = F.broadcast(groups)
-    chosen = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(groups, "id").select("id", "grp", "text")
+    """Sorted 64-bit shingles of the documents that ``groups`` (id, grp, and the group's size c) names."""
+    chosen = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(_counted(groups), "id").select("id", "grp", "c", "text")
 
     def run(batches):
         for batch in batches:
-            for a, b, doc, h in document_sets(batch.column(2), width):
+            for a, b, doc, h in document_sets(batch.column(3), width):
                 cut = np.searchsorted(doc, np.arange(b - a + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([h[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["id", "grp", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array([h[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["id", "grp", "c", "shingles"])
 
     return chosen.mapInArrow(run, SETS)
 
@@ -354,15 +361,15 @@ def confirmed(sets: DataFrame, percent: int) -> DataFrame:
 
 def verify(spark: SparkSession, docs: DataFrame, links: DataFrame, percent: int, width: int, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """Candidate links to links whose full sets agree, by groups that candidates connect."""
-    groups = scratch.keep(components(spark, links, scratch).withColumnRenamed("component_id", "grp"), "groups")
+    groups = components(spark, links, scratch).withColumnRenamed("component_id", "grp")
+    groups = groups.join(groups.groupBy("grp").agg(F.count("*").alias("c")), "grp").select("id", "grp", "c")
+    groups = scratch.keep(groups, "groups")
     sets = scratch.keep(full_sets(docs, groups, width), "sets")
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("c"))
-    small = sets.join(sizes.where(F.col("c") <= block), "grp").select("grp", "id", "shingles", F.lit(PAIRWISE).alias("asks"))
+    small = sets.where(F.col("c") <= block).select("grp", "id", "shingles", F.lit(PAIRWISE).alias("asks"))
     out = [scratch.keep(confirmed(small.repartition("grp").sortWithinPartitions("grp", "id"), percent), "linked")]
-    large = scratch.keep(sizes.where(F.col("c") > block), "large")
-    if large.limit(1).count():
+    if groups.where(F.col("c") > block).limit(1).count():
         # a large group is compared with its first document; only what is unlike it asks the rest, in blocks
-        whole = sets.join(large, "grp").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / block)).cast("int"))
+        whole = sets.where(F.col("c") > block).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / block)).cast("int"))
         head = whole.where("id = grp").select("grp", F.col("id").alias("head_id"), F.col("shingles").alias("head"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("c") / block).cast("int") - 1)).alias("part"))
         stars = whole.where("id <> grp").select("grp", "part", "id", "shingles").union(head.select("grp", "part", "head_id", "head"))
         cell = stars.select(F.xxhash64("grp", "part").alias("grp"), "id", "shingles", (F.col("id") == F.col("grp")).cast("int").alias("asks"))
@@ -381,6 +388,15 @@ def verify(spark: SparkSession, docs: DataFrame, links: DataFrame, percent: int,
     return _union(out)
 
 
+def _linked(spark: SparkSession, docs: DataFrame, percent: int, width: int, recall: float, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: features of all documents, one row a distinct set, and components of linked sets."""
+    every = scratch.keep(features(docs, width), "features")
+    classes = every.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.first("signature").alias("signature"))
+    classes = scratch.keep(classes, "classes")
+    links = candidates(spark, classes, percent / 100, scratch, recall)
+    return every, classes, components(spark, verify(spark, docs, links, percent, width, scratch), scratch)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, width: int = WIDTH, recall: float = RECALL) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, n_shingles, component_id, kept.
 
@@ -392,11 +408,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, wid
     component and is kept.  Other columns are ignored.  An empty table gives no rows.
     """
     scratch = Scratch(spark, "minhash")
-    every = scratch.keep(features(docs, width), "features")
-    classes = every.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.first("signature").alias("signature"))
-    classes = scratch.keep(classes, "classes")
-    links = candidates(spark, classes, percent / 100, scratch, recall)
-    linked = components(spark, verify(spark, docs, links, percent, width, scratch), scratch)
+    with small_batches(spark):
+        every, classes, linked = _linked(spark, docs, percent, width, recall, scratch)
     known = classes.select("k1", "k2", "n", F.col("id").alias("rep")).join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component_id", "rep").alias("component_id"))
     out = every.select("id", "n", "k1", "k2").join(known, ["k1", "k2", "n"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))

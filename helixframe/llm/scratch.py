@@ -6,6 +6,7 @@ loses nothing that was written, and a retried task reads the same rows again.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -52,5 +53,17 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000):
+    """Fewer rows in an Arrow batch, for jobs that run inside and hand whole texts to Python workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(was), rows) if int(was) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
