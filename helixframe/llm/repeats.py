@@ -6,7 +6,9 @@ strings of one anchor; segments meet by their anchor's hash.  Segments equal in
 full keep their first copy only.  Where different segments share an anchor,
 their bytes form a shard that is suffix-sorted by external induced sorting;
 runs of suffixes with a common prefix of ``span`` bytes are equal strings, and
-all but the first of a run are repeats.
+all but the first of a run are repeats.  Where more segments share an anchor
+than one shard holds, their strings are told apart one by one instead, by
+digests that the cluster aggregates; so no shard grows with the corpus.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from helixframe.llm.textkernels import _CASED, U64, _power, blocks, mix, text_bu
 GRAM = 24
 #: Bytes of a document that are scanned at once; longer documents are scanned in overlapping pieces.
 PIECE = 4_000_000
-#: Bytes of a shard that are sorted together, about; a longer group of one anchor is a shard of its own.
+#: Bytes of a shard that are sorted together, about; a longer group of one anchor goes by its strings' digests.
 SHARD_BYTES = 2_000_000
 #: Tuples that a sort's queues hold in memory before they go to disk.
 QUEUE_TUPLES = 8_000_000
@@ -130,19 +132,33 @@ def meet(rows: DataFrame) -> DataFrame:
     """Segments sorted by (h, g, doc, at): later equal segments are repeats; first ones whose anchor others share go on."""
 
     def run(batches):
-        for table in _runs(batches, 100_000):
-            h, g, doc, at = (table.column(i).to_numpy() for i in range(4))
+        before = None  # h, g of the last row
+        open_ = None  # the last first segment, while no other shares its anchor
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, g, doc, at = (batch.column(i).to_numpy() for i in range(4))
             again = np.zeros(len(h), bool)
             again[1:] = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
+            again[0] = before == (h[0], g[0])
             first = np.flatnonzero(~again)
-            lone = np.ones(len(first), bool)
-            same = h[first][1:] == h[first][:-1]
-            lone[1:] &= ~same
-            lone[:-1] &= ~same
             keep = np.ones(len(h), bool)
-            keep[first[lone]] = False
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, doc, at, again)], ["h", "doc", "at", "again"])
+            rest = None
+            if len(first):
+                shared = np.zeros(len(first) + 1, bool)
+                shared[0] = before is not None and before[0] == h[first[0]]
+                shared[1:-1] = h[first][1:] == h[first][:-1]
+                if open_ is not None and shared[0]:
+                    rest = open_
+                lone = ~shared[:-1] & ~shared[1:]
+                keep[first[lone]] = False
+                open_ = tuple(x[first[-1] :][:1] for x in (h, doc, at, again)) if lone[-1] else None
+            before = (h[-1], g[-1])
+            out = [x[keep] for x in (h, doc, at, again)]
+            if rest is not None:
+                out = [np.concatenate(x) for x in zip(rest, out, strict=True)]
+            if len(out[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["h", "doc", "at", "again"])
 
     return rows.mapInArrow(run, MET)
 
@@ -210,7 +226,7 @@ def sort_shards(rows: DataFrame, span: int, shared: str, shard_bytes: int = SHAR
     def run(batches):
         store = Folder(f"{shared}/{uuid.uuid4().hex}")
         try:
-            for table in _runs(batches, shard_bytes // 140):
+            for table in _runs(batches, shard_bytes // (span + 40)):
                 got = shard_repeats(table.column(1).to_numpy(), table.column(2).to_numpy(), table.column(3).to_pylist(), span, queue, store)
                 if len(got[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], ["doc", "at"])
@@ -220,16 +236,51 @@ def sort_shards(rows: DataFrame, span: int, shared: str, shard_bytes: int = SHAR
     return rows.mapInArrow(run, RANGES)
 
 
+STRINGS = "s1 long, s2 long, doc long, at long"
+
+
+def strings(rows: DataFrame, span: int) -> DataFrame:
+    """Segments with bytes to their strings: 128 bits of digest, and the place as start * 256 + 1."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                doc, at = part.column(1).to_numpy(), part.column(2).to_numpy()
+                n = at & 255
+                cuts = part.column(3).to_pylist()
+                raw = b"".join(hashlib.blake2b(x[j : j + span], digest_size=16).digest() for x, m in zip(cuts, n.tolist(), strict=True) for j in range(m))
+                digest = np.frombuffer(raw, "<i8").reshape(-1, 2)
+                step = np.arange(len(digest)) - np.repeat(np.cumsum(n) - n, n)
+                place = ((np.repeat(at >> 8, n) + step) << 8) | 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(digest[:, k])) for k in (0, 1)] + [pa.array(np.repeat(doc, n)), pa.array(place)], ["s1", "s2", "doc", "at"])
+
+    return rows.mapInArrow(run, STRINGS)
+
+
+def string_repeats(rows: DataFrame) -> DataFrame:
+    """(doc, at) of the strings that aren't the first of their digest; no task needs all rows of a digest."""
+    first = rows.groupBy("s1", "s2").agg(F.min(F.struct("doc", "at")).alias("least")).select("s1", "s2", "least.doc", "least.at")
+    return rows.join(first, ["s1", "s2", "doc", "at"], "left_anti").select("doc", "at")
+
+
 def repeated_ranges(spark: SparkSession, docs: DataFrame, scratch: Scratch, span: int = 100) -> DataFrame:
     """(doc, at) where ``at`` is start * 256 + strings: the strings of ``span`` bytes that also start earlier."""
     found = scratch.keep(anchors(docs, span), "anchors")
     known = found.where("again").select("doc", "at")
     rows = found.where("not again").select("h", "g", "doc", "at").repartition("h").sortWithinPartitions("h", "g", "doc", "at")
     met = scratch.keep(meet(rows), "met")
-    bytes_ = cut_out(docs, met.where("not again").select("h", "doc", "at"), span)
-    bytes_ = bytes_.repartition("h").sortWithinPartitions("h", "doc", "at")
-    sorted_ = scratch.keep(sort_shards(bytes_, span, scratch.path("spill")), "sorted")
-    return known.union(met.where("again").select("doc", "at")).union(sorted_)
+    shared = met.where("not again").select("h", "doc", "at")
+    # one row for each shard's worth of segments at most
+    crowded = scratch.keep(shared.groupBy("h").count().where(F.col("count") > SHARD_BYTES // (span + 40)).select("h"), "crowded")
+    out = known.union(met.where("again").select("doc", "at"))
+    few = shared
+    if crowded.take(1):
+        few = shared.join(F.broadcast(crowded), "h", "left_anti").select("h", "doc", "at")
+        many = shared.join(F.broadcast(crowded), "h", "left_semi").select("h", "doc", "at")
+        out = out.union(string_repeats(scratch.keep(strings(cut_out(docs, many, span), span), "strings")))
+    bytes_ = cut_out(docs, few, span).repartition("h").sortWithinPartitions("h", "doc", "at")
+    return out.union(scratch.keep(sort_shards(bytes_, span, scratch.path("spill")), "sorted"))
 
 
 OUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"

@@ -322,3 +322,46 @@ def test_templates_that_are_wrong():
         licenses.compile_template("a <<beginOptional>> b")
     with pytest.raises(ValueError):
         licenses.compile_template("<<var;min=1;max=2>> b").first_words()
+
+
+def expected_repeats(rows):
+    """doc_id to (bytes removed, what is kept), for ids in order."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 99):
+            s = b[k : k + 100]
+            if s in seen:
+                gone[k : k + 100] = True
+            seen.add(s)
+        out[i] = (int(gone.sum()), bytes(np.frombuffer(b, np.uint8)[~gone]))
+    return out
+
+
+def test_repeats_of_an_anchor_with_more_segments_than_a_shard_holds(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    passage = words(rng, 50)
+    n = repeats.SHARD_BYTES // 140 + 500
+    rows = [(i, "".join(rng.choices("abcdefgh ", k=90)) + passage) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sizes = []
+    cut = repeats.sort_shards
+
+    def spy(rows, *a, **b):
+        sizes.append(rows.groupBy("h").count().agg({"count": "max"}).first()[0] or 0)
+        return cut(rows, *a, **b)
+
+    monkeypatch.setattr(repeats, "sort_shards", spy)
+    got = {r.doc_id: (r.n_removed, r.kept) for r in repeats.remove_repeats(spark, docs, 100, text=True).collect()}
+    assert got == expected_repeats(rows)
+    assert max(sizes) <= repeats.SHARD_BYTES // 140
+
+
+def test_shard_sort_with_queues_smaller_than_the_shard(spark, tmp_path):
+    rng = random.Random(9)
+    passage = words(rng, 40)
+    rows = [(1, i, (i << 8) | 40, (words(rng, 30)[: rng.randrange(10, 60)] + passage)[:139].encode()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "h long, doc long, at long, bytes binary").coalesce(1).sortWithinPartitions("h", "doc", "at")
+    got, want = (sorted(map(tuple, repeats.sort_shards(df, 100, f"file://{tmp_path}/{q}", queue=q).collect())) for q in (20_000, repeats.QUEUE_TUPLES))
+    assert got == want and len(want)
