@@ -104,7 +104,8 @@ def anchors(docs: DataFrame, span: int) -> DataFrame:
     """(doc_id, text) to segments; ``at`` holds start * 256 + strings.
 
     Of equal segments that a task sees together only the first goes on to meet
-    others; the rest are repeats already (``again``).
+    others; the rest are repeats already (``again``).  The same segment of a
+    repeated row is left out.
     """
 
     def run(batches):
@@ -120,7 +121,9 @@ def anchors(docs: DataFrame, span: int) -> DataFrame:
                 h, g, own, place = h[order], g[order], own[order], place[order]
                 again = np.zeros(len(h), bool)
                 again[1:] = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(own), pa.array(place), pa.array(again)], ["h", "g", "doc", "at", "again"])
+                new = np.ones(len(h), bool)
+                new[1:] = ~again[1:] | (own[1:] != own[:-1]) | (place[1:] != place[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (h.view(np.int64), g.view(np.int64), own, place, again)], ["h", "g", "doc", "at", "again"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, ANCHORS)
 
@@ -129,10 +132,10 @@ MET = "h long, doc long, at long, again boolean"
 
 
 def meet(rows: DataFrame) -> DataFrame:
-    """Segments sorted by (h, g, doc, at): later equal segments are repeats; first ones whose anchor others share go on."""
+    """Segments sorted by (h, g, doc, at): later equal segments at other places are repeats; first ones whose anchor others share go on."""
 
     def run(batches):
-        before = None  # h, g of the last row
+        before = None  # h, g, doc, at of the last row
         open_ = None  # the last first segment, while no other shares its anchor
         for batch in batches:
             if not batch.num_rows:
@@ -140,9 +143,11 @@ def meet(rows: DataFrame) -> DataFrame:
             h, g, doc, at = (batch.column(i).to_numpy() for i in range(4))
             again = np.zeros(len(h), bool)
             again[1:] = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
-            again[0] = before == (h[0], g[0])
+            again[0] = before is not None and before[:2] == (h[0], g[0])
             first = np.flatnonzero(~again)
             keep = np.ones(len(h), bool)
+            keep[1:] = ~again[1:] | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
+            keep[0] = before != (h[0], g[0], doc[0], at[0])
             rest = None
             if len(first):
                 shared = np.zeros(len(first) + 1, bool)
@@ -153,7 +158,7 @@ def meet(rows: DataFrame) -> DataFrame:
                 lone = ~shared[:-1] & ~shared[1:]
                 keep[first[lone]] = False
                 open_ = tuple(x[first[-1] :][:1] for x in (h, doc, at, again)) if lone[-1] else None
-            before = (h[-1], g[-1])
+            before = (h[-1], g[-1], doc[-1], at[-1])
             out = [x[keep] for x in (h, doc, at, again)]
             if rest is not None:
                 out = [np.concatenate(x) for x in zip(rest, out, strict=True)]
@@ -227,6 +232,10 @@ def sort_shards(rows: DataFrame, span: int, shared: str, shard_bytes: int = SHAR
         store = Folder(f"{shared}/{uuid.uuid4().hex}")
         try:
             for table in _runs(batches, shard_bytes // (span + 40)):
+                key = [table.column(i).to_numpy() for i in range(3)]
+                new = np.ones(table.num_rows, bool)  # a repeated row's segments were cut from each of its rows
+                new[1:] = np.any([x[1:] != x[:-1] for x in key], axis=0)
+                table = table.filter(pa.array(new))
                 got = shard_repeats(table.column(1).to_numpy(), table.column(2).to_numpy(), table.column(3).to_pylist(), span, queue, store)
                 if len(got[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], ["doc", "at"])

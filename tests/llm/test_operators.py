@@ -365,3 +365,16 @@ def test_shard_sort_with_queues_smaller_than_the_shard(spark, tmp_path):
     df = spark.createDataFrame(rows, "h long, doc long, at long, bytes binary").coalesce(1).sortWithinPartitions("h", "doc", "at")
     got, want = (sorted(map(tuple, repeats.sort_shards(df, 100, f"file://{tmp_path}/{q}", queue=q).collect())) for q in (20_000, repeats.QUEUE_TUPLES))
     assert got == want and len(want)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_repeated_rows_keep_what_starts_in_them_first(spark, monkeypatch, parts):
+    rng = random.Random(10)
+    shared = words(rng, 60)
+    rows = [(i, words(rng, 30) + shared[rng.randrange(20) :] + words(rng, 30)) for i in range(20)]
+    docs = spark.createDataFrame(rows[:8] + rows + rows[4:], "doc_id long, text string").repartition(parts)
+    want = expected_repeats(rows)
+    for most in (repeats.SHARD_BYTES, 140 * 5):
+        monkeypatch.setattr(repeats, "SHARD_BYTES", most)
+        got = repeats.remove_repeats(spark, docs, 100, text=True).collect()
+        assert len(got) == 44 and all((r.n_removed, r.kept) == want[r.doc_id] for r in got)
