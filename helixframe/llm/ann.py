@@ -3,8 +3,10 @@
 Centroids are fitted to a bounded sample and held in a small-world graph.
 Every vector goes to its nearest centroid's list and, when it lies near a
 boundary, to a few more lists; lists above a bound are split.  A query opens
-the lists whose centroid is within a distance ratio of its nearest one; the
-ratio comes from an audit of queries against brute force.
+its nearest lists until they are home to enough vectors, and those whose
+centroid is within a distance ratio of the last of these; the ratio comes from
+an audit of queries against brute force.  A query that still finds too few opens
+all lists.
 """
 
 from __future__ import annotations
@@ -67,8 +69,15 @@ class Lists:
         return np.concatenate(out), np.concatenate(dist)
 
 
-def _exploder(shared, most: int, ratio: float):
-    """(list, id, vector) for each list whose centroid is within ``ratio`` of the nearest."""
+def _reach(ids: np.ndarray, d: np.ndarray, homes: np.ndarray, enough: int) -> np.ndarray:
+    """Distance, as a column, of the list with which the nearest lists are home to ``enough`` vectors; else of the last one."""
+    held = np.cumsum(np.where(np.isfinite(d), homes[ids], 0), axis=1)
+    last = np.maximum(np.isfinite(d).sum(1) - 1, 0)
+    return np.take_along_axis(d, np.minimum((held < enough).sum(1), last)[:, None], 1)
+
+
+def _exploder(shared, most: int, ratio: float, homes: np.ndarray | None = None, enough: int = 0):
+    """(list, id, vector, whether it is the nearest) for each list whose centroid is within ``ratio`` of the nearest, or of ``_reach``."""
 
     def run(batches):
         for batch in batches:
@@ -76,9 +85,11 @@ def _exploder(shared, most: int, ratio: float):
                 continue
             x = matrix(batch.column(1))
             ids, d = shared.value.near(x, most)
-            row, col = np.nonzero((d <= ratio * d[:, :1]) & np.isfinite(d))
+            reach = d[:, :1] if homes is None else _reach(ids, d, homes, enough)
+            limit = reach * max(ratio, 1.0) if np.isfinite(ratio) else np.inf
+            row, col = np.nonzero((d <= limit) & np.isfinite(d))
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row, col].astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], ["list", "id", "embedding"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row, col].astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at), pa.array(col == 0)], ["list", "id", "embedding", "home"])
 
     return run
 
@@ -136,17 +147,30 @@ def _search(spark: SparkSession, base: DataFrame, queries: DataFrame, k: int, di
     centroids = fit_centroids(sample, lists) if len(sample) else np.zeros((1, dim))
     shared = spark.sparkContext.broadcast(Lists(centroids))
 
-    posted = base.mapInArrow(_exploder(shared, COPIES, BOUNDARY), "list int, id long, embedding array<double>")
-    posted = scratch.keep(posted, "postings")
-    sizes = posted.groupBy("list").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("parts"))
-    sizes = spark.createDataFrame(sizes.collect(), "list int, parts int")  # one row a centroid
+    opened = "list int, id long, embedding array<double>, home boolean"
+    posted = scratch.keep(base.mapInArrow(_exploder(shared, COPIES, BOUNDARY), opened), "postings")
+    sizes = posted.groupBy("list").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("parts"), F.count_if("home").alias("homes")).collect()  # one row a centroid
+    homes = np.zeros(len(centroids), np.int64)
+    for r in sizes:
+        homes[r["list"]] = r["homes"]
+    sizes = spark.createDataFrame([(r["list"], r["parts"]) for r in sizes], "list int, parts int")
     posted = posted.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
 
-    ratio, most = _audit(spark, base, queries, posted, shared, k)
-    asked = queries.mapInArrow(_exploder(shared, most, ratio), "list int, id long, embedding array<double>")
-    asked = asked.join(F.broadcast(sizes), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    ratio, most = _audit(spark, base, queries, posted, shared, k, homes)
+    asked = queries.mapInArrow(_exploder(shared, most, ratio, homes, k + 1), opened)
+    hits = scratch.keep(_meet(posted, asked.join(F.broadcast(sizes), "list"), k), "hits")
+
+    full = hits.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
+    short = scratch.keep(queries.join(full, "id", "left_anti").select("id", "embedding"), "short")
+    if not short.take(1):
+        return hits
+    more = _meet(posted, short.crossJoin(F.broadcast(sizes)), k)
+    return hits.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi").select(*hits.columns).unionByName(more)
+
 
-    # postings and the queries that open them meet in one sorted pass over each list
+def _meet(posted: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The best k of each query (list, parts, id, embedding): postings and the queries that open them meet in one sorted pass over each list."""
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     key = (F.col("list").cast("long") * (1 << 31) + F.col("part")).alias("key")
     rows = posted.select(key, F.lit(False).alias("asks"), "id", "embedding").union(asked.select(key, F.lit(True).alias("asks"), "id", "embedding"))
     return _ranked(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_meeter(k), HITS), k)
@@ -205,7 +229,7 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _audit(spark: SparkSession, base: DataFrame, queries: DataFrame, posted: DataFrame, shared, k: int) -> tuple[float, int]:
+def _audit(spark: SparkSession, base: DataFrame, queries: DataFrame, posted: DataFrame, shared, k: int, homes: np.ndarray) -> tuple[float, int]:
     """(distance ratio, most lists) with which the audited queries find ``RECALL`` of their true neighbours."""
     rows = queries.orderBy(F.xxhash64("id")).limit(AUDIT).collect()
     if not rows:
@@ -222,12 +246,13 @@ def _audit(spark: SparkSession, base: DataFrame, queries: DataFrame, posted: Dat
     where = true.join(posted.select(F.col("id").alias("vec_id"), "list"), "vec_id").collect()  # AUDIT * k * COPIES rows at most
     lists = shared.value
     ids, d = lists.near(q, len(lists.centroids))
+    reach = np.maximum(_reach(ids, d, homes, k + 1)[:, 0], 1e-300)
     need: dict[tuple[int, int], tuple[float, int]] = {}
     at = {int(x): i for i, x in enumerate(q_ids)}
     for r in where:
         i = at[r["query_id"]]
         place = np.flatnonzero(ids[i] == r["list"])
-        cost = (d[i, place[0]] / max(d[i, 0], 1e-300), int(place[0]) + 1) if len(place) else (np.inf, len(lists.centroids))
+        cost = (d[i, place[0]] / reach[i], int(place[0]) + 1) if len(place) else (np.inf, len(lists.centroids))
         key = (r["query_id"], r["vec_id"])
         need[key] = min(need.get(key, cost), cost)
     if not need:

@@ -378,3 +378,21 @@ def test_repeated_rows_keep_what_starts_in_them_first(spark, monkeypatch, parts)
         monkeypatch.setattr(repeats, "SHARD_BYTES", most)
         got = repeats.remove_repeats(spark, docs, 100, text=True).collect()
         assert len(got) == 44 and all((r.n_removed, r.kept) == want[r.doc_id] for r in got)
+
+
+def test_nearest_of_far_off_vectors(spark):
+    x = np.random.default_rng(5).normal(size=(700, 8))
+    x[0] = 1000.0
+    x[1:6] = -1000.0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(spark, df, df.where("vec_id < 40"), 10).collect()
+    for i in range(40):
+        own = sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])
+        assert [r["rank"] for r in own] == list(range(1, 11)), i
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        assert all(abs(r.score - d[r.vec_id]) < 1e-9 for r in own)
+        if 0 < i < 6:
+            assert [r.vec_id for r in own[:4]] == [j for j in range(1, 6) if j != i]
+    few = ann.search(spark, df, df.where("vec_id < 3"), 1000).collect()
+    assert len(few) == 3 * 699
