@@ -1,4 +1,4 @@
-"""Grouped operators around the sequential kernels; each group is bounded by a top-n before it."""
+"""Grouped operators around the sequential kernels; each group is bounded before it, by a top-n or by coverage."""
 
 from __future__ import annotations
 
@@ -144,47 +144,92 @@ def correct(candidates: DataFrame, reads: DataFrame, min_coverage: int = 4, max_
     return top.groupBy("sid").applyInPandas(one, CORRECTED)
 
 
+CHOSEN = "sid long, part int, lo long, qid long, qdir int, qbeg long, qend long, sbeg long, send long, a long, b long"
+PIECES = "sid long, part int, at long, q_aln binary, s_aln binary"
+#: Columns of alignments that a segment holds before equal ones are summed.
+FOLD_TAGS = 1_000_000
+
+
+def _until_full(hits: DataFrame, max_coverage: int) -> DataFrame:
+    """Of all mappings to a segment, longest first, those (``a`` to ``b``) that meet a base covered less than ``max_coverage`` times.
+
+    Only coordinates are grouped; what is chosen is bounded by the coverage.
+    """
+
+    def one(key, pdf):
+        pdf = pdf.iloc[np.lexsort([pdf.qbeg, pdf.sbeg, pdf.qdir, pdf.qid, pdf.sbeg - pdf.send])]
+        lo = int(pdf.lo.iloc[0])
+        depth, keep = np.zeros(int(pdf.b.max()) - lo, np.int32), np.zeros(len(pdf), bool)
+        for i, (a, b) in enumerate(zip((pdf.a - lo).tolist(), (pdf.b - lo).tolist(), strict=True)):
+            if depth[a:b].min() < max_coverage:
+                keep[i] = True
+                depth[a:b] += 1
+        return pdf[keep]
+
+    names = [c.split()[0] for c in CHOSEN.split(", ")]
+    return hits.select(*names).groupBy("sid", "part").applyInPandas(one, CHOSEN)
+
+
+def _aligned_pieces(rows: DataFrame) -> DataFrame:
+    """Chosen mappings with sequences to aligned codes, from ``at`` of the segment on."""
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples(index=False):
+                scale = (r.qend - r.qbeg) / max(r.send - r.sbeg, 1)
+                x, y = int(r.qbeg + (r.a - r.sbeg) * scale), int(r.qend - (r.send - r.b) * scale)
+                _, qa, qb = K.align(r.q_seq[x:y], r.text)
+                out.append((r.sid, r.part, r.a - r.lo, qa.tobytes(), qb.tobytes()))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
+
+    return rows.mapInPandas(run, PIECES)
+
+
+def _fold(tables: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct columns and their summed weights."""
+    table, inv = np.unique(np.concatenate(tables), axis=0, return_inverse=True)
+    return table, np.bincount(inv.ravel(), np.concatenate(weights), len(table))
+
+
 def polish(mappings: DataFrame, contigs: DataFrame, reads: DataFrame, segment: int = 1_000_000, max_coverage: int = 10, min_coverage: int = 4, penalty: float = 0.1) -> DataFrame:
     """Contigs (read_id, seq) polished by mapped reads (qid, qdir, sid, qbeg, qend, sbeg, send), a segment at a time.
 
-    A segment takes reads that it holds, or that reach into it by 1000 bases;
-    bases covered less than ``min_coverage`` times come out in lower case.
+    A segment takes reads that it holds, or that reach into it by 1000 bases,
+    longest first until each base is covered ``max_coverage`` times; bases covered less than ``min_coverage`` times come out in lower case.
     """
     parts = contigs.select(F.col("read_id").alias("sid"), "seq", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.length("seq") - 1, F.lit(0)) / segment).cast("int"))).alias("part"))
     parts = parts.select("sid", "part", (F.col("part") * segment).cast("long").alias("lo"), F.substring("seq", (F.col("part") * segment + 1).cast("int"), F.lit(segment)).alias("s_seq"))
     hits = mappings.withColumn("part", F.explode(F.sequence(F.floor(F.col("sbeg") / segment).cast("int"), F.floor((F.col("send") - 1) / segment).cast("int"))))
     q = reads.select(F.col("read_id").alias("qid"), F.col("seq").alias("q_seq"))
+    hits = hits.join(parts.select("sid", "part", "lo", (F.col("lo") + F.length("s_seq")).alias("hi")), ["sid", "part"])
+    hits = hits.withColumns({"a": F.greatest("sbeg", "lo"), "b": F.least("send", "hi")})
+    inside = (F.col("sbeg") >= F.col("lo")) & (F.col("send") <= F.col("hi"))
+    hits = _until_full(hits.where((F.col("b") > F.col("a")) & (inside | (F.col("b") - F.col("a") >= 1000))), max_coverage)
+    hits = hits.join(parts.select("sid", "part", "s_seq"), ["sid", "part"]).withColumn("text", F.substring("s_seq", (F.col("a") - F.col("lo") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int"))).drop("s_seq")
     hits = hits.join(q, "qid").withColumn("q_seq", F.when(F.col("qdir") == 1, reverse_complement(F.col("q_seq"))).otherwise(F.col("q_seq")))
-    best = F.row_number().over(Window.partitionBy("sid", "part").orderBy((F.col("send") - F.col("sbeg")).desc(), "qid", "qdir", "sbeg"))
-    hits = hits.withColumn("rank", best).where(F.col("rank") <= EXAMINED).select("sid", "part", "rank", "qbeg", "qend", "sbeg", "send", "q_seq")
+    hits = _aligned_pieces(hits)
 
     def one(key, seg, rows):
         if seg.empty:
             return pd.DataFrame(columns=["sid", "part", "seq"])
-        text, lo = seg.s_seq.iloc[0], int(seg.lo.iloc[0])
-        hi = lo + len(text)
-        depth, tables, weights = np.zeros(len(text) + 1, np.int64), [], []
-        for r in rows.sort_values("rank").itertuples(index=False):
-            inside = r.sbeg >= lo and r.send <= hi
-            if not inside and min(r.send, hi) - max(r.sbeg, lo) < 1000:
-                continue
-            a, b = max(r.sbeg, lo), min(r.send, hi)
-            span = np.cumsum(depth)[a - lo : b - lo]
-            if len(span) and span.min() >= max_coverage:
-                continue
-            scale = (r.qend - r.qbeg) / max(r.send - r.sbeg, 1)
-            qa_, qb_ = int(r.qbeg + (a - r.sbeg) * scale), int(r.qend - (r.send - b) * scale)
-            _, x, y = K.align(r.q_seq[qa_:qb_], text[a - lo : b - lo])
-            t = K.tags(x, y, a - lo)
+        text = seg.s_seq.iloc[0]
+        depth, tables, weights, held, size = np.zeros(len(text) + 1, np.int64), [], [], 0, 0
+        for r in rows.itertuples(index=False):
+            qa, qb = np.frombuffer(r.q_aln, np.uint8), np.frombuffer(r.s_aln, np.uint8)
+            t = K.tags(qa, qb, r.at)
             tables.append(t)
             weights.append(np.ones(len(t)))
-            depth[a - lo] += 1
-            depth[b - lo] -= 1
+            size += len(t)
+            if size > FOLD_TAGS + held:
+                table, total = _fold(tables, weights)
+                tables, weights, held, size = [table], [total], len(table), 0
+            depth[r.at] += 1
+            depth[r.at + int((qb != K.GAP).sum())] -= 1
         cover = np.cumsum(depth)[:-1]
         out, last = [], 0
         if tables:
-            table, inv = np.unique(np.concatenate(tables), axis=0, return_inverse=True)
-            total = np.bincount(inv.ravel(), np.concatenate(weights), len(table))
+            table, total = _fold(tables, weights)
             edge = np.diff(np.concatenate([[0], (cover >= min_coverage).astype(np.int8), [0]]))
             for x, y in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0), strict=True):
                 if y - x < 1000:

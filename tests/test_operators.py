@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import kernels as K
 from helixframe.functions import overlap as X
 from helixframe.functions.sequence import cigar_identity, kmers, reverse_complement
-from helixframe.operators import graph, reads
+from helixframe.operators import graph, kernels, reads
 from helixframe.operators import statistics as S
 from helixframe.plans import planted
 from helixframe.plans.config import Config
@@ -144,3 +144,14 @@ def test_config():
     assert Config.parse(c.text()) == c and c.digest() != Config().digest()
     with pytest.raises(ValueError):
         Config.parse("NOPE=1")
+
+
+def test_polishing_goes_on_after_many_reads_at_one_place(spark):
+    text = planted.genome(5000)
+    draft = "".join("ACGT"["ACGT".index(c) ^ 1] if i % 97 == 50 else c for i, c in enumerate(text))
+    places = [(0, 1600)] * 320 + [(2000, 3500)] * 6
+    reads_ = spark.createDataFrame([(i, text[a:b]) for i, (a, b) in enumerate(places)], "read_id long, seq string")
+    mapped = spark.createDataFrame([(i, 0, 0, 0, b - a, a, b) for i, (a, b) in enumerate(places)], "qid long, qdir int, sid long, qbeg long, qend long, sbeg long, send long")
+    out = kernels.polish(mapped, spark.createDataFrame([(0, draft)], "read_id long, seq string"), reads_).first().seq
+    assert out[:1600] == text[:1600] and out[2000:3500] == text[2000:3500]
+    assert out[1600:2000] == draft[1600:2000].lower() and out[3500:] == draft[3500:].lower()
