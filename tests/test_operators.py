@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import kernels as K
 from helixframe.functions import overlap as X
-from helixframe.functions.sequence import cigar_identity, kmers, reverse_complement
+from helixframe.functions import sequence
+from helixframe.functions.sequence import cigar_identity, kmers, packed_kmers, reverse_complement
 from helixframe.operators import graph, kernels, reads
 from helixframe.operators import statistics as S
 from helixframe.plans import planted
@@ -53,6 +54,25 @@ def test_sequence_functions(spark):
     assert [tuple(r) for r in got] == [("AACGT", ["ACG", "GTT"], 70.0), ("GT", [], None), ("", [], 0.0)]
 
 
+def test_packed_kmers_equal_the_strings(spark):
+    """Both cases, letters that are no bases, short, empty and null reads; blocks smaller than a read."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ACGTacgtN"), n, p=[0.23, 0.23, 0.23, 0.23, 0.02, 0.02, 0.01, 0.01, 0.02])) for n in (0, 3, 14, 15, 16, 400, 37)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "read_id long, seq string").coalesce(1)
+    for k, stride in ((15, 1), (15, 10), (4, 7), (31, 3), (1, 1)):
+        want = set()
+        for i, t in enumerate(texts):
+            for at in range(0, len(t or "") - k + 1, stride):
+                word = t[at : at + k].upper()
+                if "N" not in word:
+                    want.add((i, at, sum("ACGT".index(c) * 4 ** (k - 1 - j) for j, c in enumerate(word))))
+        for block in (sequence.BLOCK, 23):
+            got = [tuple(r) for r in packed_kmers(df, k, stride, block).collect()]
+            assert len(got) == len(want) and set(got) == want
+    with pytest.raises(ValueError):
+        packed_kmers(df, 32)
+
+
 def test_longest_by_budget_edges(spark):
     r = spark.createDataFrame([(i, "A" * n) for i, n in enumerate([5, 9, 9, 2, 7])], "read_id long, seq string")
     assert sorted(x.read_id for x in reads.longest_by_budget(r, 9).collect()) == [1, 2]  # both of the last length
