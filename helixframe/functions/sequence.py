@@ -49,10 +49,10 @@ def rolling_words(data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         if k & size:
             # the words made so far stand before this one
             ahead = np.zeros_like(word)
-            ahead[: len(word) - done] = word[done:]
+            ahead[: max(len(word) - done, 0)] = word[done:]
             out, done = (out << (2 * size)) | ahead, done + size
         after = np.zeros_like(word)
-        after[: len(word) - size] = word[size:]
+        after[: max(len(word) - size, 0)] = word[size:]
         word, size = (word << (2 * size)) | after, 2 * size
     return out[:n], bad[k : k + n] == bad[:n]
 
