@@ -55,6 +55,17 @@ def test_word_hashes_follow_the_words():
     assert all(len(v) == 1 for v in seen.values()) and len({h for v in seen.values() for h in v}) == len(seen)
 
 
+def test_words_across_the_parts_of_a_long_text():
+    rng = random.Random(1)
+    data = np.frombuffer("".join(rng.choice("abc  é\n") for _ in range(3000)).encode(), np.uint8)
+    offsets = np.array([0, 0, 10, 10, 500, 501, len(data), len(data)])
+    for alphabet in (textkernels.BY_SPACE, textkernels.ALPHANUMERIC):
+        want = textkernels.Words(offsets, data, alphabet)
+        for most in (1, 3, 7, 100):
+            got = textkernels.Words(offsets, data, alphabet, True, most)
+            assert all((getattr(got, k) == getattr(want, k)).all() for k in ("start", "end", "doc", "hash", "first"))
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (3, 2), (9, 8), (8, 7), (5, 5), (None, 4)] + [(100 + i, 101 + i) for i in range(50)], "a long, b long")
     want = {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7} | {100 + i: 100 for i in range(51)}
@@ -127,18 +138,74 @@ def test_quality_on_held_out_labels(spark, sf_dir):
 
 def test_quality_edges(spark, docs):
     out = quality.classify(spark, docs)
+    same = {}
+    for r in out.collect():
+        same.setdefault(r.text, set()).add((r.posterior, r.score, r.keep))
+    assert all(len(v) == 1 for v in same.values())
     assert out.count() == docs.count() and set(docs.columns) - {"keep"} <= set(out.columns)
     assert not out.where("text is null").first().keep
     assert quality.classify(spark, empty(docs)).count() == 0
 
 
-def test_label_model_recovers_accuracies():
+def test_label_model_recovers_rates_with_the_settings_of_production():
+    """Three kinds of junk, labellers that overlap, and an eighth of the votes missing."""
     rng = np.random.default_rng(0)
-    good = rng.random(20_000) < 0.8
-    v = np.stack([np.where(rng.random(20_000) < np.where(good, 0.001, p), quality.BAD, quality.GOOD) for p in (0.9, 0.6, 0.3)], 1)
-    pattern, at = np.unique(v, axis=0, return_counts=True)
-    m = quality.expectation_maximisation(pattern, at.astype(float), prior_shares=(0.001, 0.01))
-    assert np.allclose(np.exp(m.log)[0, :, quality.BAD], [0.9, 0.6, 0.3], atol=0.05)
+    n, seen = 20_000, np.zeros((4, 10))
+    seen[0, [0, 2, 5, 6]], seen[1, [1, 3, 6, 9]], seen[2, [2, 4, 7, 8]] = (0.9, 0.3, 0.8, 0.7), (0.95, 0.6, 0.8, 0.5), (0.7, 0.9, 0.6, 0.5)
+    rates = np.where(seen > 0, seen, 0.02)
+    rates[3] = [0.001, 0.002, 0.03, 0.01, 0.001, 0.004, 0.02, 0.05, 0.001, 0.002]
+    of = rng.choice(4, n, p=[0.06, 0.03, 0.08, 0.83])
+    v = np.where(rng.random((n, 10)) < rates[of], quality.BAD, quality.GOOD)
+    v[rng.random((n, 10)) < 0.125] = quality.ABSTAIN
+    pattern, counts = np.unique(v, axis=0, return_counts=True)
+    m = quality.expectation_maximisation(pattern, counts.astype(float))
+    got = np.exp(m.log)[:, :, quality.BAD]
+    assert np.allclose(got[-1], rates[3], atol=0.01) and abs(np.exp(m.log_prior[-1]) - 0.83) < 0.02
+    best = quality.LabelModel(np.log(np.stack([np.ones_like(rates), rates, 1 - rates], 2)), np.log([0.06, 0.03, 0.08, 0.83])).posterior(v)
+    q = m.posterior(v)
+    assert ((q < 0.5) == (best < 0.5)).mean() > 0.99 and ((q < 0.5) == (of < 3)).mean() > 0.98
+    # marginal rates on junk, and how often a labeller is right
+    bad = np.exp(m.log_prior[:-1]) @ got[:-1] / np.exp(m.log_prior[:-1]).sum()
+    assert np.allclose(bad, np.array([6, 3, 8]) / 17 @ rates[:3], atol=0.05)
+    right = np.array([((v[:, k] == quality.BAD) == (of < 3))[v[:, k] > 0].mean() for k in range(10)])
+    assert np.allclose(m.accuracies(), right, atol=0.02)
+
+
+def test_quality_trains_on_distinct_texts(spark, corpus, monkeypatch):
+    """One text that stands in nearly all rows is one example of the bounded sample."""
+    seen = []
+    train = quality.train
+    monkeypatch.setattr(quality, "train", lambda rows: (seen.append(len(rows)), train(rows))[1])
+    rng = random.Random(2)
+    rows = [(i, "one text of many copies. " * 3) for i in range(20_000)] + [(i, None) for i in range(50)] + [(30_000 + i, words(rng, 40) + ".") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    quality.fit(spark, df, train_rows=4000)
+    quality.fit(spark, df, train_rows=100)
+    assert 250 <= seen[0] <= 302 and seen[1] <= 100 and seen[1] >= 60
+
+
+def test_scores_are_those_of_each_text_alone(monkeypatch):
+    """Against sums over each text, with parts far smaller than the texts."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = ["", "ab", "abc", "# " * 70, words(random.Random(1), 300), "é" * 60]
+    w = rng.normal(size=quality.BUCKETS)
+    want = []
+    for x in texts:
+        d = np.frombuffer(x.encode(), np.uint8)
+        m = quality.measures(np.array([0, len(d)]), d)
+        grams = quality._buckets(d)
+        z = 0.3 + quality.TRIGRAM_SCALE * w[grams].sum() / (len(grams) + quality.CALM) + w[quality._flags(m)].sum()
+        want.append(1 / (1 + np.exp(-z)))
+    for most in (textkernels.BLOCK_BYTES, 16):
+        monkeypatch.setattr(textkernels, "BLOCK_BYTES", most)
+        offsets, data = textkernels.text_buffers(pa.array(texts))
+        got = []
+        for a, b in textkernels.blocks(offsets, most):
+            o, d = offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
+            got += quality.scores(w, 0.3, o, d, quality.measures(o, d)).tolist()
+        assert np.allclose(got, want)
 
 
 def test_warc_round_trip_and_pushdown(spark, tmp_path):
@@ -389,6 +456,39 @@ def test_repeated_rows_keep_what_starts_in_them_first(spark, monkeypatch, parts)
         assert len(got) == 44 and all((r.n_removed, r.kept) == want[r.doc_id] for r in got)
 
 
+@pytest.mark.parametrize("first", [4, 2048])
+def test_nearest_through_lists_of_lists(spark, monkeypatch, first):
+    """Lists clustered again and again, ties, copies of one vector in a third of the rows, and columns whose names clash."""
+    monkeypatch.setattr(ann, "MOST_CENTROIDS", first)
+    monkeypatch.setattr(ann, "SPLIT_ROWS", 60)
+    monkeypatch.setattr(ann, "MOST_CHILDREN", 8)
+    monkeypatch.setattr(ann, "RUN_ROWS", 200)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 8)) + rng.integers(0, 2, (3000, 1)) * 5
+    x[2000:] = x[7]
+    x[100:110] = np.round(x[100:110])
+    x[110:120] = x[100:110]
+    df = spark.createDataFrame([(i, v.tolist(), 5, "c") for i, v in enumerate(x)], "vec_id long, embedding array<double>, list int, part string").repartition(5)
+    asked = list(range(0, 3000, 30))
+    got = {}
+    for r in ann.search(spark, df.unionByName(df.limit(50)), df.where("vec_id % 30 = 0"), 10).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits = 0
+    for i in asked:
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        want = np.lexsort((np.arange(3000), d))[:10].tolist()
+        own = sorted(got[i])
+        assert [r for r, *_ in own] == list(range(1, 11)) and all(abs(s - d[v]) < 1e-9 for _, v, s in own)
+        assert [(s, v) for _, v, s in own] == sorted((s, v) for _, v, s in own)
+        hits += len(set(want) & {v for _, v, _ in own})
+        if i >= 2000:
+            assert [v for _, v, _ in own] == want  # copies: the smallest ids
+    assert hits >= 0.95 * 10 * len(asked)
+    few = ann.search(spark, df.where("vec_id < 5"), df.where("vec_id < 2"), 10).collect()
+    assert sorted((r.query_id, r["rank"]) for r in few) == [(q, k) for q in (0, 1) for k in range(1, 5)]
+
+
 def test_nearest_of_far_off_vectors(spark):
     x = np.random.default_rng(5).normal(size=(700, 8))
     x[0] = 1000.0
