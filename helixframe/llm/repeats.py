@@ -23,23 +23,26 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.components import runs as _runs
 from helixframe.llm.scratch import Scratch
-from helixframe.llm.suffixsort import Folder, suffix_array
+from helixframe.llm.suffixsort import folder, sorted_buckets
 from helixframe.llm.textkernels import _CASED, U64, _power, blocks, mix, text_buffers
 
 #: Bytes of the grams that anchor strings.
 GRAM = 24
-#: Bytes of a document that are scanned at once; longer documents are scanned in overlapping pieces.
-PIECE = 4_000_000
-#: Bytes of a shard that are sorted together, about; a longer group of one anchor goes by its strings' digests.
-SHARD_BYTES = 2_000_000
-#: Tuples that a sort's queues hold in memory before they go to disk.
-QUEUE_TUPLES = 8_000_000
+#: Bytes that are scanned at once; longer documents are scanned in overlapping pieces.
+PIECE = 2_000_000
+#: Bytes of a shard that are sorted together, about, and segments of one anchor in it at most;
+#: a longer group of one anchor goes by its strings' digests.
+SHARD_BYTES, ANCHOR_SEGMENTS = 2_000_000, 2048
+#: Tuples that a sort's queues hold in memory; a shard of SHARD_BYTES has eight times as many, which go to disk.
+QUEUE_TUPLES = 250_000
+#: One segment in so many tells which anchors are common, and so many of these make one common.
+LOOKED_AT, COMMON = 64, 24
 _PLACE_BITS = U64(24)
 
 
 def _pieces(offsets: np.ndarray, span: int):
     """(first document, last, begin, end, start within the document) of what is scanned at once."""
-    for a, b in blocks(offsets):
+    for a, b in blocks(offsets, PIECE):
         size = int(offsets[b] - offsets[a])
         if size <= PIECE:
             yield a, b, int(offsets[a]), int(offsets[b]), 0
@@ -101,7 +104,7 @@ ANCHORS = "h long, g long, doc long, at long, again boolean"
 
 
 def anchors(docs: DataFrame, span: int) -> DataFrame:
-    """(doc_id, text) to segments; ``at`` holds start * 256 + strings.
+    """(doc, text) to segments; ``at`` holds start * 256 + strings.
 
     Of equal segments that a task sees together only the first goes on to meet
     others; the rest are repeats already (``again``).  The same segment of a
@@ -125,7 +128,7 @@ def anchors(docs: DataFrame, span: int) -> DataFrame:
                 new[1:] = ~again[1:] | (own[1:] != own[:-1]) | (place[1:] != place[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (h.view(np.int64), g.view(np.int64), own, place, again)], ["h", "g", "doc", "at", "again"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, ANCHORS)
+    return docs.where("doc is not null").select("doc", "text").mapInArrow(run, ANCHORS)
 
 
 MET = "h long, doc long, at long, again boolean"
@@ -175,7 +178,7 @@ def cut_out(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
     """The bytes of segments (h, doc, at)."""
     lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("at", "h")).alias("cuts"))  # a document's own segments
     lists = lists.select("doc", F.col("cuts.at").alias("ats"), F.col("cuts.h").alias("hs"))
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).join(lists, "doc")
+    chosen = docs.select("doc", "text").join(lists, "doc")
 
     def run(batches):
         for batch in batches:
@@ -205,20 +208,20 @@ def shard_repeats(doc: np.ndarray, at: np.ndarray, texts: list[bytes], span: int
     joined = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
     t = joined.astype(np.uint16) + 1
     t[begin + size] = 0  # nothing matches across the end of a segment
-    position, prefix = suffix_array(t, 257, span, depth=2 * span, budget=queue, store=store)
     strings = np.zeros(len(t) + 1, np.int32)
     strings[begin] += 1
     strings[begin + (at & 255)] -= 1
     is_start = np.cumsum(strings[:-1]) > 0
-    group = np.cumsum(prefix < span)
-    kept = is_start[position]
-    position, group = position[kept], group[kept]
-    heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, int)
-    if not len(heads):
-        return doc[:0], at[:0]
-    least = np.repeat(np.minimum.reduceat(position, heads), np.diff(np.append(heads, len(position))))
     again = np.zeros(len(t) + 1, bool)
-    again[position[position > least]] = True
+    for position, prefix in sorted_buckets(t, 257, span, depth=2 * span, budget=queue, store=store):
+        group = np.cumsum(prefix < span)  # suffixes of different first symbols are of different groups
+        kept = is_start[position]
+        position, group = position[kept], group[kept]
+        if not len(position):
+            continue
+        heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        least = np.repeat(np.minimum.reduceat(position, heads), np.diff(np.append(heads, len(position))))
+        again[position[position > least]] = True
     edge = np.diff(np.concatenate([[False], again]).astype(np.int8))
     lo, hi = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
     which = np.searchsorted(begin, lo, "right") - 1
@@ -229,7 +232,7 @@ def sort_shards(rows: DataFrame, span: int, shared: str, shard_bytes: int = SHAR
     """Segments with bytes, sorted by (h, doc, at), to repeated ranges."""
 
     def run(batches):
-        store = Folder(f"{shared}/{uuid.uuid4().hex}")
+        store = folder(f"{shared}/{uuid.uuid4().hex}")
         try:
             for table in _runs(batches, shard_bytes // (span + 40)):
                 key = [table.column(i).to_numpy() for i in range(3)]
@@ -240,7 +243,8 @@ def sort_shards(rows: DataFrame, span: int, shared: str, shard_bytes: int = SHAR
                 if len(got[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], ["doc", "at"])
         finally:
-            store.close()
+            if store is not None:
+                store.close()
 
     return rows.mapInArrow(run, RANGES)
 
@@ -277,21 +281,54 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, scratch: Scratch, span
     """(doc, at) where ``at`` is start * 256 + strings: the strings of ``span`` bytes that also start earlier."""
     found = scratch.keep(anchors(docs, span), "anchors")
     known = found.where("again").select("doc", "at")
-    rows = found.where("not again").select("h", "g", "doc", "at").repartition("h").sortWithinPartitions("h", "g", "doc", "at")
-    met = scratch.keep(meet(rows), "met")
-    shared = met.where("not again").select("h", "doc", "at")
-    # one row for each shard's worth of segments at most
-    crowded = scratch.keep(shared.groupBy("h").count().where(F.col("count") > SHARD_BYTES // (span + 40)).select("h"), "crowded")
-    out = known.union(met.where("again").select("doc", "at"))
+    rows = found.where("not again").select("h", "g", "doc", "at")
+    # segments of a common anchor meet by their content as well, so they spread over tasks; none of them is alone
+    looked = rows.where(F.pmod(F.xxhash64("doc", "at"), F.lit(LOOKED_AT)) == 0).groupBy("h").count()
+    common = scratch.keep(looked.where(F.col("count") >= COMMON).select("h"), "common")
+    met = []
+    if common.take(1):
+        met.append(scratch.keep(first_of_each(rows.join(_few(common), "h", "left_semi")), "common-met"))
+        rows = rows.join(_few(common), "h", "left_anti").select("h", "g", "doc", "at")
+    met.append(scratch.keep(meet(rows.repartition("h").sortWithinPartitions("h", "g", "doc", "at")), "met"))
+    all_met = met[0] if len(met) == 1 else met[0].unionByName(met[1])
+    shared = all_met.where("not again").select("h", "doc", "at")
+    most = min(ANCHOR_SEGMENTS, SHARD_BYTES // (span + 40))
+    crowded = scratch.keep(shared.groupBy("h").count().where(F.col("count") > most).select("h"), "crowded")
+    out = known.union(all_met.where("again").select("doc", "at"))
     few = shared
     if crowded.take(1):
-        few = shared.join(F.broadcast(crowded), "h", "left_anti").select("h", "doc", "at")
-        many = shared.join(F.broadcast(crowded), "h", "left_semi").select("h", "doc", "at")
+        few = shared.join(_few(crowded), "h", "left_anti").select("h", "doc", "at")
+        many = shared.join(_few(crowded), "h", "left_semi").select("h", "doc", "at")
         out = out.union(string_repeats(scratch.keep(strings(cut_out(docs, many, span), span), "strings")))
     bytes_ = cut_out(docs, few, span).repartition("h").sortWithinPartitions("h", "doc", "at")
     return out.union(scratch.keep(sort_shards(bytes_, span, scratch.path("spill")), "sorted"))
 
 
+def first_of_each(rows: DataFrame) -> DataFrame:
+    """What ``meet`` gives for segments (h, g, doc, at) of common anchors, by aggregation before any shuffle."""
+    first = rows.groupBy("h", "g").agg(F.min(F.struct("doc", "at")).alias("least"))
+    every = rows.select("h", "g", "doc", "at").distinct().join(first, ["h", "g"])
+    return every.select("h", "doc", "at", (F.struct("doc", "at") != F.col("least")).alias("again"))
+
+
+def _few(anchors_: DataFrame) -> DataFrame:
+    """A written list of anchors, broadcast if a count of its rows allows it."""
+    return F.broadcast(anchors_) if anchors_.count() <= 500_000 else anchors_
+
+
+def _with_order(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` with ``doc``, which orders texts as their ids do.  Texts that differ under one id stand in the order of their hashes."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    repeated = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if not repeated.take(1):
+        return rows.withColumn("doc", F.col("doc_id"))
+    hashed = rows.withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
+    places = hashed.where("doc_id is not null").select("doc_id", "t").distinct().orderBy("doc_id", "t")
+    # written once: these numbers rise along the sorted table, and are not the same when worked out again
+    places = scratch.keep(places.withColumn("doc", F.monotonically_increasing_id()), "order")
+    return hashed.join(places, ["doc_id", "t"], "left").select("doc_id", "text", "doc")
+
+
 OUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -301,15 +338,15 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, span: int = 100, text:
     Each byte goes that is covered by a string of ``span`` bytes which also
     starts earlier, in a smaller doc_id or before in the same document.  Null
     text is empty; a text below ``span`` bytes stays.  Rows that repeat a doc_id
-    count as one text if equal; documents without an id stay as they are.  Other
-    columns are ignored.  An empty table gives no rows.  ``span`` is 25 to 250.
+    count as one text if equal, else as texts in the order of their hashes;
+    documents without an id stay as they are.  Other columns are ignored.  An empty table gives no rows.  ``span`` is 25 to 250.
     """
     if not GRAM < span <= 250:
         raise ValueError(f"span must be from {GRAM + 1} to 250")
     scratch = Scratch(spark, "repeats")
-    ranges = repeated_ranges(spark, docs, scratch, span).groupBy("doc").agg(F.collect_list("at").alias("ats"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(ranges, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "ats")
+    rows = _with_order(docs, scratch)
+    ranges = repeated_ranges(spark, rows, scratch, span).groupBy("doc").agg(F.collect_list("at").alias("ats"))
+    rows = rows.join(ranges, "doc", "left").select("doc_id", "text", "ats")
 
     def run(batches):
         for batch in batches:

@@ -52,6 +52,16 @@ class BucketQueue:
         return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
 
 
+def folder(uri: str) -> Folder | None:
+    """A spill store in the cluster's shared folder; None where only Spark opens it, and the queues stay in memory."""
+    import pyarrow as pa
+
+    try:
+        return Folder(uri)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return None
+
+
 class Folder:
     """A spill store of numpy files in a folder that pyarrow can open (the cluster's shared one)."""
 
@@ -277,15 +287,15 @@ def _rank_starts(t, is_s, lms, symbols, depth, budget, store):
     return lms[np.argsort(rank, kind="stable")]
 
 
-def suffix_array(t: np.ndarray, symbols: int = 257, cap: int = CAP, depth: int = 256, budget: int = 1 << 24, store=None) -> tuple[np.ndarray, np.ndarray]:
-    """(positions of all suffixes in order, common prefix with the suffix before, up to ``cap``).
+def sorted_buckets(t: np.ndarray, symbols: int = 257, cap: int = CAP, depth: int = 256, budget: int = 1 << 24, store=None):
+    """For each first symbol, downwards: (positions of its suffixes in order, common prefix with the suffix before, up to ``cap``).
 
-    Suffixes that agree on more than ``cap`` symbols may stand in either order
-    once ``depth`` names of the reduced string don't tell them apart.
+    What waits to be yielded is in the queues, so beyond ``budget`` tuples it is
+    on disk; one bucket is in memory at a time.
     """
     t = np.ascontiguousarray(t)
     if not len(t):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        return
     is_s = _types(t)
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     if len(lms) > 1:
@@ -293,5 +303,17 @@ def suffix_array(t: np.ndarray, symbols: int = 257, cap: int = CAP, depth: int =
     prefix = np.zeros(len(lms), np.uint8)
     if len(lms) > 1:
         prefix[1:] = _common(t, lms[:-1], lms[1:], cap)
-    parts = [(pos, pre) for _, pos, pre in _sweep(t, is_s, lms, prefix, symbols, cap, budget, store)][::-1]
+    for _, position, common in _sweep(t, is_s, lms, prefix, symbols, cap, budget, store):
+        yield position, common
+
+
+def suffix_array(t: np.ndarray, symbols: int = 257, cap: int = CAP, depth: int = 256, budget: int = 1 << 24, store=None) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of all suffixes in order, common prefix with the suffix before, up to ``cap``), all in memory.
+
+    Suffixes that agree on more than ``cap`` symbols may stand in either order
+    once ``depth`` names of the reduced string don't tell them apart.
+    """
+    parts = list(sorted_buckets(t, symbols, cap, depth, budget, store))[::-1]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])

@@ -342,6 +342,34 @@ def test_near_copies(spark, docs, corpus, tight, monkeypatch):
         assert minhash.near_duplicates(spark, empty(docs)).count() == 0
 
 
+def test_near_copies_among_repeated_and_null_ids(spark):
+    """Rows that repeat an id share the component of its smallest link; a row without an id is kept and links with nothing."""
+    rng = random.Random(4)
+    a, b = words(rng, 60, 10_000), words(rng, 60, 10_000)
+    df = spark.createDataFrame([(5, a), (5, b), (3, a), (9, b), (None, a), (None, None), (7, ""), (7, a)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark, df).collect()), key=str)
+    assert got == sorted([(5, 56, 3, False), (5, 56, 5, True), (3, 56, 3, True), (9, 56, 5, False), (None, 56, None, True), (None, 0, None, True), (7, 0, 7, True), (7, 56, 3, False)], key=str)
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.85])
+def test_branching_keeps_the_target_recall(spark, monkeypatch, threshold):
+    """Pairs at the threshold among documents that all share one node of a tree, which branches."""
+    p = minhash.survival(threshold, threshold, 1)
+    assert 1 - (1 - p) ** minhash.branches_for(minhash.RECALL, threshold) >= 1 - (1 - minhash.RECALL) / 10
+    rng = np.random.default_rng(8)
+    n, pairs = 1500, 500
+    own = rng.integers(0, 2**32 - 1, (2 * n, minhash.PLACES), dtype=np.uint32)
+    own[n : n + pairs] = np.where(rng.random((pairs, minhash.PLACES)) < threshold, own[:pairs], own[n : n + pairs])
+    rows = [(7, i, own[i].tobytes()) for i in range(n + pairs)]
+    df = spark.createDataFrame(rows, "key long, id long, signature binary")
+    out = minhash.branch(df, threshold, minhash.branches_for(minhash.RECALL, threshold)).select("key", "id").collect()
+    nodes = {}
+    for r in out:
+        nodes.setdefault(r.key, set()).add(r.id)
+    met = {(a, b - n) for ids in nodes.values() for a in ids for b in ids if a < n <= b and b - n == a}
+    assert len(met) >= pairs - 2 and len(out) < 12 * len(rows)
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(7)
     for k in range(60):
@@ -406,9 +434,44 @@ def expected_repeats(rows):
     return out
 
 
+def test_shards_sort_on_disk_with_the_settings_of_production(spark, tmp_path, monkeypatch):
+    """A shard of SHARD_BYTES has more tuples than the queues hold, so they go to the shared folder and come back."""
+    rng = random.Random(12)
+    alphabet = "abcdefghijklmnop "
+    passages = ["".join(rng.choices(alphabet, k=139)) for _ in range(repeats.SHARD_BYTES // 140 // 2)]
+    texts = [p.encode() for p in passages] * 2
+    doc, at = np.arange(len(texts)), np.full(len(texts), 40)
+    wrote = []
+
+    class Watched(suffixsort.Folder):
+        def write(self, position, prefix):
+            wrote.append(len(position))
+            return super().write(position, prefix)
+
+    assert repeats.QUEUE_TUPLES * 4 < repeats.SHARD_BYTES
+    got = repeats.shard_repeats(doc, at, texts, 100, repeats.QUEUE_TUPLES, Watched(f"file://{tmp_path}/q"))
+    assert sum(wrote) > 2 * repeats.QUEUE_TUPLES
+    assert got[0].tolist() == list(range(len(passages), len(texts))) and (got[1] == 40).all()
+    assert suffixsort.folder("nowhere://x/y") is None
+
+
+@pytest.mark.parametrize("looked", [1, 64])
+def test_common_anchors_meet_by_content(spark, monkeypatch, looked):
+    monkeypatch.setattr(repeats, "LOOKED_AT", looked)
+    monkeypatch.setattr(repeats, "COMMON", 3)
+    monkeypatch.setattr(repeats, "ANCHOR_SEGMENTS", 8)
+    rng = random.Random(11)
+    shared = words(rng, 80)
+    rows = [(i, words(rng, rng.randrange(1, 30)) + shared[rng.randrange(60) :][: rng.randrange(100, 300)] + words(rng, 10)) for i in range(150)]
+    rows += [(200 + i, rows[i][1]) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_removed, r.kept) for r in repeats.remove_repeats(spark, docs, 100, text=True).collect()}
+    assert got == expected_repeats(rows)
+
+
 def test_repeats_of_an_anchor_with_more_segments_than_a_shard_holds(spark, tmp_path, monkeypatch):
     rng = random.Random(8)
-    heads = ["".join(rng.choices("abcdefgh ", k=90)) for _ in range(repeats.SHARD_BYTES // 140 + 2500)]
+    heads = ["".join(rng.choices("abcdefgh ", k=90)) for _ in range(repeats.ANCHOR_SEGMENTS + 800)]
 
     def share(passage):
         """Of some documents, those with a segment of their own under the passage's commonest anchor."""
@@ -431,7 +494,7 @@ def test_repeats_of_an_anchor_with_more_segments_than_a_shard_holds(spark, tmp_p
     monkeypatch.setattr(repeats, "sort_shards", spy)
     got = {r.doc_id: (r.n_removed, r.kept) for r in repeats.remove_repeats(spark, docs, 100, text=True).collect()}
     assert got == expected_repeats(rows)
-    assert share(passage) >= 90 and max(sizes) <= repeats.SHARD_BYTES // 140
+    assert share(passage) >= 90 and max(sizes) <= repeats.ANCHOR_SEGMENTS
 
 
 def test_shard_sort_with_queues_smaller_than_the_shard(spark, tmp_path):
@@ -439,7 +502,7 @@ def test_shard_sort_with_queues_smaller_than_the_shard(spark, tmp_path):
     passage = words(rng, 40)
     rows = [(1, i, (i << 8) | 40, (words(rng, 30)[: rng.randrange(10, 60)] + passage)[:139].encode()) for i in range(2000)]
     df = spark.createDataFrame(rows, "h long, doc long, at long, bytes binary").coalesce(1).sortWithinPartitions("h", "doc", "at")
-    got, want = (sorted(map(tuple, repeats.sort_shards(df, 100, f"file://{tmp_path}/{q}", queue=q).collect())) for q in (20_000, repeats.QUEUE_TUPLES))
+    got, want = (sorted(map(tuple, repeats.sort_shards(df, 100, f"file://{tmp_path}/{q}", queue=q).collect())) for q in (20_000, 1 << 30))
     assert got == want and len(want)
 
 
@@ -450,6 +513,13 @@ def test_repeated_rows_keep_what_starts_in_them_first(spark, monkeypatch, parts)
     rows = [(i, words(rng, 30) + shared[rng.randrange(20) :] + words(rng, 30)) for i in range(20)]
     docs = spark.createDataFrame(rows[:8] + rows + rows[4:], "doc_id long, text string").repartition(parts)
     want = expected_repeats(rows)
+    other = [(3, words(rng, 25) + shared), (3, shared), (17, None), (None, shared), (None, None)]  # other texts under ids that repeat, and no ids
+    got = {(r.doc_id, r.n_bytes): (r.n_removed, r.kept) for r in repeats.remove_repeats(spark, docs.unionByName(spark.createDataFrame(other, docs.schema)), 100, text=True).collect()}
+    texts = {3: sorted([rows[3][1], other[0][1], shared], key=lambda t: spark.range(1).selectExpr(f"xxhash64('{t}')").first()[0])}
+    flat = [((i, j), t) for i, own in rows for j, t in enumerate(texts.get(i, [own]))]
+    for (i, _), (t, w) in zip([k for k, _ in flat], [(t, expected_repeats(flat)[k]) for k, t in flat], strict=True):
+        assert got[i, len(t.encode())] == w
+    assert got[17, 0] == (0, b"") and got[None, len(shared)] == (0, shared.encode())
     for most in (repeats.SHARD_BYTES, 140 * 5):
         monkeypatch.setattr(repeats, "SHARD_BYTES", most)
         got = repeats.remove_repeats(spark, docs, 100, text=True).collect()
