@@ -5,8 +5,9 @@ node's documents are dealt out by one or two signature places that the node's
 key selects, so that a pair at the threshold lives on in one child on average;
 a document finds its own path without seeing the others.  Small nodes are
 compared exhaustively on sketches, large ones are first compared with one
-member and branch on while that leaves documents over.  Independent trees repeat
-until the target recall.  What the trees bring together is confirmed on full
+member and branch on while that leaves documents over, several times
+independently, so that depth costs no recall.  Independent trees repeat until
+the target recall.  What the trees bring together is confirmed on full
 sets.
 """
 
@@ -34,11 +35,11 @@ BRANCH = 32 * NODE
 RECALL = 0.9999
 #: Standard errors by which a sketch may fall short of the threshold.
 ERRORS = 4.0
-#: Documents whose full sets one task compares with each other.
-BLOCK = 512
+#: Documents whose full sets one task compares with each other, and bytes of sets that count as one document.
+BLOCK, DOC_BYTES = 128, 65_536
 PAIRWISE = 2
-#: Rows of a few numbers each that are broadcast at most; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Rows of a few numbers each that are broadcast at most (some 10 MB); more are joined by a shuffle.
+BROADCAST_IDS = 150_000
 
 _rng = np.random.default_rng(77)
 _XOR = _rng.integers(0, 2**32, PLACES, dtype=np.uint32)
@@ -65,6 +66,11 @@ def trees_for(recall: float, threshold: float, depth: int) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, threshold, depth))))
 
 
+def branches_for(recall: float, threshold: float) -> int:
+    """Times that a large node branches: a level may cost a pair a tenth of what the trees may."""
+    return trees_for(1 - (1 - recall) / 10, threshold, 1)
+
+
 def document_sets(column, width: int):
     """For each block of documents: (first, last, document of each distinct shingle, its hash), sorted within documents."""
     for a, b, _, words in word_blocks(column, BY_SPACE):
@@ -157,16 +163,17 @@ def plant(distinct: DataFrame, trees: int, depth: int, threshold: float) -> Data
     return distinct.select("id", "signature").mapInArrow(run, NODES)
 
 
-def branch(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(key, id, signature) one level deeper."""
+def branch(nodes: DataFrame, threshold: float, times: int) -> DataFrame:
+    """(key, id, signature) one level deeper, ``times`` times by places of their own."""
     often = second_place(threshold)
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 key, ids, own = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), _matrix(batch.column(2), np.uint32, PLACES)
-                r, child = _children(key, own, often)
-                yield _nodes(child, ids[r], own[r])
+                for trial in range(times):
+                    r, child = _children(mix(key + U64(trial)), own, often)
+                    yield _nodes(child, ids[r], own[r])
 
     return nodes.select("key", "id", "signature").mapInArrow(run, NODES)
 
@@ -257,7 +264,7 @@ def candidates(spark: SparkSession, distinct: DataFrame, threshold: float, scrat
         if not open_.limit(1).count():
             return _union(found)
         deeper = big.join(open_.select("key"), "key").select("key", "id").join(distinct.select("id", "signature"), "id")
-        nodes = scratch.keep(branch(deeper, threshold), "nodes")
+        nodes = scratch.keep(branch(deeper, threshold, branches_for(recall, threshold)), "nodes")
 
 
 def _agreement(one: str, other: str) -> Column:
@@ -359,10 +366,15 @@ def confirmed(sets: DataFrame, percent: int) -> DataFrame:
     return sets.mapInArrow(run, LINKS)
 
 
-def verify(spark: SparkSession, docs: DataFrame, links: DataFrame, percent: int, width: int, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+def _weight(n_bytes: Column) -> Column:
+    """Documents that a row counts for: one, or more where its set is large."""
+    return F.sum(F.greatest(F.lit(1), F.ceil(n_bytes / DOC_BYTES))).cast("long")
+
+
+def verify(spark: SparkSession, docs: DataFrame, classes: DataFrame, links: DataFrame, percent: int, width: int, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """Candidate links to links whose full sets agree, by groups that candidates connect."""
-    groups = components(spark, links, scratch).withColumnRenamed("component_id", "grp")
-    groups = groups.join(groups.groupBy("grp").agg(F.count("*").alias("c")), "grp").select("id", "grp", "c")
+    groups = components(spark, links, scratch).withColumnRenamed("component_id", "grp").join(classes.select("id", "n"), "id")
+    groups = groups.join(groups.groupBy("grp").agg(_weight(F.col("n") * 8).alias("c")), "grp").select("id", "grp", "c")
     groups = scratch.keep(groups, "groups")
     sets = scratch.keep(full_sets(docs, groups, width), "sets")
     small = sets.where(F.col("c") <= block).select("grp", "id", "shingles", F.lit(PAIRWISE).alias("asks"))
@@ -377,7 +389,7 @@ def verify(spark: SparkSession, docs: DataFrame, links: DataFrame, percent: int,
         out.append(star)
         tied = star.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         rest = whole.where("id <> grp").join(tied, "id", "left_anti")
-        counts = scratch.keep(rest.groupBy("grp").agg(F.count("*").alias("rest")), "rest")
+        counts = scratch.keep(rest.groupBy("grp").agg(_weight(F.octet_length("shingles")).alias("rest")), "rest")
         if counts.limit(1).count():
             pieces = F.ceil(F.col("rest") / block).cast("int")
             every = whole.join(counts, "grp").withColumn("j", F.explode(F.sequence(F.lit(0), pieces - 1))).withColumn("asks", F.lit(0))
@@ -394,7 +406,7 @@ def _linked(spark: SparkSession, docs: DataFrame, percent: int, width: int, reca
     classes = every.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.first("signature").alias("signature"))
     classes = scratch.keep(classes, "classes")
     links = candidates(spark, classes, percent / 100, scratch, recall)
-    return every, classes, components(spark, verify(spark, docs, links, percent, width, scratch), scratch)
+    return every, classes, components(spark, verify(spark, docs, classes, links, percent, width, scratch), scratch)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, width: int = WIDTH, recall: float = RECALL) -> DataFrame:
@@ -403,9 +415,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, wid
     Documents link where ``100 * intersection >= percent * union`` of their
     distinct ``width``-word shingles (A-Z in lower case, words between ASCII
     white space; a text of fewer words is one shingle).  A text without words,
-    or null, is empty and links with nothing.  Each row is a document; rows that
-    repeat a doc_id share its component; a null doc_id has n_shingles, a null
-    component and is kept.  Other columns are ignored.  An empty table gives no rows.
+    or null, is empty and links with nothing.  Each row goes by its own
+    text: rows that repeat a doc_id with other texts may be of other components;
+    a null doc_id has n_shingles, a null component and is kept.  Other columns are ignored.  An empty table gives no rows.
     """
     scratch = Scratch(spark, "minhash")
     with small_batches(spark):
