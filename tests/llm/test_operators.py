@@ -232,15 +232,74 @@ def test_warc_round_trip_and_pushdown(spark, tmp_path):
     assert warc.round_trip(spark, df.limit(0)).count() == 0
 
 
-def test_mixing(spark, docs):
-    out = mixing.mix(spark, docs, fraction=0.5)
-    assert out.count() == docs.count() and out.where("probability < 0 or probability > 1").count() == 0
-    table = mixing.mix(spark, docs, fraction=0.5, driver_cells=0)
-    a, b = ({(r.doc_id, r.text): r.probability for r in d.collect()} for d in (out, table))
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-2 for k in a)
+def brute_mix(corpus, power, fraction):
+    """Probability by row: cells in plain Python, one-value-at-a-time limits, and raking until nothing moves."""
+    def topic(t):
+        t = t or ""
+        return "empty" if not t.strip(" ") else "legal" if " license" in t.lower() else "contact" if "@" in t or "://" in t else "long" if len(t) >= 8000 else "note" if len(t) < 600 else "prose"
+
+    keys = [(s or "", lang or "", topic(t)) for _, t, s, lang, *_ in corpus]
+    tokens = {}
+    for k, (_, t, *_) in zip(keys, corpus, strict=True):
+        tokens[k] = tokens.get(k, 0) + len(re.findall(r"[^ \t\n\x0b\f\r]+", t or ""))
+    total = sum(tokens.values())
+    goals = []
+    for m in range(3):
+        have = {}
+        for k, n in tokens.items():
+            have[k[m]] = have.get(k[m], 0) + n
+        want = {v: n**power for v, n in have.items() if n}
+        scale = fraction * total / sum(want.values())
+        low, high = 0.0, 1e6 * scale
+        for _ in range(300):  # the level at which the capped targets fill the budget
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(have[v], mid * x) for v, x in want.items()) < fraction * total else (low, mid)
+        goals.append({v: min(have[v], high * x) for v, x in want.items()})
+    w = {k: fraction * n for k, n in tokens.items()}
+    for _ in range(5000):
+        for m in range(3):
+            now = {}
+            for k, x in w.items():
+                now[k[m]] = now.get(k[m], 0) + x
+            w = {k: min(tokens[k], x * goals[m].get(k[m], 0) / now[k[m]] if now[k[m]] else 0) for k, x in w.items()}
+    return [w[k] / tokens[k] if tokens[k] else 1.0 for k in keys], goals
+
+
+def test_mixing(spark, docs, corpus):
+    for fraction in (0.5, 0.9):
+        want, goals = brute_mix(corpus, 0.8, fraction)
+        out = mixing.mix(spark, docs, fraction=fraction).collect()
+        got = {(r.doc_id, r.text): r for r in out}
+        assert len(out) == len(corpus)
+        for (i, t, *_), p in zip(corpus, want, strict=True):
+            assert abs(got[i, t].probability - p) < 1e-5, (i, got[i, t].probability, p)
+        mass = sum(r.probability * r.n_tokens for r in out)
+        assert fraction > 0.5 or abs(mass - sum(goals[0].values())) < 1e-3 * mass
     assert mixing.mix(spark, empty(docs)).count() == 0
 
 
+def test_both_forms_of_raking_agree(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing.rake, "__defaults__", (3, 1e-9))
+    monkeypatch.setattr(mixing.rake_table, "__defaults__", (3, 1e-9))
+    targets = {"source": {f"s{i}": (i + 1) / 78 for i in range(12)}, "lang": {"en": 0.7, "": 0.3}}
+    with pytest.warns(UserWarning, match="can't be met"):
+        a, b = ({(r.doc_id, r.text): r.probability for r in mixing.mix(spark, docs, targets, fraction=0.5, driver_cells=n).collect()} for n in (mixing.DRIVER_CELLS, 0))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+def test_mixing_of_repeated_rows_and_null_ids(spark):
+    rows = [(1, "a b c", "x", "en"), (1, "a b c", "x", "en"), (None, "d e", None, None), (None, "d e", None, None), (2, None, "y", "en")] * 3
+    out = mixing.mix(spark, spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), fraction=0.5).collect()
+    assert len(out) == 15 and len({(r.doc_id, r.selected) for r in out}) == 3 and all(r.probability == 1 for r in out if r.doc_id == 2)
+
+
+def test_small_values_give_all_they_have():
+    have = np.array([10.0, 90.0, 0.0, 100.0])
+    assert np.allclose(mixing.attainable(have, np.array([0.25, 0.25, 0.25, 0.25]), 100.0), [0.1, 0.45, 0, 0.45])
+    assert np.allclose(mixing.attainable(have, np.array([0.05, 0.45, 0, 0.5]), 100.0), [0.05, 0.45, 0, 0.5])
+    assert np.allclose(mixing.attainable(have, np.array([0.5, 0.5, 0.0, 0.0]), 180.0) * 180, [10, 90, 0, 0])
+
+
 def test_rake_meets_targets():
     rng = np.random.default_rng(5)
     tokens = rng.integers(100, 1000, 24).astype(float)
