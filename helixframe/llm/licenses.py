@@ -23,15 +23,68 @@ from helixframe.llm.textkernels import ALPHANUMERIC, hash_of, word_blocks
 # The base phrases and their labels.
 BASE = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 
-# Notices and grants, with what may be left out or replaced.
+# Wordings of licences and of notices that refer to them, with what may be left out or replaced.
+_COPYRIGHT = "<<beginOptional>>copyright <<beginOptional>>c<<endOptional>> <<var;min=1;max=16>> <<beginOptional>>all rights reserved<<endOptional>><<endOptional>>"
+_BSD_CONDITIONS = """
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+<<beginOptional>>1<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+<<beginOptional>>2<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the distribution."""
+_BSD_DISCLAIMER = """
+This software is provided by <<var;min=1;max=12>> "as is" and any express or implied warranties, including, but not limited to, the implied
+warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall <<var;min=1;max=12>> be liable for any
+direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or
+services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict
+liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility
+of such damage."""
 TEMPLATES = {
+    "0bsd": f"""{_COPYRIGHT} Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+The software is provided "as is" and <<var;min=1;max=6>> disclaims all warranties with regard to this software including all implied warranties
+of merchantability and fitness. In no event shall <<var;min=1;max=6>> be liable for any special, direct, indirect, or consequential damages or any
+damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising
+out of or in connection with the use or performance of this software.""",
+    "apache-2.0-appendix": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+License. You may obtain a copy of the License at http<<beginOptional>>s<<endOptional>>://www.apache.org/licenses/LICENSE-2.0 Unless required by
+applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS
+OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
     "apache-2.0-notice": "licensed under the apache license <<beginOptional>>version<<endOptional>> 2 <<beginOptional>>0<<endOptional>>",
+    "bsd-2-clause": f"{_COPYRIGHT} {_BSD_CONDITIONS} {_BSD_DISCLAIMER}",
+    "bsd-3-clause": f"""{_COPYRIGHT} {_BSD_CONDITIONS} <<beginOptional>>3<<endOptional>> Neither the name of <<var;min=1;max=12>> nor the names of its
+contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_DISCLAIMER}""",
     "bsd-conditions": "redistribution and use in source and binary forms with or without modification are permitted <<beginOptional>>provided that the following conditions are met<<endOptional>>",
     "cc-notice": "licensed under <<beginOptional>>a<<endOptional>> <<var;min=1;max=2;match=cc|creative|commons>> by <<beginOptional>>nc<<endOptional>> <<beginOptional>>sa<<endOptional>> <<beginOptional>>nd<<endOptional>> <<var;min=1;max=2;match=\\d+>>",
     "gpl-notice": "licensed under the <<beginOptional>>terms of the<<endOptional>> <<beginOptional>>gnu<<endOptional>> general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version <<var;min=1;max=1;match=\\d+>>",
+    "gpl-program-notice": """This <<var;min=1;max=4>> is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of the
+GNU General Public License as published by the Free Software Foundation, <<beginOptional>>either<<endOptional>> version <<var;min=1;max=1;match=\\d+>> of the
+License<<beginOptional>>, or (at your option) any later version<<endOptional>>. <<beginOptional>>This <<var;min=1;max=4>> is distributed in the hope that it
+will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General
+Public License for more details.<<endOptional>>""",
+    "isc": f"""{_COPYRIGHT} Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee
+is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. The software is provided "as is" and
+<<var;min=1;max=6>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. In no event
+shall <<var;min=1;max=6>> be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use,
+data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of
+this software.""",
+    "mit-text": f"""{_COPYRIGHT} Permission is hereby granted, free of charge, to any person obtaining a
+copy of this <<var;min=1;max=3>> and associated documentation <<beginOptional>>files<<endOptional>> (the "<<var;min=1;max=3>>"), to deal in the <<var;min=1;max=3>> without
+restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+<<var;min=1;max=3>>, and to permit persons to whom the <<var;min=1;max=3>> is furnished to do so, subject to the following conditions: The above copyright notice
+and this permission notice <<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or substantial portions of the <<var;min=1;max=3>>.
+The <<var;min=1;max=3>> is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability,
+fitness for a particular purpose and noninfringement. In no event shall <<var;min=1;max=8>> be liable for any claim, damages or other liability, whether
+in an action of contract, tort or otherwise, arising from, out of or in connection with the <<var;min=1;max=3>> or the use or other dealings in the
+<<var;min=1;max=3>>.""",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this <<var;min=1;max=3>> <<beginOptional>>and associated documentation files<<endOptional>> <<beginOptional>>the software<<endOptional>> to deal in the software without restriction",
     "mit-notice": "<<var;min=1;max=1;match=released|licensed|distributed|available>> under the <<beginOptional>>terms of the<<endOptional>> mit license",
     "spdx-identifier": "spdx license identifier <<var;min=1;max=4>>",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "zlib": f"""{_COPYRIGHT} This software is provided 'as-is', without any express or implied warranty. In no event will the author<<beginOptional>>s<<endOptional>> be held
+liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+applications, and to alter it and redistribute it freely, subject to the following restrictions: <<beginOptional>>1<<endOptional>> The origin of this software must
+not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product
+documentation would be appreciated but is not required. <<beginOptional>>2<<endOptional>> Altered source versions must be plainly marked as such, and must not be
+misrepresented as being the original software. <<beginOptional>>3<<endOptional>> This notice may not be removed or altered from any source distribution.""",
 }
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -59,11 +112,11 @@ class Automaton:
                     todo.append(t)
         return out
 
-    def longest(self, text: list[str], at: int) -> int:
-        """Words that the longest accepted run from ``at`` has; 0 if none is accepted."""
+    def longest(self, word_at, most: int) -> int:
+        """Words that the longest accepted run of ``word_at(0)``, ``word_at(1)``, ... has, of ``most`` there are; 0 if none is accepted."""
         states, n, best = self.closure({0}), 0, 0
-        while states and at + n < len(text):
-            word = text[at + n]
+        while states and n < most:
+            word = word_at(n)
             states = self.closure({t for s in states for kind, x, t in self.words[s] if (kind == "word" and x == word) or (kind == "any" and (x is None or x.fullmatch(word)))})
             n += 1
             if self.final in states:
@@ -129,7 +182,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     phrases; ``labels`` also holds the accepted templates.  ``score`` is 1 for an
     accepted template, else 0.5 for a base phrase, else 0.  Null and empty text
     have no words and score 0; repeated rows give a row each; a null doc_id is
-    kept; other columns are ignored.
+    kept; other columns are ignored; an empty table gives no rows.
     """
     templates = TEMPLATES if templates is None else templates
     automata = [(name, True, compile_template(x)) for name, x in BASE.items()] + [(name, False, compile_template(x)) for name, x in templates.items()]
@@ -138,7 +191,6 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
         for word in a.first_words():
             starts.setdefault(int(hash_of(word)), []).append(i)
     anchors = np.array(sorted(starts), np.uint64)
-    reach = max(len(a.words) for _, _, a in automata)  # no run has more words than its automaton has states
 
     def run(batches):
         for batch in batches:
@@ -151,11 +203,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
                 for i in found.tolist():
                     doc = int(words.doc[i])
                     first, end = int(words.first[doc]), int(words.first[doc + 1])
-                    last = min(i + reach, end)
-                    text = [raw[x:y].decode().translate(_LOWER) for x, y in zip(words.start[i:last].tolist(), words.end[i:last].tolist(), strict=True)]
+                    word_at = lambda n, i=i, words=words, raw=raw: raw[words.start[i + n] : words.end[i + n]].decode().translate(_LOWER)
                     for k in starts[int(words.hash[i])]:
                         name, base, automaton = automata[k]
-                        if automaton.longest(text, 0):
+                        if automaton.longest(word_at, end - i):
                             row = hits[a + doc] = hits[a + doc] or ([], set(), set())
                             row[2].add(name)
                             if base:

@@ -368,6 +368,73 @@ def test_licences(spark):
     assert (got[3].n_base, got[3].score, got[4].n_words, got[5].labels) == (0, 0.0, 0, "") and (got[8].first_word, got[8].score) == (1, 0.5)
 
 
+MIT = """Copyright (c) 2019 Jane Doe and contributors
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD = """Copyright 2001 The Regents. All rights reserved.
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+ 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+ 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{third}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT,
+INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA,
+OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+THIRD = " 3. Neither the name of the Regents nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+def test_whole_licence_texts(spark):
+    """Whole texts are accepted; one mandatory word changed or left out anywhere, and they are not."""
+    rng = random.Random(0)
+    rows, want = [(0, "see below\n" + MIT + "\nthe end"), (1, BSD.format(third="")), (2, BSD.format(third=THIRD))], {0: "mit-text", 1: "bsd-2-clause", 2: "bsd-3-clause"}
+    body = MIT[MIT.index("Permission") :].split()
+    fixed = [i for i, w in enumerate(body) if re.fullmatch(r"[A-Za-z]+", w) and w.lower() not in ("software", "files", "the", "authors", "or", "copyright", "holders")]
+    for k in range(40):
+        broken = list(body)
+        i = rng.choice(fixed)
+        broken[i : i + 1] = [] if k % 2 else ["other"]
+        rows.append((100 + k, " ".join(broken)))
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, name in want.items():
+        assert name in got[i] and not got[i] & (set(want.values()) - {name})
+    assert not any("mit-text" in got[i] for i in got if i >= 100)
+
+
+def test_base_columns_equal_a_regular_expression(spark, docs, corpus, sf_dir):
+    """Places of the phrases, found another way: a pattern over the whole lower-cased text."""
+    rows = [(r.doc_id, r.text) for r in scratch.table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
+    rows += [(None, "MIT License"), (7, "MIT License"), (7, "MIT License"), (8, "mit-license\u00e9 mit\u00a0license Mit\nLicense 3mit license"), (9, "General, Public -- LICENSE general public license"), (10, None)]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, labels string, n_words string")
+    out = licenses.scan(df).collect()
+    assert len(out) == len(rows) and licenses.scan(df.limit(0)).count() == 0
+    want = []
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    word = "[0-9a-z\u0080-\U0010ffff]"
+    gap = "[^0-9a-z\u0080-\U0010ffff]+"
+    for i, t in rows:
+        t = (t or "").translate(lower)
+        starts = [m.start() for m in re.finditer(f"(?<!{word}){word}+", t)]
+        places, labels = [], set()
+        for label, phrase in (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license")):
+            for m in re.finditer(f"(?<!{word})(?={gap.join(phrase.split())}(?!{word}))", t):
+                places.append(starts.index(m.start()))
+                labels.add(label)
+        want.append((i, len(starts), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))))
+    got = [(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in out]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in out)
+
+
 def brute_components(corpus, percent):
     sets = {}
     for i, t, *_ in corpus:
