@@ -21,15 +21,16 @@ from pyspark.sql import functions as F
 from helixframe.llm.scratch import Scratch
 from helixframe.llm.textkernels import BY_SPACE, word_blocks
 
-#: Distinct words whose ids a worker remembers.
-WORD_CACHE = 1_500_000
+#: Bytes of remembered words from which a worker forgets them all.
+CACHE_BYTES = 40_000_000
 
 
 class WordTokens:
-    """Token ids of white-space separated words, each distinct word encoded once.
+    """Token ids of white-space separated words, each distinct word encoded once while it is remembered.
 
     The vocabulary's pre-tokeniser never joins text across white space, so a
-    text's ids are its words' ids in order.
+    text's ids are its words' ids in order.  Words are kept as sorted hashes and
+    flat ids, some 30 bytes each.
     """
 
     def __init__(self, spec: str):
@@ -37,45 +38,49 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
-        self.ids = np.zeros(1 << 20, np.uint32)
-        self.start = np.zeros(1 << 18, np.int64)
-        self.size = np.zeros(1 << 18, np.int64)
-        self.used, self.words = 0, 0
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids, self.start = np.zeros(1 << 12, self.kind), np.zeros(1 << 10, np.int64)
+        self.words = 0
         self._add([[0]])  # word 0: the id 0 that ends a document
 
     def _add(self, encoded: list[list[int]]) -> None:
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        n, total = self.words + len(encoded), int(lengths.sum())
-        while len(self.start) < n:
-            self.start, self.size = np.concatenate([self.start] * 2), np.concatenate([self.size] * 2)
-        while len(self.ids) < self.used + total:
-            self.ids = np.concatenate([self.ids] * 2)
-        self.size[self.words : n] = lengths
-        self.start[self.words : n] = self.used + np.cumsum(lengths) - lengths
-        self.ids[self.used : self.used + total] = np.fromiter((i for e in encoded for i in e), np.uint32, total)
-        self.words, self.used = n, self.used + total
+        n, used = self.words + len(encoded), int(self.start[self.words])
+        total = used + int(lengths.sum())
+        if len(self.start) <= n:
+            self.start = np.concatenate([self.start, np.zeros(max(n + 1 - len(self.start), len(self.start) // 2), np.int64)])
+        if len(self.ids) < total:
+            self.ids = np.concatenate([self.ids, np.zeros(max(total - len(self.ids), len(self.ids) // 2), self.kind)])
+        self.start[self.words + 1 : n + 1] = used + np.cumsum(lengths)
+        self.ids[used:total] = np.fromiter((i for e in encoded for i in e), self.kind, total - used)
+        self.words = n
 
     def block(self, data: np.ndarray, words) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents of a block, where each document's begin and the end)."""
-        if self.words > WORD_CACHE:
+        if self.keys.nbytes + self.numbers.nbytes + self.ids.nbytes + self.start.nbytes > CACHE_BYTES:
             self.clear()
         distinct, first, of = np.unique(words.hash, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        index = np.fromiter((self.at.get(k, -1) for k in keys), np.int64, len(keys))
-        new = np.flatnonzero(index < 0)
+        at = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = np.flatnonzero(at < len(self.keys))
+        known[inside] = self.keys[at[inside]] == distinct[inside]
+        index = np.zeros(len(distinct), np.int64)
+        index[known] = self.numbers[at[known]]
+        new = np.flatnonzero(~known)
         if len(new):
             raw = data.tobytes()
             spans = zip(words.start[first[new]].tolist(), words.end[first[new]].tolist(), strict=True)
             texts = [raw[a:b].decode() for a, b in spans]
             index[new] = self.words + np.arange(len(new))
-            self.at.update(zip((keys[i] for i in new.tolist()), index[new].tolist(), strict=True))
+            self.keys = np.insert(self.keys, at[new], distinct[new])
+            self.numbers = np.insert(self.numbers, at[new], index[new].astype(np.int32))
             self._add([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
         line = np.insert(index[of], words.first[1:], 0)
-        size = self.size[line]
+        size = self.start[line + 1] - self.start[line]
         ends = np.cumsum(size)
         ids = self.ids[np.repeat(self.start[line] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
         last = words.first[1:] + np.arange(len(words.first) - 1)  # where each document's end stands in line
@@ -86,8 +91,10 @@ _workers: dict[int, WordTokens] = {}
 
 
 def _worker(spec: str) -> WordTokens:
+    """A worker keeps one vocabulary and its bounded memory of words."""
     key = zlib.crc32(spec.encode())
     if key not in _workers:
+        _workers.clear()
         _workers[key] = WordTokens(spec)
     return _workers[key]
 

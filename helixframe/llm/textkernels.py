@@ -16,8 +16,10 @@ import pyarrow as pa
 U64 = np.uint64
 _STEP = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_STEP, -1, 2**64)
-#: Bytes of text that are hashed at once; a longer document is a block of its own.
-BLOCK_BYTES = 2_000_000
+#: Bytes of text that are hashed at once; a longer document is a block of its own, hashed part by part.
+BLOCK_BYTES = 500_000
+#: Powers that a worker keeps; longer runs compute their own and drop them.
+KEPT_POWERS = 2_000_256
 
 _rng = np.random.default_rng(20240501)
 _VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -35,13 +37,19 @@ ALPHANUMERIC[48:58] = ALPHANUMERIC[65:91] = ALPHANUMERIC[97:123] = ALPHANUMERIC[
 _powers: dict[str, np.ndarray] = {}
 
 
+def _series(base: int, n: int) -> np.ndarray:
+    out = np.full(n, U64(base))
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the step and of its inverse."""
+    if n > KEPT_POWERS:
+        return _series(_STEP, n), _series(_INVERSE, n)
     if not _powers or len(_powers["p"]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        for name, base in (("p", _STEP), ("q", _INVERSE)):
-            out = np.full(size, U64(base))
-            out[0] = 1
-            _powers[name] = np.multiply.accumulate(out)
+        size = min(KEPT_POWERS, max(n, BLOCK_BYTES + 1))
+        _powers.update(p=_series(_STEP, size), q=_series(_INVERSE, size))
     return _powers["p"], _powers["q"]
 
 
@@ -82,32 +90,53 @@ class Words:
 
     __slots__ = ("start", "end", "doc", "hash", "first")
 
-    def __init__(self, offsets: np.ndarray, data: np.ndarray, alphabet: np.ndarray, fold: bool = True):
-        """offsets: len n+1, from 0; data: the block's bytes."""
-        n = len(offsets) - 1
-        inside = alphabet[data]
-        edge = offsets[1:-1]
-        edge = edge[edge < len(data)]
-        before = np.empty_like(inside)
-        before[:1] = False
-        before[1:] = inside[:-1]
-        before[edge] = False
-        self.start = np.flatnonzero(inside & ~before)
-        after = np.empty_like(inside)
-        after[-1:] = False
-        after[:-1] = inside[1:]
-        after[edge[edge > 0] - 1] = False
-        self.end = np.flatnonzero(inside & ~after) + 1
+    def __init__(self, offsets: np.ndarray, data: np.ndarray, alphabet: np.ndarray, fold: bool = True, most: int = BLOCK_BYTES):
+        """offsets: len n+1, from 0; data: the block's bytes, hashed ``most`` at a time."""
+        values = _VALUES if fold else _CASED
+        edges = offsets[1:-1]
+        starts, ends, raws = [], [], []
+        for low in range(0, len(data), most):
+            part = data[low : low + most]
+            inner = edges[(edges > low) & (edges < low + len(part))] - low
+            start, end, raw = _word_parts(part, alphabet, values, inner)
+            if low and len(start) and start[0] == 0 and len(ends[-1]) and ends[-1][-1] == low and not (edges == low).any():
+                # a word goes on across the cut: its polynomial continues where the part before left it
+                raws[-1][-1:] += raw[:1] * U64(pow(_STEP, low - int(starts[-1][-1]), 2**64))
+                ends[-1][-1] = low + end[0]
+                start, end, raw = start[1:], end[1:], raw[1:]
+            if len(start) or not starts:
+                starts.append(start + low)
+                ends.append(end + low)
+                raws.append(raw)
+        none = np.zeros(0, np.int64)
+        self.start = np.concatenate(starts) if starts else none
+        self.end = np.concatenate(ends) if ends else none
         self.first = np.searchsorted(self.start, offsets)  # of each document, and the end
-        self.doc = np.repeat(np.arange(n), np.diff(self.first))
-        p, q = _power(len(data) + 1)
-        sums = np.empty(len(data) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum((_VALUES if fold else _CASED)[data] * p[: len(data)], out=sums[1:])
-        raw = (sums[self.end] - sums[self.start]) * q[self.start]
+        self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
+        raw = np.concatenate(raws) if raws else none.view(np.uint64)
         self.hash = mix(raw + (self.end - self.start).astype(np.uint64))
 
 
+def _word_parts(data: np.ndarray, alphabet: np.ndarray, values: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, polynomial) of the runs of word bytes; ``edge``: inner places where documents end."""
+    inside = alphabet[data]
+    before = np.empty_like(inside)
+    before[0] = False
+    before[1:] = inside[:-1]
+    before[edge] = False
+    start = np.flatnonzero(inside & ~before)
+    after = np.empty_like(inside)
+    after[-1] = False
+    after[:-1] = inside[1:]
+    after[edge - 1] = False
+    end = np.flatnonzero(inside & ~after) + 1
+    p, q = _power(len(data) + 1)
+    sums = np.empty(len(data) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(values[data] * p[: len(data)], out=sums[1:])
+    return start, end, (sums[end] - sums[start]) * q[start]
+
+
 def word_blocks(column: pa.Array, alphabet: np.ndarray, fold: bool = True) -> Iterator[tuple[int, int, np.ndarray, Words]]:
     """(first document, last, bytes, words) of each block of a column."""
     offsets, data = text_buffers(column)
