@@ -136,6 +136,16 @@ def covers_fully(least_span, tail) -> Column:
     )
 
 
+def is_qualified(least_span=2000, tail=20) -> Column:
+    """Containment, or a dovetail whose outer ends meet and whose span on a is long enough; coordinates are taken on the forward strand."""
+    own = lambda r, e: F.when(F.col(f"{r}_strand") == 1, F.col(f"{r}_len") - F.col(f"{r}_{'end' if e == 'start' else 'start'}")).otherwise(F.col(f"{r}_{e}"))
+    a0, a1, b0, b1 = own("a", "start"), F.col("a_len") - own("a", "end"), own("b", "start"), F.col("b_len") - own("b", "end")
+    long_ = F.col("a_end") - F.col("a_start") >= least_span
+    ends = lambda tail_, head: (tail_ <= tail) & (head <= tail) & long_
+    clash = ((a1 <= tail) & (b0 > tail)) | ((b1 <= tail) & (a0 > tail) & ~ends(a1, b0))
+    return ((a0 <= tail) & (a1 <= tail)) | ((b0 <= tail) & (b1 <= tail)) | (~clash & (ends(a1, b0) | ends(b1, a0)))
+
+
 def maps_enough(least_span, ratio) -> Column:
     a, b = F.col("a_end") - F.col("a_start"), F.col("b_end") - F.col("b_start")
     return (a >= least_span) | (b >= least_span) | (a >= F.col("a_len") * ratio) | (b >= F.col("b_len") * ratio)

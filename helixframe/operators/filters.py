@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.functions.overlap import location_from, same_strand
+from helixframe.functions.overlap import same_strand
 from helixframe.operators import intervals as I  # noqa: E741
 from helixframe.operators import overlaps as O  # noqa: E741
 from helixframe.operators import statistics as S
@@ -108,41 +108,69 @@ def coverage_trough(cov: DataFrame, column: str = "min_coverage") -> int:
     return S.first_trough(bins) if bins else 0
 
 
-REASONS = ("Simple", "Duplicate", "Local", "FilteredRead", "LackOfSupport", "BestN")
+REASONS = ("Simple", "Local", "Duplicate", "FilteredRead", "LackOfSupport", "BestN")
 
 
-def reasons(spark: SparkSession, overlaps: DataFrame, min_identity=90.0, max_overhang=200, min_length=2500, min_aligned=500, min_coverage=1, support=1, best_n=10) -> DataFrame:
+def coverage_bounds(cov: DataFrame, discard: float, min_coverage: int | None, max_coverage: int | None, max_difference: int | None) -> tuple[int, int, int]:
+    """(least, most, largest difference) of coverage that a read may have; what isn't given comes from the reads themselves."""
+    found = coverage_limits(cov, discard).first()  # one row
+    pick = lambda given, own: given if given is not None else int(own or 0)
+    least = min_coverage if min_coverage is not None else coverage_trough(cov)
+    return least, pick(max_coverage, found["most"]), pick(max_difference, found["spread"])
+
+
+def badly_covered(cov: DataFrame, least: int, most: int, difference: int) -> DataFrame:
+    """Reads (read_id) below the least coverage, above the most, or whose coverage differs too much."""
+    return cov.where((F.col("min_coverage") < least) | (F.col("max_coverage") > most) | (F.col("max_coverage") - F.col("min_coverage") > difference)).select("read_id")
+
+
+def reasons(
+    spark: SparkSession, overlaps: DataFrame, min_identity: float | None = None, max_overhang: int | None = None, raw_identity: float = 70.0, raw_overhang: int = 1000,
+    min_length: int = 2500, min_aligned: int = 2500, coverage: int = 40, low_coverage: int = 25, both: bool = True,
+    min_coverage: int | None = None, max_coverage: int | None = None, max_difference: int | None = None, discard: float = 0.01, best_n: int = 10,
+) -> DataFrame:
     """All overlaps with ``reason``: null if kept, else the first step that drops it.
 
-    Steps: simple limits; the longest of each pair; ends snapped; reads whose
-    least coverage is too low, or that another read contains, with their
-    overlaps; support at both ends; the best of each read end.
+    Limits that aren't given come from overlaps within the raw limits: identity
+    and overhang over all reads, then for each read.  Steps: simple limits;
+    limits of either read (``both``: of both); the longest of each pair; ends
+    snapped; reads with too low, too high or too uneven coverage, looked at twice,
+    the second time with the first time's upper bounds; support at both ends;
+    reads that others contain; the best of each read end.
     """
     store = Store(spark, "filter")  # a pass between steps is written once, as several later ones read it
+    raw = O.raw_filter(overlaps, raw_identity, raw_overhang, min_aligned)
+    if min_identity is None or max_overhang is None:
+        found = S.global_limits(S.read_info(raw)).first()  # one row
+        min_identity = found["min_identity"] if min_identity is None else min_identity
+        max_overhang = found["max_overhang"] if max_overhang is None else max_overhang
+    limits = store.keep(S.read_limits(raw, min_identity, max_overhang, coverage, low_coverage), "limits")
     simple = store.keep(O.simple_filter(overlaps, min_identity, min_length, min_aligned=min_aligned, max_overhang=max_overhang).distinct(), "simple")
-    one = store.keep(O.dedupe_pairs(simple), "one")
-    snapped = store.keep(O.snap_ends(one, max_overhang), "snapped")
-    low = read_coverage(snapped).where(F.col("min_coverage") < min_coverage).select("read_id")
-    inner = contained_reads(snapped).select("read_id")
-    out_reads = low.union(inner).distinct()
-    left = store.keep(O.drop_reads(snapped, out_reads), "left")
-    weak = lacking_support(left, support, max_overhang)
+    local = store.keep(O.threshold_filter(simple, limits, both), "local")
+    one = store.keep(O.dedupe_pairs(local), "one")
+    left = store.keep(O.snap_ends(one, max_overhang), "snapped")
+    cov = store.keep(read_coverage(left), "coverage")
+    least, most, difference = coverage_bounds(cov, discard, min_coverage, max_coverage, max_difference)
+    first = least
+    for turn in range(2):
+        if turn:
+            cov = store.keep(read_coverage(left), "coverage")
+            least = coverage_bounds(cov, discard, min_coverage, most, difference)[0]
+        left = store.keep(O.drop_reads(left, badly_covered(cov, least, most, difference)), "covered")
+    weak = lacking_support(left, max(0, first - 1), max_overhang)
     held = store.keep(left.join(weak, ["a_id", "b_id"], "left_anti").select(*overlaps.columns), "held")
-    best = store.keep(O.best_n_per_end(held, best_n), "best")
-    pair = ["a_id", "b_id"]
+    free = store.keep(O.drop_reads(held, contained_reads(held).select("read_id")), "free")
+    best = store.keep(O.best_n_per_end(free, best_n), "best")
+    pair, key = ["a_id", "b_id"], list(overlaps.columns)
     flag = lambda d, name: d.select(*pair).distinct().withColumn(name, F.lit(True))
-    key = list(overlaps.columns)
-    rows = overlaps.join(simple.withColumn("__s", F.lit(True)), key, "left").join(one.withColumn("__o", F.lit(True)), key, "left")
-    rows = rows.join(flag(left, "__l"), pair, "left").join(flag(held, "__h"), pair, "left").join(flag(best, "__b"), pair, "left")
-    reason = (
-        F.when(F.col("__s").isNull(), "Simple").when(F.col("__o").isNull(), "Duplicate").when(F.col("__l").isNull(), "FilteredRead")
-        .when(F.col("__h").isNull(), "LackOfSupport").when(F.col("__b").isNull(), "BestN")
-    )
-    return rows.select(*overlaps.columns, reason.alias("reason"))
-
-
-def dovetail_end(read: Column) -> Column:
-    return location_from(read, 0)
+    rows = overlaps
+    for d, name in ((simple, "__s"), (local, "__t"), (one, "__o")):
+        rows = rows.join(d.withColumn(name, F.lit(True)), key, "left")
+    for d, name in ((left, "__l"), (held, "__h"), (free, "__f"), (best, "__b")):
+        rows = rows.join(flag(d, name), pair, "left")
+    steps = (("__s", "Simple"), ("__t", "Local"), ("__o", "Duplicate"), ("__l", "FilteredRead"), ("__h", "LackOfSupport"), ("__f", "FilteredRead"), ("__b", "BestN"))
+    reason = F.coalesce(*[F.when(F.col(c).isNull(), name) for c, name in steps])
+    return rows.select(*key, reason.alias("reason"))
 
 
 def sole_full_mapping(overlaps: DataFrame, end: int = 100, ratio: float = 0.6, least_identity: float = 90.0, exclude: DataFrame | None = None) -> DataFrame:

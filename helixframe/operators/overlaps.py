@@ -54,6 +54,11 @@ def simple_filter(overlaps: DataFrame, min_identity=70.0, min_length=2500, max_l
     return overlaps.where(keep & (aligned_length() >= min_aligned) & (location(max_overhang) != "Abnormal"))
 
 
+def raw_filter(overlaps: DataFrame, min_identity: float = 70.0, max_overhang: int = 1000, min_aligned: int = 2500) -> DataFrame:
+    """What limits are worked out from."""
+    return overlaps.where((F.col("identity") >= min_identity) & (aligned_length() >= min_aligned) & (location(max_overhang) != "Abnormal"))
+
+
 def threshold_filter(overlaps: DataFrame, limits: DataFrame, both: bool = True) -> DataFrame:
     """Keep overlaps within their reads' own limits.
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.overlap import aligned_length, overhangs
+from helixframe.functions.overlap import overhang_masks, overhangs
 from helixframe.schema import MAD_TO_SD, MEAN_DEVIATION_TO_SD
 
 
@@ -24,8 +25,8 @@ def weighted_median(rows: DataFrame, value: str, weight: str | Column, keys: lis
     return found.groupBy(*keys).agg(F.min("__v").alias(out))
 
 
-def weighted_median_all(rows: DataFrame, value: str, weight: str | Column, out: str = "median") -> DataFrame:
-    """The weighted median of all rows without one task that sees all values.
+def weighted_median_all(rows: DataFrame, value: str, weight: str | Column, out: str = "median", upper: bool = False) -> DataFrame:
+    """The weighted median of all rows without one task that sees all values; with ``upper`` more than half must be reached.
 
     Values are summed in ranges whose bounds are quantile estimates; the range
     in which the half is reached is then the only one that is looked at closely.
@@ -37,9 +38,10 @@ def weighted_median_all(rows: DataFrame, value: str, weight: str | Column, out:
     ranges = placed.groupBy("__bin").agg(F.sum("__w").alias("__bw"))  # 256 rows
     before = F.coalesce(F.sum("__bw").over(Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = ranges.select("__bin", "__bw", before.alias("__before"), F.sum("__bw").over(Window.partitionBy(F.lit(0))).alias("__total"))
-    hit = ranges.where((F.col("__before") + F.col("__bw")) * 2 >= F.col("__total")).orderBy("__bin").limit(1)
+    reached = lambda x: x * 2 > F.col("__total") if upper else x * 2 >= F.col("__total")
+    hit = ranges.where(reached(F.col("__before") + F.col("__bw"))).orderBy("__bin").limit(1)
     upto = F.col("__before") + F.sum("__w").over(Window.partitionBy("__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
-    return placed.join(F.broadcast(hit), "__bin").select("__v", (upto * 2 >= F.col("__total")).alias("__reached")).where("__reached").agg(F.min("__v").alias(out))
+    return placed.join(F.broadcast(hit), "__bin").select("__v", reached(upto).alias("__reached")).where("__reached").agg(F.min("__v").alias(out))
 
 
 def weighted_mad(rows: DataFrame, value: str, weight: str | Column, keys: list[str]) -> DataFrame:
@@ -82,25 +84,29 @@ def percentile_of(rows: DataFrame, value: str, percent: float) -> DataFrame:
 
 
 def first_trough(counts: dict[int, int], last: int = 100, width: int = 9, tolerance: float = 0.3) -> int:
-    """Where a histogram of small integers first stops falling.
+    """The value in the first valley of a histogram of small integers (``counts`` by value).
 
-    ``counts`` by value.  From the end of the first rise, the sum of ``width``
-    bins is followed while it falls; the least bin near the foot is found, and
-    then the first bin about as low.
+    The histogram is smoothed by sums over ``width`` bins.  The valley is the
+    first place, from the first peak on and within ``last`` bins, where the sums
+    stop falling; in its ``width`` bins the lowest is looked for, and of the bins
+    up to ``width`` before the place the first that is higher than that by
+    ``tolerance`` of it at most is returned.
     """
     low, high = min(counts), max(counts)
-    bins = [counts.get(low + i, 0) for i in range(max(high - low + 1, last) + 2 * width)]
-    start = next((i - 1 for i in range(1, last // 10) if bins[i - 1] > bins[i]), 0)
-    window = sum(bins[start : start + width])
-    foot, best = start, window
-    for i in range(start + 1, min(high - low + width, last)):
-        window += bins[i + width - 1] - bins[i - 1]
-        if window >= best:
-            break
-        foot, best = i, window
-    floor_ = min(range(foot, foot + width), key=lambda i: (bins[i], i))
-    near = (i for i in range(max(0, foot - width), foot + width) if bins[i] - bins[floor_] <= tolerance * bins[floor_])
-    return low + next(near, floor_)
+    n = max(high - low + 1, last) + 2 * width
+    bins = np.zeros(n, np.int64)
+    for value, count in counts.items():
+        bins[value - low] = count
+    sums = np.convolve(bins, np.ones(width, np.int64), "valid")
+    falls = np.flatnonzero(np.diff(bins[: max(last // 10, 1)]) < 0)
+    peak = int(falls[0]) if len(falls) else 0
+    stop = min(high - low + width, last)
+    rises = np.flatnonzero(np.diff(sums[peak:stop]) >= 0)
+    valley = peak + int(rises[0]) if len(rises) else max(stop - 1, peak)
+    floor_ = bins[valley : valley + width].min()
+    lowest = valley + int(np.argmin(bins[valley : valley + width]))
+    near = np.flatnonzero(bins[max(0, valley - width) : valley + width] <= floor_ * (1 + tolerance))
+    return low + (max(0, valley - width) + int(near[0]) if len(near) else lowest)
 
 
 def read_ends(overlaps: DataFrame) -> DataFrame:
@@ -159,6 +165,31 @@ def local_overhang_limits(hangs: DataFrame, low_count: int = 25, high_count: int
     return hangs.select("read_id").distinct().join(stat, "read_id", "left").select("read_id", F.coalesce(limit, F.lit(float(most))).alias("overhang_limit"))
 
 
+def end_hangs(overlaps: DataFrame) -> DataFrame:
+    """Ends that an overlap leaves hanging, under the shape that leaves least: read_id, end (0 start, 1 end), overhang, span, other_id."""
+    rows = overlaps.withColumns(dict(zip(("__a", "__b"), overhang_masks(), strict=True)))
+    parts = []
+    for r, o in ("ab", "ba"):
+        for end, hang in ((0, F.col(f"{r}_start")), (1, F.col(f"{r}_len") - F.col(f"{r}_end"))):
+            own = rows.where(F.col(f"__{r}").bitwiseAND(1 << end) != 0)
+            parts.append(own.select(F.col(f"{r}_id").alias("read_id"), F.lit(end).alias("end"), hang.alias("overhang"), (F.col(f"{r}_end") - F.col(f"{r}_start")).alias("span"), F.col(f"{o}_id").alias("other_id")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def read_limits(overlaps: DataFrame, min_identity: float = 90.0, max_overhang: int = 500, coverage: int = 40, low_coverage: int = 25) -> DataFrame:
+    """By read: identity_limit, left_limit and right_limit, from its own overlaps, none looser than the limits given."""
+    high = max(2 * low_coverage, int(coverage * 1.5))
+    out = local_identity_limits(overlaps, coverage, low_coverage, min_identity)
+    hangs = end_hangs(overlaps)
+    for end, name in ((0, "left_limit"), (1, "right_limit")):
+        own = local_overhang_limits(hangs.where(F.col("end") == end), low_coverage, high, max_overhang)
+        out = out.join(own.withColumnRenamed("overhang_limit", name), "read_id", "left").withColumn(name, F.coalesce(name, F.lit(float(max_overhang))))
+    return out
+
+
 def identity_cutoff(alignments: DataFrame, key: str = "template", most: int = 15) -> DataFrame:
     """``alignments`` (key, identity, rank) to key, cutoff: mean less five deviations of the better 70 %; 0 below five."""
     first = alignments.where(F.col("rank") <= most)
@@ -170,11 +201,13 @@ def identity_cutoff(alignments: DataFrame, key: str = "template", most: int = 15
 
 
 def identity_report(overlaps: DataFrame) -> DataFrame:
-    """One row: mean, sd and upper-median deviation of identity, weighing overlaps equally."""
-    rows = overlaps.select(F.lit(0).alias("k"), "identity")
-    base = rows.groupBy("k").agg(F.avg("identity").alias("mean"), F.stddev_pop("identity").alias("sd"))
-    return base.join(median_mad(rows, "identity", ["k"]), "k").drop("k")
+    """One row: mean, sd, upper median, and upper median distance from it, of identity; overlaps weigh equally."""
+    base = overlaps.agg(F.avg("identity").alias("mean"), F.stddev_pop("identity").alias("sd"))
+    middle = upper_median_all(overlaps, "identity", "median")
+    near = overlaps.crossJoin(F.broadcast(middle)).select(F.abs(F.col("identity") - F.col("median")).alias("__d"))
+    return base.crossJoin(F.broadcast(middle)).crossJoin(F.broadcast(upper_median_all(near, "__d", "mad")))
 
 
-def mean_aligned(overlaps: DataFrame) -> DataFrame:
-    return overlaps.agg(F.avg(aligned_length()).alias("mean_aligned"))
+def upper_median_all(rows: DataFrame, value: str, out: str) -> DataFrame:
+    """The upper median of all rows: the value at place n / 2 from 0."""
+    return weighted_median_all(rows, value, F.lit(1), out, upper=True)

@@ -264,14 +264,15 @@ def compare_sets(spark, sf):
 
 
 @query(
-    f"""{WITH}, m AS (SELECT read_id, row_number() OVER (ORDER BY read_id) - 1 AS new_id FROM (SELECT DISTINCT a_id AS read_id FROM o WHERE a_id % 3 <> 0))
+    f"""{WITH}, m AS (SELECT read_id, row_number() OVER (ORDER BY read_id) - 1 AS new_id FROM (SELECT a_id AS read_id FROM o WHERE a_len >= 4000 UNION SELECT b_id FROM o WHERE b_len >= 4000))
 SELECT x.new_id AS a_id, y.new_id AS b_id, identity, a_strand, a_start, a_end, a_len, b_strand, b_start, b_end, b_len FROM o JOIN m x ON x.read_id = a_id JOIN m y ON y.read_id = b_id"""
 )
 def remap_ids(spark, sf):
     from helixframe.operators.reads import renumber
 
     o = overlaps(spark, sf)
-    ids = renumber(o.where("a_id % 3 <> 0").select(F.col("a_id").alias("read_id")).distinct(), "read_id", first=0)
+    kept = o.where("a_len >= 4000").select(F.col("a_id").alias("read_id")).union(o.where("b_len >= 4000").select("b_id")).distinct()
+    ids = renumber(kept, "read_id", first=0)
     return O.remap_ids(o, ids)
 
 
@@ -333,25 +334,6 @@ def support_join(spark, sf):
     return filters.lacking_support(_snapped(spark, sf), 40, 100)
 
 
-_FR = f"""{WITH}, si AS (SELECT DISTINCT {ALL} FROM o WHERE identity >= 92 AND a_id <> b_id AND a_len BETWEEN 2500 AND 2147483647 AND b_len BETWEEN 2500 AND 2147483647 AND {ALEN} >= 600 AND {loc_sql(100)} <> 'Abnormal'),
-un AS ({dedupe_sql('si')}), sn AS ({snap_sql('un')}), sl AS (SELECT *, {loc_sql(0)} AS loc FROM sn),
-iv AS (SELECT a_id AS rd, a_len AS len, a_start AS lo, a_end AS hi FROM sn UNION ALL SELECT b_id, b_len, b_start, b_end FROM sn),
-ev AS (SELECT rd, len, pos, sum(st) AS st FROM (SELECT rd, len, lo AS pos, 1 AS st FROM iv UNION ALL SELECT rd, len, hi, -1 FROM iv UNION ALL SELECT rd, len, 0, 0 FROM iv) GROUP BY 1, 2, 3),
-cv AS (SELECT rd, min(d) AS low FROM (SELECT rd, len, pos, sum(st) OVER (PARTITION BY rd ORDER BY pos ROWS UNBOUNDED PRECEDING) AS d FROM ev) WHERE pos < len GROUP BY rd),
-gone AS (SELECT rd FROM cv WHERE low < 3 UNION SELECT CASE loc WHEN 'Contained' THEN a_id WHEN 'Containing' THEN b_id ELSE greatest(a_id, b_id) END FROM sl WHERE loc IN ('Contained', 'Containing', 'Equal')),
-s AS (SELECT * FROM sl WHERE a_id NOT IN (SELECT rd FROM gone) AND b_id NOT IN (SELECT rd FROM gone)), {_WEAK} 1),
-hd AS (SELECT * FROM s WHERE (a_id, b_id) NOT IN (SELECT (a_id, b_id) FROM wk)), bn AS ({best_sql('(SELECT ' + ALL + ' FROM hd)', 3)})"""
-
-
-@query(
-    f"""{_FR} SELECT {ALL}, CASE WHEN ({ALL}) NOT IN (SELECT ({ALL}) FROM si) THEN 'Simple' WHEN ({ALL}) NOT IN (SELECT ({ALL}) FROM un) THEN 'Duplicate'
- WHEN (a_id, b_id) NOT IN (SELECT (a_id, b_id) FROM s) THEN 'FilteredRead' WHEN (a_id, b_id) NOT IN (SELECT (a_id, b_id) FROM hd) THEN 'LackOfSupport'
- WHEN (a_id, b_id) NOT IN (SELECT (a_id, b_id) FROM bn) THEN 'BestN' END AS reason FROM o"""
-)
-def filter_reasons(spark, sf):
-    return filters.reasons(spark, overlaps(spark, sf), 92, 100, 2500, 600, 3, 1, 3)
-
-
 _OWN = {(r, e): f"CASE WHEN {r}_strand = 1 THEN {r}_len - {r}_{'end' if e == 'start' else 'start'} ELSE {r}_{e} END" for r in "ab" for e in ("start", "end")}
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from helixframe.operators import bridge, filters, trim
 from helixframe.operators import intervals as I  # noqa: E741
 from helixframe.operators import statistics as S
-from helixframe.plans.fixtures import OVERLAPS_SQL, overlaps
+from helixframe.plans.fixtures import overlaps
 from helixframe.plans.overlap_queries import HANGS, LONGER, OVERHANG_A, OVERHANG_B, WITH
 
 QUERIES, SQL = {}, {}
@@ -129,11 +129,11 @@ def coverage_trough(spark, sf):
 
 DEPTH = """dp AS (SELECT read_id, lo, hi, depth FROM (SELECT read_id, pos AS lo, lead(pos) OVER (PARTITION BY read_id ORDER BY pos) AS hi, CAST(sum(st) OVER (PARTITION BY read_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS depth
   FROM (SELECT read_id, pos, sum(st) AS st FROM (SELECT read_id, lo AS pos, 1 AS st FROM sp UNION ALL SELECT read_id, hi, -1 FROM sp) GROUP BY 1, 2 HAVING sum(st) <> 0)) WHERE depth > 0)"""
-SPANS = "sp AS (SELECT b_id AS read_id, b_start AS lo, b_end AS hi, b_len AS len FROM o WHERE identity >= 99)"
+SPANS = "sp AS (SELECT b_id AS read_id, b_start AS lo, b_end AS hi, b_len AS len FROM o)"
 
 
 def _spans(spark, sf):
-    return overlaps(spark, sf).where("identity >= 99").select(F.col("b_id").alias("read_id"), F.col("b_start").alias("lo"), F.col("b_end").alias("hi"), F.col("b_len").alias("len"))
+    return overlaps(spark, sf).select(F.col("b_id").alias("read_id"), F.col("b_start").alias("lo"), F.col("b_end").alias("hi"), F.col("b_len").alias("len"))
 
 
 @query(f"{WITH}, {SPANS}, {DEPTH} SELECT * FROM dp")
@@ -214,13 +214,13 @@ _TRIM_SPANS = "sp AS (SELECT b_id AS read_id, b_start AS lo, b_end AS hi, b_len
 
 
 @query(
-    f"""WITH o AS (SELECT * FROM ({OVERLAPS_SQL}) WHERE identity >= 98), {_WHOLE}, {CHIM}, {cover_sql(_TRIM_SPANS, 1, 1)}, sz AS (SELECT b_id AS read_id, max(b_len) AS size FROM o GROUP BY b_id)
+    f"""{WITH}, {_WHOLE}, {CHIM}, {cover_sql(_TRIM_SPANS, 1, 1)}, sz AS (SELECT b_id AS read_id, max(b_len) AS size FROM o GROUP BY b_id)
 SELECT read_id, CAST(l AS BIGINT) AS "left", CAST(r AS BIGINT) AS "right", size, how FROM (SELECT sz.read_id, CASE WHEN wh.read_id IS NOT NULL THEN 0 ELSE coalesce(ch."left", lc."left") END AS l, CASE WHEN wh.read_id IS NOT NULL THEN sz.size ELSE coalesce(ch."right", lc."right") END AS r, sz.size,
   CASE WHEN wh.read_id IS NOT NULL THEN 'complete' WHEN ch.read_id IS NOT NULL THEN 'chimeric' ELSE 'covered' END AS how
 FROM sz LEFT JOIN wh ON wh.read_id = sz.read_id LEFT JOIN ch ON ch.read_id = sz.read_id LEFT JOIN lc ON lc.read_id = sz.read_id) WHERE r - l >= 1000"""
 )
 def trim_decision(spark, sf):
-    return trim.trim_decision(_two_strands(spark, sf).where("identity >= 98"))
+    return trim.trim_decision(_two_strands(spark, sf))
 
 
 ROWS = "w AS (SELECT a_id, b_strand, b_start AS pos, identity AS score, row_number() OVER (ORDER BY a_id, b_id, identity, a_start, a_end, b_strand, b_start, b_end) AS id FROM (SELECT DISTINCT * FROM o))"
@@ -244,12 +244,12 @@ def best_window_1000(spark, sf):
 
 
 @query(
-    f"""{WITH}, d AS (SELECT DISTINCT a_id, b_strand, b_start AS pos FROM o WHERE identity = 100),
+    f"""{WITH}, d AS (SELECT DISTINCT a_id, b_strand, b_start AS pos FROM o),
 g AS (SELECT *, sum(CASE WHEN pos - lp > 1000 THEN 1 ELSE 0 END) OVER (PARTITION BY a_id, b_strand ORDER BY pos) AS grp FROM (SELECT *, lag(pos) OVER (PARTITION BY a_id, b_strand ORDER BY pos) AS lp FROM d))
 SELECT a_id, b_strand, CAST(grp AS BIGINT) AS grp, min(pos) AS first, max(pos) AS last, count(*) AS n FROM g GROUP BY 1, 2, 3"""
 )
 def gap_groups_1000(spark, sf):
-    rows = overlaps(spark, sf).where("identity = 100").select("a_id", "b_strand", F.col("b_start").alias("pos")).distinct()
+    rows = overlaps(spark, sf).select("a_id", "b_strand", F.col("b_start").alias("pos")).distinct()
     return I.group_by_gap(rows, ["a_id", "b_strand"], "pos", 1000).groupBy("a_id", "b_strand", "grp").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("n"))
 
 
