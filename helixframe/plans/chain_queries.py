@@ -15,14 +15,22 @@ from helixframe.plans.statistic_queries import ENDS, INFO, median_sql
 QUERIES, SQL = {}, {}
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+def query_into(queries: dict, texts: dict):
+    """A decorator factory that registers a query and its SQL."""
+
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                texts[f.__name__] = sql
+            return f
+
+        return add
+
+    return query
+
+
+query = query_into(QUERIES, SQL)
 
 
 MASKS = """k AS (SELECT *, CASE shape WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 0 END AS ma,
