@@ -32,10 +32,122 @@ def chain_best(seeds: DataFrame, lengths: DataFrame | None = None, k: int = 15,
     return seeds.groupBy("qid", "qdir", "sid").applyInPandas(best, "qid long, qdir int, sid long, score long, qbeg long, qend long, sbeg long, send long, seeds long")
 
 
-def with_sequences(pairs: DataFrame, reads: DataFrame) -> DataFrame:
-    """Candidates with the query (on its strand) and subject sequences: q_seq, s_seq."""
+CANDIDATES = "qid long, qdir int, sid long, score long, qbeg long, qend long, sbeg long, send long, qoff long, soff long"
+
+
+def block_candidates(seeds: DataFrame, k: int = 15, block: int = 2000, least: int = 3, ratio: float = 0.25, span: int = 400) -> DataFrame:
+    """Seeds (qid, qdir, sid, qoff, soff) to candidates by blocks of the subject, with the seed that each grew from."""
+
+    def one(key, pdf):
+        rows = K.block_candidates(pdf.qoff.to_numpy(), pdf.soff.to_numpy(), k, block, least=least, ratio=ratio, span=span)
+        return pd.DataFrame([(*key, *r) for r in rows], columns=[c.split()[0] for c in CANDIDATES.split(", ")])
+
+    return seeds.groupBy("qid", "qdir", "sid").applyInPandas(one, CANDIDATES)
+
+
+MATCHES = "qid long, qdir int, sid long, qoff long, soff long, size long"
+
+
+def _with_seeds(seeds: DataFrame, reads: DataFrame, subjects: DataFrame | None = None) -> DataFrame:
+    """One row a pair and strand: its seeds as arrays, and both sequences, the query's on its strand."""
+    pairs = seeds.groupBy("qid", "qdir", "sid").agg(F.collect_list("qoff").alias("qs"), F.collect_list("soff").alias("ss"))
+    return with_sequences(pairs, reads, subjects)
+
+
+def exact_matches(seeds: DataFrame, reads: DataFrame, k: int = 10, least: int = 15, subjects: DataFrame | None = None) -> DataFrame:
+    """Seeds grown to maximal exact matches of ``least`` bases or more, each once."""
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                found = K.exact_matches(K.encode(r.q_seq), K.encode(r.s_seq), np.asarray(r.qs), np.asarray(r.ss), k, least)
+                rows += [(r.qid, r.qdir, r.sid, *map(int, m)) for m in found]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in MATCHES.split(", ")])
+
+    rows = _with_seeds(seeds, reads, subjects)
+    return rows.select("qid", "qdir", "sid", "qs", "ss", "q_seq", "s_seq").mapInPandas(run, MATCHES)
+
+
+def chain_matches(matches: DataFrame, max_gap: int = 3000, band: int = 500, least: int = 100) -> DataFrame:
+    """Exact matches to the best chain of each pair and strand, as candidates that grew from their longest match."""
+
+    def one(key, pdf):
+        m = pdf.sort_values(["soff", "qoff"])[["qoff", "soff", "size"]].to_numpy()
+        rows = []
+        for score, path in K.chain_matches(m, max_gap, band, least)[:1]:
+            a, z = m[path[0]], m[path[-1]]
+            seed = m[path[int(np.argmax(m[path, 2]))]]
+            rows.append((*key, score, int(a[0]), int(z[0] + z[2]), int(a[1]), int(z[1] + z[2]), int(seed[0]), int(seed[1])))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in CANDIDATES.split(", ")])
+
+    return matches.groupBy("qid", "qdir", "sid").applyInPandas(one, CANDIDATES)
+
+
+def extend_candidates(candidates: DataFrame, reads: DataFrame, block: int = 512, most_hang: int = 200, reach: int = 300, min_span: int = 400, subjects: DataFrame | None = None) -> DataFrame:
+    """Candidates (with qoff, soff) to alignments from their seeds, with the rescues of ``align_candidate``."""
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                a0, a1, b0, b1, qa, qb = K.align_candidate(r.q_seq, r.s_seq, (r.qbeg, r.qend, r.sbeg, r.send), (r.qoff, r.soff), block, most_hang, reach)
+                if min(a1 - a0, b1 - b0) >= min_span:
+                    rows.append((r.qid, r.qdir, r.sid, a0, a1, b0, b1, int((qa != qb).sum()), K.identity(qa, qb), K.decode(qa), K.decode(qb)))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ALIGNED.split(", ")])
+
+    need = ["qid", "qdir", "sid", "qbeg", "qend", "sbeg", "send", "qoff", "soff", "q_seq", "s_seq"]
+    return with_sequences(candidates, reads, subjects).select(*need).mapInPandas(run, ALIGNED)
+
+
+def uncontained(candidates: DataFrame, key: tuple[str, ...] = ("qid", "sid", "qdir")) -> DataFrame:
+    """One candidate of each pair and strand, the best: what the assembly mapper aligns."""
+    w = Window.partitionBy(*key).orderBy(F.desc("score"), "qbeg", "sbeg", "qend", "send")
+    return candidates.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
+def drop_contained(candidates: DataFrame) -> DataFrame:
+    """Candidates whose seed lies in none of the spans kept before it, of the same pair and strand, by score."""
+
+    def one(key, pdf):
+        pdf = pdf.sort_values(["score", "qbeg", "sbeg", "qend", "send"], ascending=[False, True, True, True, True])
+        spans, keep = [], []
+        for r in pdf.itertuples(index=False):
+            inside = any(a <= r.qoff <= b and c <= r.soff <= d for a, b, c, d in spans)
+            keep.append(not inside)
+            if not inside:
+                spans.append((r.qbeg, r.qend, r.sbeg, r.send))
+        return pdf[keep]
+
+    return candidates.groupBy("qid", "qdir", "sid").applyInPandas(one, candidates.schema)
+
+
+def compare_sequences(pairs: DataFrame, k: int = 11) -> DataFrame:
+    """``pairs`` (id, one, other) with coverage of one by the best match with other, and that match's identity, in percent."""
+
+    def run(frames):
+        for pdf in frames:
+            got = [K.similarity(a, b, k) for a, b in zip(pdf.one, pdf.other, strict=True)]
+            yield pd.DataFrame({"id": pdf.id, "coverage": [100 * g[0] for g in got], "identity": [100 * g[1] for g in got]})
+
+    return pairs.select("id", "one", "other").mapInPandas(run, "id long, coverage double, identity double")
+
+
+def bubble_branches(branches: DataFrame, max_identity: float = 96.0, max_coverage: float = 97.0, least: int = 2000) -> DataFrame:
+    """``branches`` (bubble, rank, seq) that say something new: each bubble's first, and others of ``least`` bases or more that are unlike it."""
+    first = branches.where("rank = 0").select("bubble", F.col("seq").alias("first"))
+    rows = branches.where("rank > 0").join(first, "bubble").where((F.length("seq") >= least) & (F.length("first") >= least))
+    pairs = rows.select(F.xxhash64("bubble", "rank").alias("id"), "bubble", "rank", F.col("seq").alias("one"), F.col("first").alias("other"))
+    unlike = pairs.join(compare_sequences(pairs), "id").where((F.col("identity") <= max_identity) | (F.col("coverage") < max_coverage))
+    kept = unlike.select("bubble", "rank", "identity", "coverage")
+    heads = kept.select("bubble").distinct().select("bubble", F.lit(0).cast(branches.schema["rank"].dataType).alias("rank"), F.lit(100.0).alias("identity"), F.lit(100.0).alias("coverage"))
+    return branches.join(kept.unionByName(heads), ["bubble", "rank"]).select("bubble", "rank", "identity", "coverage", "seq")
+
+
+def with_sequences(pairs: DataFrame, reads: DataFrame, subjects: DataFrame | None = None) -> DataFrame:
+    """Candidates with the query (on its strand) and subject sequences: q_seq, s_seq.  Subjects are reads, if not given."""
     q = reads.select(F.col("read_id").alias("qid"), F.col("seq").alias("q_seq"))
-    s = reads.select(F.col("read_id").alias("sid"), F.col("seq").alias("s_seq"))
+    s = (reads if subjects is None else subjects).select(F.col("read_id").alias("sid"), F.col("seq").alias("s_seq"))
     out = pairs.join(q, "qid").join(s, "sid")
     return out.withColumn("q_seq", F.when(F.col("qdir") == 1, reverse_complement(F.col("q_seq"))).otherwise(F.col("q_seq")))
 
@@ -144,6 +256,52 @@ def correct(candidates: DataFrame, reads: DataFrame, min_coverage: int = 4, max_
     return top.groupBy("sid").applyInPandas(one, CORRECTED)
 
 
+def trim_by_consensus(overlaps: DataFrame, ranges: DataFrame, reads: DataFrame, most: int = 300, max_coverage: int = 12, min_identity: float = 90.0, min_size: int = 500) -> DataFrame:
+    """Consensus of each b read within its range (``ranges``: read_id, left, right): template, start, end, n_used, cutoff, seq.
+
+    Overlaps go by identity, in batches, until the range is covered
+    ``max_coverage`` times; the longest stretch of it that any alignment of
+    ``min_identity`` covers gives the sequence.  A reversed a read's coordinates
+    are those of its forward strand.
+    """
+    rank = F.row_number().over(Window.partitionBy("b_id").orderBy(F.desc("identity"), F.desc(F.col("b_end") - F.col("b_start")), "a_id", "a_start", "b_start"))
+    rows = overlaps.join(ranges.select(F.col("read_id").alias("b_id"), "left", "right"), "b_id").where((F.col("b_end") > F.col("left")) & (F.col("b_start") < F.col("right")))
+    rows = rows.withColumn("rank", rank).where(F.col("rank") <= most)
+    turned = F.col("a_strand") != F.col("b_strand")
+    rows = rows.select(
+        F.col("a_id").alias("qid"), F.col("b_id").alias("sid"), turned.cast("int").alias("qdir"), F.when(turned, F.col("a_len") - F.col("a_end")).otherwise(F.col("a_start")).alias("qbeg"),
+        F.when(turned, F.col("a_len") - F.col("a_start")).otherwise(F.col("a_end")).alias("qend"), F.col("b_start").alias("sbeg"), F.col("b_end").alias("send"), "left", "right", "rank",
+    )
+
+    def one(key, pdf):
+        pdf = pdf.sort_values("rank")
+        template, left, right = pdf.s_seq.iloc[0], int(pdf.left.iloc[0]), int(pdf.right.iloc[0])
+        depth, parts = np.zeros(len(template), np.int64), []
+        for n, r in enumerate(pdf.itertuples(index=False)):
+            if n and n % BATCH == 0 and (depth[left:right] >= max_coverage).all():
+                break
+            if (depth[max(left, r.sbeg) : min(right, r.send)] >= max_coverage).all():
+                continue
+            _, qa, qb = K.align(r.q_seq[r.qbeg : r.qend], template[r.sbeg : r.send])
+            if K.identity(qa, qb) >= min_identity:
+                parts.append(K.tags(qa, qb, r.sbeg))
+                depth[r.sbeg : r.send] += 1
+        edge = np.diff(np.concatenate([[0], (depth[left:right] > 0).astype(np.int8), [0]]))
+        spans = sorted(((int(a - b), int(a)) for a, b in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0), strict=True)))
+        rows = []
+        if spans and -spans[0][0] >= min_size:
+            lo, hi = left + spans[0][1], left + spans[0][1] - spans[0][0]
+            table, inv = np.unique(np.concatenate(parts), axis=0, return_inverse=True)
+            total = np.bincount(inv.ravel(), minlength=len(table)).astype(float)
+            mine = (table[:, 0] >= lo) & (table[:, 0] < hi)
+            a, b, seq = K.consensus(table[mine], total[mine], {i: float(depth[i]) for i in range(lo, hi)})
+            if len(seq) >= min_size:
+                rows.append((key[0], a, b, len(parts), min_identity, seq))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in CORRECTED.split(", ")])
+
+    return with_sequences(rows, reads).groupBy("sid").applyInPandas(one, CORRECTED)
+
+
 CHOSEN = "sid long, part int, lo long, qid long, qdir int, qbeg long, qend long, sbeg long, send long, a long, b long"
 PIECES = "sid long, part int, at long, q_aln binary, s_aln binary"
 #: Columns of alignments that a segment holds before equal ones are summed.
