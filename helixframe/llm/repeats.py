@@ -29,12 +29,11 @@ from helixframe.llm.textkernels import _CASED, U64, _power, blocks, mix, text_bu
 #: Bytes of the grams that anchor strings.
 GRAM = 24
 #: Bytes that are scanned at once; longer documents are scanned in overlapping pieces.
-PIECE = 2_000_000
-#: Bytes of a shard that are sorted together, about, and segments of one anchor in it at most;
-#: a longer group of one anchor goes by its strings' digests.
-SHARD_BYTES, ANCHOR_SEGMENTS = 2_000_000, 2048
-#: Tuples that a sort's queues hold in memory; a shard of SHARD_BYTES has eight times as many, which go to disk.
-QUEUE_TUPLES = 250_000
+PIECE = 1_000_000
+#: Bytes of a shard that are sorted together, about; a longer group of one anchor goes by its strings' digests.
+SHARD_BYTES = 2_000_000
+#: Tuples that a sort's queues hold in memory; a shard of SHARD_BYTES has four times as many, and those go to disk.
+QUEUE_TUPLES = 500_000
 #: One segment in so many tells which anchors are common, and so many of these make one common.
 LOOKED_AT, COMMON = 64, 24
 _PLACE_BITS = U64(24)
@@ -134,8 +133,11 @@ def anchors(docs: DataFrame, span: int) -> DataFrame:
 MET = "h long, doc long, at long, again boolean"
 
 
-def meet(rows: DataFrame) -> DataFrame:
-    """Segments sorted by (h, g, doc, at): later equal segments at other places are repeats; first ones whose anchor others share go on."""
+def meet(rows: DataFrame, lonely: bool = False) -> DataFrame:
+    """Segments sorted by (h, g, doc, at): later equal segments at other places are repeats; first ones whose anchor others share go on.
+
+    With ``lonely`` all first ones go on, wherever the others of their anchor are.
+    """
 
     def run(batches):
         before = None  # h, g, doc, at of the last row
@@ -158,7 +160,7 @@ def meet(rows: DataFrame) -> DataFrame:
                 shared[1:-1] = h[first][1:] == h[first][:-1]
                 if open_ is not None and shared[0]:
                     rest = open_
-                lone = ~shared[:-1] & ~shared[1:]
+                lone = ~shared[:-1] & ~shared[1:] & (not lonely)
                 keep[first[lone]] = False
                 open_ = tuple(x[first[-1] :][:1] for x in (h, doc, at, again)) if lone[-1] else None
             before = (h[-1], g[-1], doc[-1], at[-1])
@@ -287,12 +289,13 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, scratch: Scratch, span
     common = scratch.keep(looked.where(F.col("count") >= COMMON).select("h"), "common")
     met = []
     if common.take(1):
-        met.append(scratch.keep(first_of_each(rows.join(_few(common), "h", "left_semi")), "common-met"))
+        spread = rows.join(_few(common), "h", "left_semi").select("h", "g", "doc", "at").repartition("h", "g").sortWithinPartitions("h", "g", "doc", "at")
+        met.append(scratch.keep(meet(spread, True), "common-met"))
         rows = rows.join(_few(common), "h", "left_anti").select("h", "g", "doc", "at")
     met.append(scratch.keep(meet(rows.repartition("h").sortWithinPartitions("h", "g", "doc", "at")), "met"))
     all_met = met[0] if len(met) == 1 else met[0].unionByName(met[1])
     shared = all_met.where("not again").select("h", "doc", "at")
-    most = min(ANCHOR_SEGMENTS, SHARD_BYTES // (span + 40))
+    most = SHARD_BYTES // (span + 40)
     crowded = scratch.keep(shared.groupBy("h").count().where(F.col("count") > most).select("h"), "crowded")
     out = known.union(all_met.where("again").select("doc", "at"))
     few = shared
@@ -304,13 +307,6 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, scratch: Scratch, span
     return out.union(scratch.keep(sort_shards(bytes_, span, scratch.path("spill")), "sorted"))
 
 
-def first_of_each(rows: DataFrame) -> DataFrame:
-    """What ``meet`` gives for segments (h, g, doc, at) of common anchors, by aggregation before any shuffle."""
-    first = rows.groupBy("h", "g").agg(F.min(F.struct("doc", "at")).alias("least"))
-    every = rows.select("h", "g", "doc", "at").distinct().join(first, ["h", "g"])
-    return every.select("h", "doc", "at", (F.struct("doc", "at") != F.col("least")).alias("again"))
-
-
 def _few(anchors_: DataFrame) -> DataFrame:
     """A written list of anchors, broadcast if a count of its rows allows it."""
     return F.broadcast(anchors_) if anchors_.count() <= 500_000 else anchors_
