@@ -193,10 +193,12 @@ def _packer(capacity: int, turn: int, last: bool):
         where, offset, bins = best_fit_decreasing(lengths, capacity)
         gap = bins - lower_bound(lengths, capacity)
         loose = np.zeros(len(lengths), bool)
-        if gap > 0 and not last:
+        # the loosest bins: their free space is what a better packing could save.  A bound is rounded up, so a certified
+        # partition gives its loosest bin once as well
+        take = 2 * gap + 2 if gap > 0 else int(turn == 0)
+        if take and not last:
             fill = np.bincount(where, weights=lengths, minlength=bins)
-            # the loosest bins: their free space is what a better packing could save
-            loose = np.isin(where, np.argsort(fill, kind="stable")[: 2 * gap + 2])
+            loose = np.isin(where, np.argsort(fill, kind="stable")[:take])
         task = TaskContext.get().partitionId()
         sequence = (turn << 56) | (task << 32) | where
         out = held.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
@@ -213,8 +215,9 @@ def pack_pieces(spark: SparkSession, pieces: DataFrame, scratch: Scratch, capaci
 
     A partition holds about ``per_partition`` pieces.  After each turn the loose
     bins of partitions above their bound are opened and dealt out anew, so a
-    piece meets pieces of other partitions; the last turn keeps all it makes.
-    Turns end early when every partition is certified.
+    piece meets pieces of other partitions; in the first turn every partition
+    gives its loosest bin.  The last turn keeps all it makes; turns end early
+    when every partition is certified.
     """
     done, pool = [], pieces
     for turn in range(turns):

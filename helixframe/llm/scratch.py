@@ -14,14 +14,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set."""
+    """The cluster's shared folder.  One of our own only where none is set and all tasks run in this process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="helixframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Folders that operators of this process have written, by application.
+_written: dict[str, list[str]] = {}
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete every folder that operators wrote in this application; returned frames that still read them fail from then on."""
+    roots = _written.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for root in roots:
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(conf).delete(path, True)
+    return len(roots)
+
+
 class Scratch:
     """A uniquely named folder of tables that one operator call writes."""
 
@@ -29,6 +46,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._count = 0
+        _written.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
     def path(self, label: str) -> str:
         self._count += 1

@@ -132,8 +132,9 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     Only vectors of one label link.  A vector without a label, or that is null,
     zero or holds a null or non-finite component, links with nothing and is its
     own component.  Vectors of different lengths don't link.  Each row counts as
-    a vector, so repeated rows link with each other; a null vec_id links with
-    nothing and has a null component.  Other columns are ignored.  An empty
+    a vector, so repeated rows link with each other, and rows that repeat an id
+    with another vector or label are vectors of their own, in components of their
+    own; a null vec_id links with nothing and has a null component.  Other columns are ignored.  An empty
     table gives no rows.
     """
     scratch = Scratch(spark, "vectors")
@@ -144,6 +145,11 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     own = ["label", *keys]
     good = rows.where("ok").drop("ok").withColumns(keys)
     distinct = scratch.keep(good.groupBy(*own).agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")), "distinct")
+    repeated = bool(distinct.groupBy("id").count().where("count > 1").take(1))
+    if repeated:
+        # a number for each vector that rises with the ids; written once, as it isn't the same when worked out again
+        order = distinct.orderBy("id", *own).withColumnRenamed("id", "vec_id").withColumn("id", F.monotonically_increasing_id())
+        distinct = scratch.keep(order, "numbered")
     shards = distinct.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
     placed = distinct.join(shards, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
     built = placed.select("label", "dim", "shard", "shards", "id", "copies", "embedding").groupBy("label", "dim", "shard", "shards").applyInArrow(_build, SHARD)
@@ -157,11 +163,13 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     scratch.drop(built)
     groups = components(spark, found.select("id", "low"), scratch)
     total = found.groupBy("id").agg(F.sum("links").alias("links"))
-    known = distinct.select(*own, "id", "copies").join(total, "id", "left").join(groups, "id", "left")
+    known = distinct.select(*own, "id", "copies").join(total, "id", "left").join(groups, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    if repeated:
+        known = known.join(distinct.select(F.col("id").alias("component_id"), F.col("vec_id").alias("__least")), "component_id").withColumn("component_id", F.col("__least")).drop("__least")
     out = good.select("vec_id", *own).join(known, own).select(
         "vec_id",
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        F.coalesce("component_id", "id").alias("component_id"),
+        "component_id",
     )
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -89,7 +89,7 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    """Files get their names on commit, so an attempt that fails leaves none behind."""
+    """Files get their names on commit; an attempt that raises deletes its own.  What a lost executor leaves begins with "_", which readers skip."""
 
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite = path, overwrite
@@ -110,9 +110,15 @@ class _Writer(DataSourceArrowWriter):
                         out, size = fs.open_output_stream(f"{root}/_{names[-1]}", compression=None), 0
                     out.write(member)
                     size += len(member)
-        finally:
+        except BaseException:
             if out:
                 out.close()
+            for name in names:
+                if fs.get_file_info(f"{root}/_{name}").is_file:
+                    fs.delete_file(f"{root}/_{name}")
+            raise
+        if out:
+            out.close()
         return _Written(names)
 
     def commit(self, messages):

@@ -101,6 +101,24 @@ def test_embedding_links(spark, shard_rows):
     assert vectors.near_duplicates(spark, df.limit(0)).count() == 0
 
 
+def test_embeddings_with_repeated_ids(spark):
+    """Rows that repeat an id with another label or vector are vectors of their own, and tie no labels together."""
+    a, b, c = [1.0, 0.0], [0.0, 1.0], [1.0, 1e-3]
+    rows = [(9, a, 0), (9, a, 1), (4, c, 0), (7, c, 1), (7, c, 1), (9, b, 0), (2, b, 0), (None, a, 0), (3, [float("inf"), 1.0], 0)]
+    got = sorted((tuple(r) for r in vectors.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()), key=str)
+    want = [(9, 1, 4, False), (9, 2, 7, False), (4, 1, 4, True), (7, 2, 7, True), (7, 2, 7, True), (9, 1, 2, False), (2, 1, 2, True), (None, 0, None, True), (3, 0, 3, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_shared_folders(spark, monkeypatch):
+    s = scratch.Scratch(spark, "gone")
+    kept = s.keep(spark.range(5), "x")
+    assert kept.count() == 5 and scratch.clear(spark) >= 1
+    with pytest.raises(Exception, match="(?i)not exist|FileNotFound|PATH_NOT_FOUND"):
+        spark.read.parquet(kept._helixframe_path).count()
+    assert scratch.clear(spark) == 0
+
+
 def test_graph_finds_neighbours():
     x = np.random.default_rng(2).normal(size=(1500, 24)).astype(np.float32)
     g = hnsw.Graph(x)
@@ -230,6 +248,14 @@ def test_warc_round_trip_and_pushdown(spark, tmp_path):
     for name in ("x.warc", "y.warc.gz"):
         assert [r.payload for r in spark.read.format("warc").load(f"{tmp_path}/{name}").collect()] == [b"one", b"", b"three\r\n\r\n"]
     assert warc.round_trip(spark, df.limit(0)).count() == 0
+    # an id that repeats, none, and an attempt that fails
+    odd = spark.createDataFrame([(1, "u", long_), (1, "u", long_), (None, "v", long_), (None, None, None)], "page_id long, url string, html string")
+    assert warc.round_trip(spark, odd).count() == 4
+    with pytest.raises(Exception, match="(?i)no such|divide|zero|raise"):
+        df.selectExpr("'response' as record_type", "raise_error('no such row') as payload").coalesce(1).write.format("warc").mode("append").save(f"file://{tmp_path}/failed")
+    import os
+
+    assert not os.path.isdir(tmp_path / "failed") or not os.listdir(tmp_path / "failed")
 
 
 def brute_mix(corpus, power, fraction):
@@ -347,6 +373,22 @@ def test_packing(spark, docs, corpus):
     assert packing.pack(spark, empty(docs), tokenizer_path()).count() == 0
 
 
+def test_packing_of_repeated_rows_null_ids_and_a_long_text(spark):
+    long_ = " ".join(f"w{i % 5000}" for i in range(150_000))  # several parts of a block
+    from tokenizers import Tokenizer
+
+    rows = [(1, "a b"), (1, "a b"), (None, "c"), (None, None), (2, long_), (3, "")]
+    out = packing.pack(spark, spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path()).collect()
+    ids = [*Tokenizer.from_file(tokenizer_path()).encode(long_, add_special_tokens=False).ids, 0]
+    own = sorted((r.piece, r.start, r.length, r.ids_crc32) for r in out if r.doc_id == 2)
+    assert own == [(k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(np.array(ids[k : k + 2048], "<u4").tobytes())) for k in range(0, len(ids), 2048)]
+    assert sum(r.doc_id == 1 for r in out) == 2 and sum(r.doc_id is None for r in out) == 2
+    fill = {}
+    for r in out:
+        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+    assert max(fill.values()) <= 2048 and len(fill) == packing.lower_bound(np.array([r.length for r in out]), 2048)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(6)
     for _ in range(50):
@@ -574,9 +616,9 @@ def test_shards_sort_on_disk_with_the_settings_of_production(spark, tmp_path, mo
             wrote.append(len(position))
             return super().write(position, prefix)
 
-    assert repeats.QUEUE_TUPLES * 4 < repeats.SHARD_BYTES
+    assert repeats.QUEUE_TUPLES * 4 <= repeats.SHARD_BYTES
     got = repeats.shard_repeats(doc, at, texts, 100, repeats.QUEUE_TUPLES, Watched(f"file://{tmp_path}/q"))
-    assert sum(wrote) > 2 * repeats.QUEUE_TUPLES
+    assert sum(wrote) > repeats.QUEUE_TUPLES
     assert got[0].tolist() == list(range(len(passages), len(texts))) and (got[1] == 40).all()
     assert suffixsort.folder("nowhere://x/y") is None
 
@@ -585,7 +627,7 @@ def test_shards_sort_on_disk_with_the_settings_of_production(spark, tmp_path, mo
 def test_common_anchors_meet_by_content(spark, monkeypatch, looked):
     monkeypatch.setattr(repeats, "LOOKED_AT", looked)
     monkeypatch.setattr(repeats, "COMMON", 3)
-    monkeypatch.setattr(repeats, "ANCHOR_SEGMENTS", 8)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 140 * 8)
     rng = random.Random(11)
     shared = words(rng, 80)
     rows = [(i, words(rng, rng.randrange(1, 30)) + shared[rng.randrange(60) :][: rng.randrange(100, 300)] + words(rng, 10)) for i in range(150)]
@@ -597,7 +639,7 @@ def test_common_anchors_meet_by_content(spark, monkeypatch, looked):
 
 def test_repeats_of_an_anchor_with_more_segments_than_a_shard_holds(spark, tmp_path, monkeypatch):
     rng = random.Random(8)
-    heads = ["".join(rng.choices("abcdefgh ", k=90)) for _ in range(repeats.ANCHOR_SEGMENTS + 800)]
+    heads = ["".join(rng.choices("abcdefgh ", k=90)) for _ in range(repeats.SHARD_BYTES // 140 + 2500)]
 
     def share(passage):
         """Of some documents, those with a segment of their own under the passage's commonest anchor."""
@@ -620,7 +662,7 @@ def test_repeats_of_an_anchor_with_more_segments_than_a_shard_holds(spark, tmp_p
     monkeypatch.setattr(repeats, "sort_shards", spy)
     got = {r.doc_id: (r.n_removed, r.kept) for r in repeats.remove_repeats(spark, docs, 100, text=True).collect()}
     assert got == expected_repeats(rows)
-    assert share(passage) >= 90 and max(sizes) <= repeats.ANCHOR_SEGMENTS
+    assert share(passage) >= 90 and max(sizes) <= repeats.SHARD_BYTES // 140
 
 
 def test_shard_sort_with_queues_smaller_than_the_shard(spark, tmp_path):
