@@ -17,14 +17,29 @@ def _paths(spark: SparkSession, path: str | list[str]) -> list[str]:
     return out
 
 
+def _place() -> tuple[Column, ...]:
+    """Where a row stands: its file, the split of the file, and a number that rises within the split."""
+    return F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at")
+
+
+def _in_file(rows: DataFrame, out: str) -> DataFrame:
+    """The row's number within its file, from 0.
+
+    Rows are counted by split, so the only thing that is ordered in one task is
+    a row a split, and no sequence is shuffled.
+    """
+    splits = rows.groupBy("file", "split").agg(F.min("at").alias("__first"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "split", "__first", before.alias("__before"))
+    return rows.join(F.broadcast(splits), ["file", "split"]).withColumn(out, F.col("__before") + F.col("at") - F.col("__first")).drop("__first", "__before", "split", "at")
+
+
 def _numbered(rows: DataFrame) -> DataFrame:
-    """read_id from 0 in file and record order; ranks are taken within a file, files get offsets."""
-    within = F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1
+    """read_id from 0 in file and record order (``within``); files get offsets."""
     sizes = rows.groupBy("file").agg(F.count("*").alias("n"))
     offset = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = sizes.select("file", offset.alias("offset"))
-    out = rows.withColumn("within", within).join(F.broadcast(files), "file")
-    return out.select((F.col("offset") + F.col("within")).cast("long").alias("read_id"), "name", "sub_head", "seq", "quality")
+    return rows.join(F.broadcast(files), "file").select((F.col("offset") + F.col("within")).cast("long").alias("read_id"), "name", "sub_head", "seq", "quality")
 
 
 def _header(line: Column) -> tuple[Column, Column]:
@@ -37,24 +52,23 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     The record separator is the reader's, so plain files split over tasks; a
     gzip file is one task's.  A sequence may be empty.
     """
-    raw = spark.read.option("lineSep", "\n>").text(_paths(spark, path)).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "^>", "").alias("value"))
-    raw = raw.where(F.trim("value") != "")
+    raw = spark.read.option("lineSep", "\n>").text(_paths(spark, path)).select(*_place(), F.regexp_replace("value", "^>", "").alias("value"))
+    raw = _in_file(raw.where(F.trim("value") != ""), "within")
     name, rest = _header(F.substring_index("value", "\n", 1))
     body = F.when(F.instr("value", "\n") > 0, F.expr("substring(value, instr(value, '\n') + 1)")).otherwise("")
-    return _numbered(raw.select("file", "at", name.alias("name"), rest.alias("sub_head"), F.regexp_replace(body, r"\s", "").alias("seq"), F.lit(None).cast("string").alias("quality")))
+    return _numbered(raw.select("file", "within", name.alias("name"), rest.alias("sub_head"), F.regexp_replace(body, r"\s", "").alias("seq"), F.lit(None).cast("string").alias("quality")))
 
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Four-line records.  A record whose header, separator or quality length is wrong fails the read."""
-    raw = spark.read.text(_paths(spark, path)).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value")
-    line = F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1
-    rows = raw.withColumn("line", line).groupBy("file", F.floor(F.col("line") / 4).alias("at"))
+    raw = _in_file(spark.read.text(_paths(spark, path)).select(*_place(), "value"), "line")
+    rows = raw.groupBy("file", F.floor(F.col("line") / 4).alias("within"))
     pick = lambda i: F.max(F.when(F.col("line") % 4 == i, F.col("value")))
     rows = rows.agg(pick(0).alias("head"), pick(1).alias("seq"), pick(2).alias("plus"), pick(3).alias("quality")).where("trim(coalesce(head, '')) <> '' or seq is not null")
     good = F.col("head").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("quality"))
     rows = rows.withColumn("seq", F.when(good, F.col("seq")).otherwise(F.raise_error(F.concat(F.lit("bad FASTQ record: "), F.coalesce("head", F.lit(""))))))
     name, rest = _header(F.expr("substring(head, 2)"))
-    return _numbered(rows.select("file", "at", name.alias("name"), rest.alias("sub_head"), "seq", "quality"))
+    return _numbered(rows.select("file", "within", name.alias("name"), rest.alias("sub_head"), "seq", "quality"))
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:

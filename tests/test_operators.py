@@ -148,6 +148,41 @@ def test_fasta_and_fastq(spark, tmp_path):
     assert read_fasta(spark, f"file://{tmp_path}/out").count() == 3
 
 
+def test_records_of_many_splits_keep_their_order(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    for n in range(3):
+        seqs = ["".join(rng.choice(list("ACGT"), rng.integers(0, 60))) for _ in range(40)]
+        (tmp_path / f"f{n}.fa").write_text("".join(f">r{n}_{i} x\n{s[:20]}\n{s[20:]}\n" for i, s in enumerate(seqs)))
+        (tmp_path / f"f{n}.fq").write_text("".join(f"@r{n}_{i} x\n{s}\n+\n{'!' * len(s)}\n" for i, s in enumerate(seqs)))
+    key = "spark.sql.files.maxPartitionBytes"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "300")
+    try:
+        for read, end in ((read_fasta, "fa"), (read_fastq, "fq")):
+            df = read(spark, [str(tmp_path / f"f{n}.{end}") for n in range(3)])
+            got = [(r.read_id, r.name) for r in df.orderBy("read_id").collect()]
+            assert got == [(40 * n + i, f"r{n}_{i}") for n in range(3) for i in range(40)]
+    finally:
+        spark.conf.set(key, was)
+
+
+def test_other_overlap_formats(spark, tmp_path):
+    """m4a, paf and ovl rows as the layouts say; names stay names where a format has no numbers."""
+    (tmp_path / "x.ovl").write_text("0 1 -500 95.0 0 500 1000 1000 0 0 500 1000 overlap\n")
+    got = read_overlaps(spark, f"file://{tmp_path}/x.ovl", "ovl").collect()
+    assert [(r.a_id, r.b_id, r.identity, r.a_start, r.a_end, r.b_start, r.b_end) for r in got] == [(0, 1, 95.0, 500, 1000, 0, 500)]
+    (tmp_path / "x.paf").write_text("r0\t1000\t500\t1000\t+\tr1\t1000\t0\t500\t450\t500\t255\n")
+    names = spark.createDataFrame([(7, "r0"), (9, "r1")], "read_id long, name string")
+    got = read_overlaps(spark, f"file://{tmp_path}/x.paf", "paf", names).collect()[0]
+    assert (got.a_id, got.b_id, got.b_strand) == (7, 9, 0)
+    df = spark.createDataFrame([overlap(500, 1000, 0, 500)], OVERLAPS).withColumns({"a_id": F.lit(7).cast("long"), "b_id": F.lit(9).cast("long")})
+    write_overlaps(df, f"file://{tmp_path}/y.m4a", "m4a", names)
+    write_overlaps(df, f"file://{tmp_path}/y.m4a", "m4a", names, "append")
+    back = read_overlaps(spark, f"file://{tmp_path}/y.m4a", "m4a", names)
+    assert back.count() == 2 and {tuple(r) for r in back.drop("score").collect()} == {tuple(r) for r in df.collect()}
+    assert (got.identity, got.a_start, got.a_end, got.a_len, got.b_start, got.b_end, got.b_len) == (90.0, 500, 1000, 1000, 0, 500, 1000)
+
+
 def test_overlap_text_round_trip(spark, tmp_path):
     df = spark.createDataFrame([overlap(500, 1000, 0, 500), overlap(0, 500, 0, 500, 1)], OVERLAPS)
     write_overlaps(df, f"file://{tmp_path}/o.m4")
