@@ -190,3 +190,57 @@ def remap_ids(overlaps: DataFrame, ids: DataFrame) -> DataFrame:
         own = ids.select(F.col("read_id").alias(f"{r}_id"), F.col("new_id").alias(f"__{r}"))
         out = out.join(own, f"{r}_id").withColumn(f"{r}_id", F.col(f"__{r}")).drop(f"__{r}")
     return out.select(*overlaps.columns)
+
+
+def by_subject(overlaps: DataFrame, min_identity: float, partitions: int | None = None) -> DataFrame:
+    """Overlaps of enough identity under both of their reads, placed by the second."""
+    return both_roles(overlaps.where(F.col("identity") >= min_identity), "b_id", partitions)
+
+
+def without_names(overlaps: DataFrame, names: DataFrame, reads: DataFrame) -> DataFrame:
+    """Overlaps neither of whose reads (read_id, name) is named in ``names`` (name)."""
+    return drop_reads(overlaps, reads.join(names.select("name").distinct(), "name", "left_semi").select("read_id"))
+
+
+#: Largest score of a packed candidate.
+TOP_SCORE = 1_000_000
+
+
+def pack_candidates(candidates: DataFrame) -> DataFrame:
+    """What a packed candidate keeps: both directions, whether its seed is its beginning, the bounded score, ids and spans, in seven numbers."""
+    flags = F.col("sdir").bitwiseAND(1) * 4 + F.col("qdir").bitwiseAND(1) * 2 + (F.col("qoff") == F.col("qbeg")).cast("long")
+    return candidates.select((flags * (1 << 24) + F.least("score", F.lit(TOP_SCORE))).cast("long").alias("head"), "sid", "sbeg", "send", "qid", "qbeg", "qend")
+
+
+def unpack_candidates(packed: DataFrame) -> DataFrame:
+    """Candidates from ``pack_candidates``; a seed that was not the beginning comes out as the end."""
+    flag = lambda bit: F.shiftright("head", 24 + bit).bitwiseAND(1)
+    first = flag(0) == 1
+    return packed.select(
+        "qid", "sid", F.col("head").bitwiseAND((1 << 24) - 1).alias("score"), flag(1).alias("qdir"), "qbeg", "qend", F.when(first, F.col("qbeg")).otherwise(F.col("qend")).alias("qoff"),
+        flag(2).alias("sdir"), "sbeg", "send", F.when(first, F.col("sbeg")).otherwise(F.col("send")).alias("soff"),
+    )
+
+
+def worst_error_window(alignments: DataFrame, key: str = "id", width: int = 100) -> DataFrame:
+    """``alignments`` (key, cigar of =XID) to the most errors in ``width`` target bases: key, errors, start.
+
+    A mismatch or deletion is an error at its base, an insertion adds its bases to
+    the target base that follows it.  The first of equal windows counts; a target
+    shorter than the width has none.
+    """
+    ops = F.regexp_extract_all("cigar", F.lit(r"(\d+)([=XID])"), 0)
+    rows = alignments.select(key, F.posexplode(ops).alias("i", "op")).select(key, "i", F.expr("cast(substring(op, 1, length(op) - 1) as bigint)").alias("n"), F.expr("right(op, 1)").alias("op"))
+    before = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum(F.when(F.col("op") != "I", F.col("n")).otherwise(0)).over(before), F.lit(0)))
+    size = rows.where("op <> 'I'").groupBy(key).agg(F.sum("n").alias("size"))
+    single = rows.where("op in ('X', 'D')").select(key, F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("pos"), F.lit(1).cast("long").alias("e"))
+    errors = single.union(rows.where("op = 'I'").select(key, F.col("at").alias("pos"), F.col("n").alias("e"))).join(size, key).where("pos < size and size >= %d" % width)
+    errors = errors.groupBy(key, "size", "pos").agg(F.sum("e").alias("e"))
+    # a window that begins at an error, or ends with the target, holds as many as any
+    span = Window.partitionBy(key).orderBy("pos").rangeBetween(-(width - 1), 0)
+    best = errors.select(key, "pos", F.sum("e").over(span).alias("errors"))
+    w = Window.partitionBy(key).orderBy(F.desc("errors"), "pos")
+    found = best.withColumn("__r", F.row_number().over(w)).where("__r = 1").select(key, "errors", F.greatest(F.col("pos") - width + 1, F.lit(0)).alias("start"))
+    clean = size.where(F.col("size") >= width).join(found.select(key), key, "left_anti").select(key, F.lit(0).cast("long").alias("errors"), F.lit(0).cast("long").alias("start"))
+    return found.unionByName(clean)

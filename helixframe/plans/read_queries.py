@@ -98,7 +98,12 @@ def labelled_reads_anti(spark, sf):
     return reads(spark, sf).join(known, "read_id", "left_anti").select("read_id", F.length("seq").cast("long").alias("len"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE r AS ({READS_SQL}), n AS (SELECT read_id, length(seq) AS len, row_number() OVER (ORDER BY read_id) AS rn FROM r),
+f AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS part, CAST(0 AS BIGINT) AS total, CAST(NULL AS BIGINT) AS read_id, CAST(0 AS BIGINT) AS len
+  UNION ALL SELECT n.rn, CASE WHEN total >= 100000 THEN part + 1 ELSE part END, CASE WHEN total >= 100000 THEN n.len ELSE total + n.len END, n.read_id, n.len FROM f JOIN n ON n.rn = f.rn + 1)
+SELECT part, min(read_id) AS first, max(read_id) AS last, count(*) AS n, CAST(sum(len) AS BIGINT) AS bases FROM f WHERE rn > 0 GROUP BY part"""
+)
 def reads_split_by_budget(spark, sf):
     rows = R.split_by_budget(reads(spark, sf), 100_000)
     return rows.groupBy("part").agg(F.min("read_id").alias("first"), F.max("read_id").alias("last"), F.count("*").alias("n"), F.sum(F.length("seq")).alias("bases"))
