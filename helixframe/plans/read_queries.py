@@ -117,7 +117,7 @@ def kmer_counts(spark, sf):
     return kmers.counts(reads(spark, sf), 15).groupBy("n").agg(F.count("*").alias("kmers"))
 
 
-MOST, STRIDE = 50, 10
+MOST, STRIDE = 500, 10
 _PAIRS = "count(*) AS seeds, min(q.pos) AS q_first, max(q.pos) AS q_last, min(s.pos) AS s_first, max(s.pos) AS s_last"
 _RARE = f"rare AS (SELECT kmer FROM k GROUP BY kmer HAVING count(*) <= {MOST})"
 
@@ -173,6 +173,14 @@ def seed_block_scores(spark, sf):
     return kmers.block_scores(kmers.reference_seeds(reads(spark, sf), references(spark, sf)), 200)
 
 
+@query(
+    f"""{_SEEDS}, b AS (SELECT qid, qdir, sid, soff // 200 AS block, least(count(DISTINCT qoff), 40) AS score FROM seeds GROUP BY 1, 2, 3, 4)
+SELECT * FROM (SELECT b.*, CAST(b.score + coalesce(p.score, 0) AS BIGINT) AS with_before FROM b LEFT JOIN b p ON p.qid = b.qid AND p.qdir = b.qdir AND p.sid = b.sid AND p.block = b.block - 1) WHERE score >= 2 AND with_before >= 4"""
+)
+def candidate_blocks(spark, sf):
+    return kmers.candidate_blocks(kmers.reference_seeds(reads(spark, sf), references(spark, sf)), 200, 2)
+
+
 @query(f"{_K} SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) AS seed_pairs FROM (SELECT count(*) AS n FROM k GROUP BY kmer HAVING count(*) <= 500)")
 def kmer_expected_pairs(spark, sf):
     return kmers.expected_pairs(reads(spark, sf), 15, 500)
