@@ -241,8 +241,8 @@ def best_links(links: DataFrame) -> DataFrame:
 
     An end of c0 is taken by where c1 lies: after it (position < 0) or before.
     """
-    rows = links.withColumn("end0", F.when(F.col("position") < 0, 1).otherwise(0)).withColumn("end1", F.when((F.col("position") < 0) == (F.col("strand") == 0), 0).otherwise(1))
-    order = [F.desc("support"), F.desc("score"), F.col("c0"), F.col("c1"), F.col("position")]
+    rows = links.distinct().withColumn("end0", F.when(F.col("position") < 0, 1).otherwise(0)).withColumn("end1", F.when((F.col("position") < 0) == (F.col("strand") == 0), 0).otherwise(1))
+    order = [F.desc("support"), F.desc("score"), F.col("c0"), F.col("c1"), F.col("position"), F.col("strand")]
     for n in "01":
         rows = rows.withColumn(f"r{n}", F.row_number().over(Window.partitionBy(f"c{n}", f"end{n}").orderBy(*order)))
     return rows.where("r0 = 1 and r1 = 1").drop("r0", "r1", "end0", "end1")

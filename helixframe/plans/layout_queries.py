@@ -158,8 +158,8 @@ def covered_contig_edges(spark, sf):
 
 
 @query(
-    f"""{_S}, {_PL}, w AS (SELECT *, start AS position, CASE WHEN start < 0 THEN 1 ELSE 0 END AS e0, CASE WHEN (start < 0) = (strand = 0) THEN 0 ELSE 1 END AS e1, 1 AS support FROM pl),
-q AS (SELECT *, row_number() OVER (PARTITION BY c0, e0 ORDER BY support DESC, score DESC, c0, c1, position) AS r0, row_number() OVER (PARTITION BY c1, e1 ORDER BY support DESC, score DESC, c0, c1, position) AS r1 FROM w)
+    f"""{_S}, {_PL}, w AS (SELECT DISTINCT c0, c1, strand, score, start AS position, CASE WHEN start < 0 THEN 1 ELSE 0 END AS e0, CASE WHEN (start < 0) = (strand = 0) THEN 0 ELSE 1 END AS e1, 1 AS support FROM pl),
+q AS (SELECT *, row_number() OVER (PARTITION BY c0, e0 ORDER BY support DESC, score DESC, c0, c1, position, strand) AS r0, row_number() OVER (PARTITION BY c1, e1 ORDER BY support DESC, score DESC, c0, c1, position, strand) AS r1 FROM w)
 SELECT c0, c1, strand, position, score, support FROM q WHERE r0 = 1 AND r1 = 1"""
 )
 def best_links(spark, sf):
