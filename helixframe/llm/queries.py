@@ -82,6 +82,24 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark, table(spark, sf_dir, "documents"), 100)
 
 
+def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.recompression import remove_windows
+
+    return remove_windows(spark, table(spark, sf_dir, "documents"), 35)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.spelling import variants
+
+    return variants(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.filteraudit import audit
+
+    return audit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP4_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
@@ -101,11 +119,39 @@ d AS (SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN bad THEN 1 ELSE 0 E
 SELECT doc_id, n_lines, n_removed, CAST(length(kept) AS BIGINT) AS n_kept, sha256(kept) AS kept_sha256 FROM d
 """
 
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS words,
+             min(doc_id) OVER (PARTITION BY text) AS first_id FROM t),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT w.part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic, {
+        'A': len(words) < 200,
+        'B': 100 * len(list_distinct(words)) < 50 * len(words),
+        'C': 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text),
+        'D': regexp_matches(text, '[#$%&*|]'),
+        'E': coalesce(w.doc_id > first_id, false)} AS fails FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+m AS (SELECT part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: map_extract(MAP {'A': fails.A, 'B': fails.B, 'C': fails.C, 'D': fails.D, 'E': fails.E}, x)[1]) AS failing, count(*) AS n
+      FROM f GROUP BY ALL),
+a AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM a p, a q, a r, a s, a t
+      WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+g AS (SELECT part, good, toxic, failing, n, filter_order, coalesce(list_min([strpos(filter_order, x) for x in failing]), 6) AS failed FROM m, o),
+c AS (SELECT part, filter_order, step,
+        CAST(coalesce(sum(n) FILTER (WHERE failed > step), 0) AS BIGINT) AS kept,
+        CAST(coalesce(sum(n) FILTER (WHERE failed = step), 0) AS BIGINT) AS removed,
+        CAST(coalesce(sum(n) FILTER (WHERE failed < step AND list_contains(failing, filter_order[step])), 0) AS BIGINT) AS redundant,
+        CAST(coalesce(sum(n) FILTER (WHERE failing = [filter_order[step]]), 0) AS BIGINT) AS unique_fails,
+        CAST(coalesce(sum(n) FILTER (WHERE failed = step AND good), 0) AS BIGINT) AS good_lost,
+        CAST(coalesce(sum(n) FILTER (WHERE failed = step AND toxic), 0) AS BIGINT) AS toxic_lost
+      FROM g, (SELECT CAST(unnest(range(1, 6)) AS INT) AS step) GROUP BY part, filter_order, step)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM c
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_embedding_dedup, op2_quality, op3_nearest, op4_warc, op5_mixing, op6_line_dedup, op7_packing, op8_licenses, op9_minhash, op10_suffix_array]
+    own = [op1_embedding_dedup, op2_quality, op3_nearest, op4_warc, op5_mixing, op6_line_dedup, op7_packing, op8_licenses, op9_minhash, op10_suffix_array, op11_recompression, op12_spelling, op13_filter_audit]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op6_line_dedup": OP6_SQL}
+    return {"op4_warc": OP4_SQL, "op6_line_dedup": OP6_SQL, "op13_filter_audit": OP13_SQL}
