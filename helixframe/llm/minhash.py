@@ -72,14 +72,20 @@ def branches_for(recall: float, threshold: float) -> int:
 
 
 def document_sets(column, width: int):
-    """For each block of documents: (first, last, document of each distinct shingle, its hash), sorted within documents."""
-    for a, b, _, words in word_blocks(column, BY_SPACE):
+    """For each block of documents: (first, last, document of each distinct shingle, its hashes in both lanes), sorted within documents."""
+    for a, b, _, words in word_blocks(column, BY_SPACE, lanes=2):
         doc, h = shingle_hashes(words, width)
+        _, g = shingle_hashes(words, width, 1)
         order = np.lexsort((h, doc))
-        doc, h = doc[order], h[order]
+        doc, h, g = doc[order], h[order], g[order]
+        same = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
+        if (same & (g[1:] != g[:-1])).any():  # unequal shingles that agree in one lane
+            order = np.lexsort((g, h, doc))
+            doc, h, g = doc[order], h[order], g[order]
+            same = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
         fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        yield a, b, doc[fresh], h[fresh]
+        fresh[1:] = ~same | (g[1:] != g[:-1])
+        yield a, b, doc[fresh], h[fresh], g[fresh]
 
 
 def signatures(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
@@ -99,12 +105,13 @@ FEATURES = "id long, n long, k1 long, k2 long, signature binary"
 def features(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for a, b, doc, h in document_sets(batch.column(1), width):
+            for a, b, doc, h, g in document_sets(batch.column(1), width):
                 n = np.bincount(doc, minlength=b - a)
                 keys = []
-                for salt in (U64(0x51ED270B), U64(0x2545F491)):
+                for lane, other, salt in ((h, g, U64(0x51ED270B)), (g, h, U64(0x2545F491))):
+                    # of both lanes, so that sets are told apart by what 128 bits tell apart
                     total = np.zeros(b - a, np.uint64)
-                    np.add.at(total, doc, mix(h ^ salt))
+                    np.add.at(total, doc, mix(mix(lane ^ salt) + other))
                     keys.append(total.view(np.int64))
                 own = signatures(doc, h, b - a)
                 yield pa.RecordBatch.from_arrays(
@@ -306,14 +313,15 @@ SETS = "id long, grp long, c long, shingles binary"
 
 
 def full_sets(docs: DataFrame, groups: DataFrame, width: int) -> DataFrame:
-    """Sorted 64-bit shingles of the documents that ``groups`` (id, grp, and the group's size c) names."""
+    """Shingles (128 bits each, both lanes) of the documents that ``groups`` (id, grp, and the group's size c) names."""
     chosen = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(_counted(groups), "id").select("id", "grp", "c", "text")
 
     def run(batches):
         for batch in batches:
-            for a, b, doc, h in document_sets(batch.column(3), width):
+            for a, b, doc, h, g in document_sets(batch.column(3), width):
                 cut = np.searchsorted(doc, np.arange(b - a + 1))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array([h[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["id", "grp", "c", "shingles"])
+                both = np.stack([h, g], 1)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array([both[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["id", "grp", "c", "shingles"])
 
     return chosen.mapInArrow(run, SETS)
 
@@ -333,6 +341,17 @@ def similar(x: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
     return out
 
 
+def numbered(sets: list[bytes]) -> list[np.ndarray]:
+    """Sets of 128-bit shingles as sorted numbers, equal where shingles are."""
+    size = np.array([len(s) // 16 for s in sets], np.int64)
+    both = np.frombuffer(b"".join(sets), np.uint64).reshape(-1, 2)
+    order = np.lexsort((both[:, 1], both[:, 0]))
+    both = both[order]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(np.concatenate([[False], (both[1:] != both[:-1]).any(1)])[: len(order)])
+    return [np.sort(x) for x in np.split(number, np.cumsum(size)[:-1])]
+
+
 def confirmed(sets: DataFrame, percent: int) -> DataFrame:
     """Rows (grp, id, shingles, asks), sorted by grp: links on full sets, leaving out pairs that are connected already.
 
@@ -342,11 +361,14 @@ def confirmed(sets: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for table in _runs(batches, 256):
             grp, ids = table.column(0).to_numpy(), table.column(1).to_numpy()
-            sets_ = [np.frombuffer(s, np.uint64) for s in table.column(2).to_pylist()]
+            shingles = table.column(2)
             asks = table.column(3).to_numpy(zero_copy_only=False)
             first = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1]]))
             a, b = [], []
             for f, e in zip(first.tolist(), np.append(first[1:], len(grp)).tolist(), strict=True):
+                if e - f < 2:
+                    continue
+                own = numbered(shingles.slice(f, e - f).to_pylist())
                 label = np.arange(e - f)
                 pairwise = asks[f] == PAIRWISE
                 for i in range(e - f) if pairwise else np.flatnonzero(asks[f:e]).tolist():
@@ -354,7 +376,7 @@ def confirmed(sets: DataFrame, percent: int) -> DataFrame:
                     if pairwise:
                         other = other[other > i]
                     if len(other):
-                        good = other[similar(sets_[f + i], [sets_[f + j] for j in other], percent)]
+                        good = other[similar(own[i], [own[j] for j in other], percent)]
                         for j in good.tolist():
                             if label[j] != label[i]:
                                 label[label == label[j]] = label[i]
@@ -374,7 +396,7 @@ def _weight(n_bytes: Column) -> Column:
 def verify(spark: SparkSession, docs: DataFrame, classes: DataFrame, links: DataFrame, percent: int, width: int, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """Candidate links to links whose full sets agree, by groups that candidates connect."""
     groups = components(spark, links, scratch).withColumnRenamed("component_id", "grp").join(classes.select("id", "n"), "id")
-    groups = groups.join(groups.groupBy("grp").agg(_weight(F.col("n") * 8).alias("c")), "grp").select("id", "grp", "c")
+    groups = groups.join(groups.groupBy("grp").agg(_weight(F.col("n") * 16).alias("c")), "grp").select("id", "grp", "c")
     groups = scratch.keep(groups, "groups")
     sets = scratch.keep(full_sets(docs, groups, width), "sets")
     small = sets.where(F.col("c") <= block).select("grp", "id", "shingles", F.lit(PAIRWISE).alias("asks"))

@@ -19,18 +19,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm.scratch import Scratch
-from helixframe.llm.textkernels import BY_SPACE, word_blocks
+from helixframe.llm.textkernels import blocks, text_buffers
 
-#: Bytes of remembered words from which a worker forgets them all.
-CACHE_BYTES = 40_000_000
+#: Bytes of remembered words from which a worker forgets them all, and bytes that a word takes besides its own.
+CACHE_BYTES, ENTRY_BYTES = 80_000_000, 140
 
 
 class WordTokens:
     """Token ids of white-space separated words, each distinct word encoded once while it is remembered.
 
     The vocabulary's pre-tokeniser never joins text across white space, so a
-    text's ids are its words' ids in order.  Words are kept as sorted hashes and
-    flat ids, some 30 bytes each.
+    text's ids are its words' ids in order.  Words are known by their bytes.
     """
 
     def __init__(self, spec: str):
@@ -42,7 +41,8 @@ class WordTokens:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.index: dict[bytes, int] = {}
+        self.bytes = 0
         self.ids, self.start = np.zeros(1 << 12, self.kind), np.zeros(1 << 10, np.int64)
         self.words = 0
         self._add([[0]])  # word 0: the id 0 that ends a document
@@ -59,32 +59,25 @@ class WordTokens:
         self.ids[used:total] = np.fromiter((i for e in encoded for i in e), self.kind, total - used)
         self.words = n
 
-    def block(self, data: np.ndarray, words) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all documents of a block, where each document's begin and the end)."""
-        if self.keys.nbytes + self.numbers.nbytes + self.ids.nbytes + self.start.nbytes > CACHE_BYTES:
+    def block(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin and the end)."""
+        if self.bytes + self.ids.nbytes + self.start.nbytes > CACHE_BYTES:
             self.clear()
-        distinct, first, of = np.unique(words.hash, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, distinct)
-        known = np.zeros(len(distinct), bool)
-        inside = np.flatnonzero(at < len(self.keys))
-        known[inside] = self.keys[at[inside]] == distinct[inside]
-        index = np.zeros(len(distinct), np.int64)
-        index[known] = self.numbers[at[known]]
-        new = np.flatnonzero(~known)
-        if len(new):
-            raw = data.tobytes()
-            spans = zip(words.start[first[new]].tolist(), words.end[first[new]].tolist(), strict=True)
-            texts = [raw[a:b].decode() for a, b in spans]
-            index[new] = self.words + np.arange(len(new))
-            self.keys = np.insert(self.keys, at[new], distinct[new])
-            self.numbers = np.insert(self.numbers, at[new], index[new].astype(np.int32))
-            self._add([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
-        line = np.insert(index[of], words.first[1:], 0)
+        split = [t.split() for t in texts]  # at ASCII white space
+        words = [w for own in split for w in own]
+        new = list(set(words) - self.index.keys())
+        if new:
+            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+            self.index.update(zip(new, range(self.words, self.words + len(new)), strict=True))
+            self.bytes += sum(map(len, new)) + ENTRY_BYTES * len(new)
+            self._add([e.ids for e in encoded])
+        of = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+        line = np.insert(of, ends, 0)
         size = self.start[line + 1] - self.start[line]
-        ends = np.cumsum(size)
-        ids = self.ids[np.repeat(self.start[line] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        last = words.first[1:] + np.arange(len(words.first) - 1)  # where each document's end stands in line
-        return ids, np.concatenate([[0], ends[last]])
+        upto = np.cumsum(size)
+        ids = self.ids[np.repeat(self.start[line] - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)]
+        return ids, np.concatenate([[0], upto[ends + np.arange(len(ends))]])
 
 
 _workers: dict[int, WordTokens] = {}
@@ -115,8 +108,10 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> Da
         own = _worker(spec.value)
         for batch in batches:
             docids = batch.column(0)
-            for a, b, data, words in word_blocks(batch.column(1), BY_SPACE, fold=False):
-                ids, first = own.block(data, words)
+            offsets, data = text_buffers(batch.column(1))
+            raw = memoryview(data)
+            for a, b in blocks(offsets):
+                ids, first = own.block([bytes(raw[x:y]) for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist(), strict=True)])
                 view = memoryview(np.ascontiguousarray(ids.astype("<u4"))).cast("B")
                 lengths = np.diff(first)
                 n = -(-lengths // capacity)

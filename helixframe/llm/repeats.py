@@ -3,7 +3,7 @@
 Every string of ``span`` bytes has one anchor, the least-hashed short gram in
 it, so equal strings have equal anchors.  A document becomes segments, each the
 strings of one anchor; segments meet by their anchor's hash.  Segments equal in
-full keep their first copy only.  Where different segments share an anchor,
+full (128 bits of blake2b over all of their bytes) keep their first copy only.  Where different segments share an anchor,
 their bytes form a shard that is suffix-sorted by external induced sorting;
 runs of suffixes with a common prefix of ``span`` bytes are equal strings, and
 all but the first of a run are repeats.  Where more segments share an anchor
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from helixframe.llm.components import runs as _runs
 from helixframe.llm.scratch import Scratch
 from helixframe.llm.suffixsort import folder, sorted_buckets
-from helixframe.llm.textkernels import _CASED, U64, _power, blocks, mix, text_buffers
+from helixframe.llm.textkernels import U64, blocks, gram_values, mix, text_buffers
 
 #: Bytes of the grams that anchor strings.
 GRAM = 24
@@ -53,20 +53,15 @@ def _pieces(offsets: np.ndarray, span: int):
 
 
 def segments(offsets: np.ndarray, data: np.ndarray, span: int):
-    """Arrays (document, start, strings, anchor hash, content hash) of the segments of a scanned piece."""
+    """Arrays (document, start, strings, anchor hash, two halves of a content digest) of the segments of a scanned piece."""
     n = len(data)
-    none = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
+    none = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] + [np.zeros(0, np.int64)] * 2
     if n < span:
         return none
-    p, q = _power(n + 1)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_CASED[data] * p[:n], out=sums[1:])
-    part = lambda i, j: (sums[j] - sums[i]) * q[i]
     grams = n - GRAM + 1
-    value = mix((sums[GRAM:] - sums[:-GRAM]) * q[:grams])
+    whole = gram_values(data, GRAM)
     # the place breaks ties to the left, and tells which gram is the least
-    value = (value & ~((U64(1) << _PLACE_BITS) - U64(1))) | np.arange(grams, dtype=np.uint64)
+    value = (whole & ~((U64(1) << _PLACE_BITS) - U64(1))) | np.arange(grams, dtype=np.uint64)
     width = span - GRAM + 1
     padded = np.full(-(-grams // width) * width, U64(2**64 - 1))
     padded[:grams] = value
@@ -93,13 +88,13 @@ def segments(offsets: np.ndarray, data: np.ndarray, span: int):
     stop = np.flatnonzero(inside & np.append((anchor[1:] != anchor[:-1]) | ~inside[1:], True)) + 1
     count = stop - start
     doc = np.searchsorted(offsets, start, "right") - 1
-    at = anchor[start]
-    h = mix(part(at, at + GRAM))
-    content = mix(part(start, stop + span - 1) + (at - start).astype(np.uint64) * U64(0x9E3779B97F4A7C15) + count.astype(np.uint64))
-    return [doc, start - offsets[doc], count, h, content]
+    raw = memoryview(data)
+    digests = b"".join([hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(start.tolist(), (stop + span - 1).tolist(), strict=True)])
+    content = np.frombuffer(digests, "<i8").reshape(-1, 2)
+    return [doc, start - offsets[doc], count, mix(whole[anchor[start]]), content[:, 0], content[:, 1]]
 
 
-ANCHORS = "h long, g long, doc long, at long, again boolean"
+ANCHORS = "h long, g long, g2 long, doc long, at long, again boolean"
 
 
 def anchors(docs: DataFrame, span: int) -> DataFrame:
@@ -115,17 +110,17 @@ def anchors(docs: DataFrame, span: int) -> DataFrame:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             offsets, data = text_buffers(batch.column(1))
             for a, b, lo, hi, at in _pieces(offsets, span):
-                doc, start, count, h, g = segments(offsets[a : b + 1] - lo if b - a > 1 else np.array([0, hi - lo]), data[lo:hi], span)
+                doc, start, count, h, g, g2 = segments(offsets[a : b + 1] - lo if b - a > 1 else np.array([0, hi - lo]), data[lo:hi], span)
                 if not len(doc):
                     continue
                 own, place = ids[a + doc], ((start + at) << 8) | count
-                order = np.lexsort((place, own, g, h))
-                h, g, own, place = h[order], g[order], own[order], place[order]
+                order = np.lexsort((place, own, g2, g, h))
+                h, g, g2, own, place = h[order], g[order], g2[order], own[order], place[order]
                 again = np.zeros(len(h), bool)
-                again[1:] = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
+                again[1:] = (h[1:] == h[:-1]) & (g[1:] == g[:-1]) & (g2[1:] == g2[:-1])
                 new = np.ones(len(h), bool)
                 new[1:] = ~again[1:] | (own[1:] != own[:-1]) | (place[1:] != place[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (h.view(np.int64), g.view(np.int64), own, place, again)], ["h", "g", "doc", "at", "again"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (h.view(np.int64), g, g2, own, place, again)], ["h", "g", "g2", "doc", "at", "again"])
 
     return docs.where("doc is not null").select("doc", "text").mapInArrow(run, ANCHORS)
 
@@ -134,25 +129,25 @@ MET = "h long, doc long, at long, again boolean"
 
 
 def meet(rows: DataFrame, lonely: bool = False) -> DataFrame:
-    """Segments sorted by (h, g, doc, at): later equal segments at other places are repeats; first ones whose anchor others share go on.
+    """Segments sorted by (h, g, g2, doc, at): later equal segments at other places are repeats; first ones whose anchor others share go on.
 
     With ``lonely`` all first ones go on, wherever the others of their anchor are.
     """
 
     def run(batches):
-        before = None  # h, g, doc, at of the last row
+        before = None  # h, g, g2, doc, at of the last row
         open_ = None  # the last first segment, while no other shares its anchor
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, g, doc, at = (batch.column(i).to_numpy() for i in range(4))
+            h, g, g2, doc, at = (batch.column(i).to_numpy() for i in range(5))
             again = np.zeros(len(h), bool)
-            again[1:] = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
-            again[0] = before is not None and before[:2] == (h[0], g[0])
+            again[1:] = (h[1:] == h[:-1]) & (g[1:] == g[:-1]) & (g2[1:] == g2[:-1])
+            again[0] = before is not None and before[:3] == (h[0], g[0], g2[0])
             first = np.flatnonzero(~again)
             keep = np.ones(len(h), bool)
             keep[1:] = ~again[1:] | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
-            keep[0] = before != (h[0], g[0], doc[0], at[0])
+            keep[0] = before != (h[0], g[0], g2[0], doc[0], at[0])
             rest = None
             if len(first):
                 shared = np.zeros(len(first) + 1, bool)
@@ -163,7 +158,7 @@ def meet(rows: DataFrame, lonely: bool = False) -> DataFrame:
                 lone = ~shared[:-1] & ~shared[1:] & (not lonely)
                 keep[first[lone]] = False
                 open_ = tuple(x[first[-1] :][:1] for x in (h, doc, at, again)) if lone[-1] else None
-            before = (h[-1], g[-1], doc[-1], at[-1])
+            before = (h[-1], g[-1], g2[-1], doc[-1], at[-1])
             out = [x[keep] for x in (h, doc, at, again)]
             if rest is not None:
                 out = [np.concatenate(x) for x in zip(rest, out, strict=True)]
@@ -283,16 +278,16 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, scratch: Scratch, span
     """(doc, at) where ``at`` is start * 256 + strings: the strings of ``span`` bytes that also start earlier."""
     found = scratch.keep(anchors(docs, span), "anchors")
     known = found.where("again").select("doc", "at")
-    rows = found.where("not again").select("h", "g", "doc", "at")
+    rows = found.where("not again").select("h", "g", "g2", "doc", "at")
     # segments of a common anchor meet by their content as well, so they spread over tasks; none of them is alone
     looked = rows.where(F.pmod(F.xxhash64("doc", "at"), F.lit(LOOKED_AT)) == 0).groupBy("h").count()
     common = scratch.keep(looked.where(F.col("count") >= COMMON).select("h"), "common")
     met = []
     if common.take(1):
-        spread = rows.join(_few(common), "h", "left_semi").select("h", "g", "doc", "at").repartition("h", "g").sortWithinPartitions("h", "g", "doc", "at")
+        spread = rows.join(_few(common), "h", "left_semi").select("h", "g", "g2", "doc", "at").repartition("h", "g", "g2").sortWithinPartitions("h", "g", "g2", "doc", "at")
         met.append(scratch.keep(meet(spread, True), "common-met"))
-        rows = rows.join(_few(common), "h", "left_anti").select("h", "g", "doc", "at")
-    met.append(scratch.keep(meet(rows.repartition("h").sortWithinPartitions("h", "g", "doc", "at")), "met"))
+        rows = rows.join(_few(common), "h", "left_anti").select("h", "g", "g2", "doc", "at")
+    met.append(scratch.keep(meet(rows.repartition("h").sortWithinPartitions("h", "g", "g2", "doc", "at")), "met"))
     all_met = met[0] if len(met) == 1 else met[0].unionByName(met[1])
     shared = all_met.where("not again").select("h", "doc", "at")
     most = SHARD_BYTES // (span + 40)

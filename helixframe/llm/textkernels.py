@@ -1,13 +1,16 @@
 """Vectorised word hashing over Arrow text columns.
 
-One polynomial prefix sum over the bytes of many documents gives the 64-bit
-hash of every word without a Python call per word.  Bytes go through a table of
-random 64-bit values first, and sums are finished by an avalanche mix, so equal
-words have equal hashes and unequal words collide about once in 2**64 pairs.
+Words are read eight bytes at a time and mixed under a key, as keyed 64-bit
+hashes do, all words of a block at once; words of more than ``LONG`` bytes go
+through blake2b.  A second lane under a key of its own makes 128 bits.  One
+lane chooses candidates; what is equal is decided by bytes or by both lanes.
+Prefix sums of a polynomial modulo 2**64 (``gram_values``) only choose where
+strings are anchored: such sums collide on patterns that are easy to build.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,15 +19,18 @@ import pyarrow as pa
 U64 = np.uint64
 _STEP = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_STEP, -1, 2**64)
-#: Bytes of text that are hashed at once; a longer document is a block of its own, hashed part by part.
+#: Bytes of text that are hashed at once; a longer document is a block of its own.
 BLOCK_BYTES = 500_000
 #: Powers that a worker keeps; longer runs compute their own and drop them.
 KEPT_POWERS = 2_000_256
 
-_rng = np.random.default_rng(20240501)
-_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_VALUES[65:91] = _VALUES[97:123]  # A-Z hash as a-z
 _CASED = np.random.default_rng(20240502).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+#: Words of more bytes are hashed one by one.
+LONG = 64
+_KEYS = np.random.default_rng(20241102).integers(1, 2**63, (2, 4), dtype=np.uint64) * U64(2) + U64(1)
+_MASKS = np.array([2 ** (8 * k) - 1 for k in range(9)], np.uint64)
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[65:91] = np.arange(97, 123)
 _PLACE = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
 
 #: Bytes that belong to words: all but ASCII white space.
@@ -88,66 +94,76 @@ def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int,
 class Words:
     """Words of the documents of a block: spans, hashes and the document of each."""
 
-    __slots__ = ("start", "end", "doc", "hash", "first")
-
-    def __init__(self, offsets: np.ndarray, data: np.ndarray, alphabet: np.ndarray, fold: bool = True, most: int = BLOCK_BYTES):
-        """offsets: len n+1, from 0; data: the block's bytes, hashed ``most`` at a time."""
-        values = _VALUES if fold else _CASED
-        edges = offsets[1:-1]
-        starts, ends, raws = [], [], []
-        for low in range(0, len(data), most):
-            part = data[low : low + most]
-            inner = edges[(edges > low) & (edges < low + len(part))] - low
-            start, end, raw = _word_parts(part, alphabet, values, inner)
-            if low and len(start) and start[0] == 0 and len(ends[-1]) and ends[-1][-1] == low and not (edges == low).any():
-                # a word goes on across the cut: its polynomial continues where the part before left it
-                raws[-1][-1:] += raw[:1] * U64(pow(_STEP, low - int(starts[-1][-1]), 2**64))
-                ends[-1][-1] = low + end[0]
-                start, end, raw = start[1:], end[1:], raw[1:]
-            if len(start) or not starts:
-                starts.append(start + low)
-                ends.append(end + low)
-                raws.append(raw)
-        none = np.zeros(0, np.int64)
-        self.start = np.concatenate(starts) if starts else none
-        self.end = np.concatenate(ends) if ends else none
+    __slots__ = ("start", "end", "doc", "hash", "hash2", "first")
+
+    def __init__(self, offsets: np.ndarray, data: np.ndarray, alphabet: np.ndarray, fold: bool = True, lanes: int = 1):
+        """offsets: len n+1, from 0; data: the block's bytes.  ``hash2`` is there with two lanes."""
+        self.start, self.end = _runs_of(alphabet[data], offsets[1:-1])
         self.first = np.searchsorted(self.start, offsets)  # of each document, and the end
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
-        raw = np.concatenate(raws) if raws else none.view(np.uint64)
-        self.hash = mix(raw + (self.end - self.start).astype(np.uint64))
+        got = _word_hashes(_FOLDED[data] if fold else data, self.start, self.end, lanes)
+        self.hash, self.hash2 = got[0], got[-1] if lanes > 1 else None
 
 
-def _word_parts(data: np.ndarray, alphabet: np.ndarray, values: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, polynomial) of the runs of word bytes; ``edge``: inner places where documents end."""
-    inside = alphabet[data]
+def _runs_of(inside: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the runs of word bytes; ``edge``: inner places where documents end."""
+    if not len(inside):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edge = edge[(edge > 0) & (edge < len(inside))]
     before = np.empty_like(inside)
     before[0] = False
     before[1:] = inside[:-1]
     before[edge] = False
-    start = np.flatnonzero(inside & ~before)
     after = np.empty_like(inside)
     after[-1] = False
     after[:-1] = inside[1:]
     after[edge - 1] = False
-    end = np.flatnonzero(inside & ~after) + 1
-    p, q = _power(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
+    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+
+
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lanes: int) -> list[np.ndarray]:
+    """One 64-bit hash a lane of each span: eight bytes a round, each under the key and the length."""
+    length = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    keys = _KEYS[:lanes]
+    out = [mix(length.astype(np.uint64) * k[0] + k[1]) for k in keys]
+    live, done = np.flatnonzero(length <= LONG), 0
+    while len(live):
+        chunk = eight[start[live] + done] & _MASKS[np.minimum(length[live] - done, 8)]
+        for h, k in zip(out, keys, strict=True):
+            h[live] = mix((h[live] + k[2]) ^ mix(chunk * k[3] + k[1]))
+        done += 8
+        live = live[length[live] > done]
+    long_ = np.flatnonzero(length > LONG)
+    for i, a, b in zip(long_.tolist(), start[long_].tolist(), end[long_].tolist(), strict=True):
+        digest = np.frombuffer(hashlib.blake2b(data[a:b], digest_size=16).digest(), "<u8")
+        for h, x in zip(out, digest, strict=False):
+            h[i] = x
+    return out
+
+
+def gram_values(data: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit value of the ``width`` bytes from each place; equal strings have equal values, and a few unequal ones as well."""
+    n = len(data)
+    p, q = _power(n + 1)
+    sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(values[data] * p[: len(data)], out=sums[1:])
-    return start, end, (sums[end] - sums[start]) * q[start]
+    np.cumsum(_CASED[data] * p[:n], out=sums[1:])
+    return mix((sums[width:] - sums[:-width]) * q[: n - width + 1])
 
 
-def word_blocks(column: pa.Array, alphabet: np.ndarray, fold: bool = True) -> Iterator[tuple[int, int, np.ndarray, Words]]:
+def word_blocks(column: pa.Array, alphabet: np.ndarray, fold: bool = True, lanes: int = 1) -> Iterator[tuple[int, int, np.ndarray, Words]]:
     """(first document, last, bytes, words) of each block of a column."""
     offsets, data = text_buffers(column)
     for a, b in blocks(offsets):
         own = data[offsets[a] : offsets[b]]
-        yield a, b, own, Words(offsets[a : b + 1] - offsets[a], own, alphabet, fold)
+        yield a, b, own, Words(offsets[a : b + 1] - offsets[a], own, alphabet, fold, lanes)
 
 
-def shingle_hashes(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(words: Words, width: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of each run of ``width`` words; shorter texts give their whole sequence once."""
-    h, counts = words.hash, np.diff(words.first)
+    h, counts = (words.hash2 if lane else words.hash), np.diff(words.first)
     m = len(h) - width + 1
     docs, out = [], []
     if m > 0:

@@ -55,15 +55,47 @@ def test_word_hashes_follow_the_words():
     assert all(len(v) == 1 for v in seen.values()) and len({h for v in seen.values() for h in v}) == len(seen)
 
 
-def test_words_across_the_parts_of_a_long_text():
+def doubled(x: str, y: str, times: int = 4) -> tuple[str, str]:
+    """Thue-Morse words over two blocks: polynomial sums modulo a power of two give both one value."""
+    for _ in range(times):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_words_of_all_lengths_and_patterns_are_told_apart():
     rng = random.Random(1)
-    data = np.frombuffer("".join(rng.choice("abc  é\n") for _ in range(3000)).encode(), np.uint8)
-    offsets = np.array([0, 0, 10, 10, 500, 501, len(data), len(data)])
-    for alphabet in (textkernels.BY_SPACE, textkernels.ALPHANUMERIC):
-        want = textkernels.Words(offsets, data, alphabet)
-        for most in (1, 3, 7, 100):
-            got = textkernels.Words(offsets, data, alphabet, True, most)
-            assert all((getattr(got, k) == getattr(want, k)).all() for k in ("start", "end", "doc", "hash", "first"))
+    own = {"".join(rng.choice("ab") for _ in range(n)) for n in range(1, 200) for _ in range(20)} | set(doubled("3j.?", "6-,8")) | set(doubled("^@(w", "xl:[", 7))
+    text = " ".join([*own, *own])
+    data = np.frombuffer(text.encode(), np.uint8)
+    w = textkernels.Words(np.array([0, 0, len(data), len(data)]), data, textkernels.BY_SPACE, True, 2)
+    assert w.first.tolist() == [0, 0, 2 * len(own), 2 * len(own)]
+    for h in (w.hash, w.hash2):
+        assert len(set(h.tolist())) == len(own) and (h[: len(own)] == h[len(own) :]).all()
+
+
+def test_what_polynomials_confuse_is_told_apart(spark):
+    from tokenizers import Tokenizer
+
+    x, y = doubled("3j.?", "6-,8")
+    rows = packing.pack(spark, spark.createDataFrame([(1, x), (2, y)], "doc_id long, text string"), tokenizer_path()).collect()
+    t = Tokenizer.from_file(tokenizer_path())
+    assert {r.doc_id: r.ids_crc32 for r in rows} == {i: zlib.crc32(np.array([*t.encode(w, add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, w in ((1, x), (2, y))}
+    x, y = doubled("^@(w", "xl:[")
+    out = minhash.near_duplicates(spark, spark.createDataFrame([(1, x), (2, y), (3, x.upper())], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in out} == {1: 1, 2: 2, 3: 1}
+    rng = random.Random(5)
+    shared = "".join(rng.choice("abcdefgh") for _ in range(112))
+    x, y = doubled("3j.?", "6-,8")
+    out = repeats.remove_repeats(spark, spark.createDataFrame([(1, x + shared), (2, y + shared)], "doc_id long, text string"), 100).collect()
+    # of what stands before the shared bytes, as much as both end alike
+    alike = next(k for k in range(64) if x[63 - k] != y[63 - k])
+    assert {r.doc_id: r.n_removed for r in out} == {1: 0, 2: 112 + alike}
+
+
+def test_sets_agree_in_both_lanes_or_not_at_all():
+    a, b = np.array([[1, 5], [2, 6]], np.uint64), np.array([[1, 5], [2, 7]], np.uint64)
+    x, y = minhash.numbered([a.tobytes(), b.tobytes()])
+    assert len(np.intersect1d(x, y)) == 1 and minhash.similar(x, [y, x], 50).tolist() == [False, True]
 
 
 def test_components(spark):
@@ -647,7 +679,7 @@ def test_repeats_of_an_anchor_with_more_segments_than_a_shard_holds(spark, tmp_p
         for x in heads[:100]:
             b = np.frombuffer((x + passage).encode(), np.uint8)
             found |= set(zip(*(v.tolist() for v in repeats.segments(np.array([0, len(b)]), b, 100)[3:]), strict=True))
-        return max(np.unique([h for h, _ in found], return_counts=True)[1])
+        return max(np.unique([h for h, *_ in found], return_counts=True)[1])
 
     passage = max((words(rng, 30) for _ in range(150)), key=share)
     rows = [(i, x + passage) for i, x in enumerate(heads)]
