@@ -91,8 +91,8 @@ def covered_groups(links: DataFrame, keys: list[str], max_overhang: int, min_cov
     first = F.array(F.struct(F.lit(max_overhang).cast("long").alias("pos"), F.lit(0).alias("step")))
     moves = rows.select(*keys, (size - max_overhang).alias("__end"), F.explode(F.concat(first, F.when(hi > lo, ends).otherwise(F.array().cast("array<struct<pos:bigint,step:int>>")))).alias("e"))
     steps = moves.groupBy(*keys, "__end", F.col("e.pos").alias("pos")).agg(F.sum("e.step").alias("step"))
-    depth = F.sum("step").over(Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    low = steps.withColumn("depth", depth).where(F.col("pos") < F.col("__end")).groupBy(*keys).agg(F.min("depth").alias("low"))
+    depth = I.scanned(steps, [*keys, "__end"], "pos", F.col("step"), "depth")
+    low = depth.where(F.col("pos") < F.col("__end")).groupBy(*keys).agg(F.min("depth").alias("low"))
     return low.where(F.col("low") > min_coverage).select(*keys).unionByName(short)
 
 

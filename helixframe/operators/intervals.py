@@ -1,57 +1,141 @@
-"""Sweeps over half-open intervals, as event rows and window sums."""
+"""Sweeps and joins over half-open intervals.
+
+A sweep has two levels.  Positions are cut into bins of ``WIDTH``; each bin is
+summed up by a row, a window over these few rows gives what stands before a
+bin, and windows over (key, bin) do the rest.  So a long sequence is the work
+of many tasks, and no window holds all events of a key.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Positions of a bin of a sweep.
+WIDTH = 1 << 16
+#: Intervals of one side that a bucket of a join holds before it is salted.
+HOT = 20_000
+
+
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
 
-def coverage(intervals: DataFrame, key: str, length: str, pad: int = 0) -> DataFrame:
+def scanned(rows: DataFrame, key: str | list[str], at: str, value: Column, out: str, how: str = "sum", inclusive: bool = True, width: int = WIDTH) -> DataFrame:
+    """Adds ``out``: the sum (or max) of ``value`` over the key's rows up to this one in the order of ``at``; null where no row counts.
+
+    ``at`` is unique within a key.  Sums start at 0 only where a row counts.
+    """
+    keys, f = _keys(key), {"sum": F.sum, "max": F.max}[how]
+    binned = rows.withColumns({"__value": value, "__bin": F.floor(F.col(at) / width)})
+    totals = binned.groupBy(*keys, "__bin").agg(f("__value").alias("__total"))
+    before = totals.select(*keys, "__bin", f("__total").over(Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    last = Window.currentRow if inclusive else -1
+    within = f("__value").over(Window.partitionBy(*keys, "__bin").orderBy(at).rowsBetween(Window.unboundedPreceding, last))
+    joined = binned.withColumn("__within", within).join(before, [*keys, "__bin"])
+    both = F.greatest("__before", "__within") if how == "max" else F.when(F.coalesce("__before", "__within").isNotNull(), F.coalesce("__before", F.lit(0)) + F.coalesce("__within", F.lit(0)))
+    return joined.withColumn(out, both).drop("__value", "__bin", "__within", "__before")
+
+
+def following(rows: DataFrame, key: str | list[str], at: str, out: str, width: int = WIDTH) -> DataFrame:
+    """Adds ``out``: the next larger ``at`` of the key (unique within it), null after the last."""
+    keys = _keys(key)
+    binned = rows.withColumn("__bin", F.floor(F.col(at) / width))
+    firsts = binned.groupBy(*keys, "__bin").agg(F.min(at).alias("__first"))
+    later = firsts.select(*keys, "__bin", F.lead("__first").over(Window.partitionBy(*keys).orderBy("__bin")).alias("__later"))
+    within = F.lead(at).over(Window.partitionBy(*keys, "__bin").orderBy(at))
+    return binned.withColumn("__within", within).join(later, [*keys, "__bin"]).withColumn(out, F.coalesce("__within", "__later")).drop("__bin", "__within", "__later")
+
+
+def _steps(intervals: DataFrame, keys: list[str], lo: Column, hi: Column, *more: Column) -> DataFrame:
+    """Changes of depth, one row a position: keys, pos, step."""
+    ends = [F.struct(lo.alias("pos"), F.lit(1).alias("step")), F.struct(hi.alias("pos"), F.lit(-1).alias("step")), *more]
+    return intervals.select(*keys, F.explode(F.array(*ends)).alias("e")).groupBy(*keys, F.col("e.pos").alias("pos")).agg(F.sum("e.step").alias("step"))
+
+
+def coverage(intervals: DataFrame, key: str, length: str, pad: int = 0, width: int = WIDTH) -> DataFrame:
     """By ``key``: least and largest number of intervals (lo, hi) over positions 0..length-1.
 
     Intervals grow by ``pad`` on both sides within the read.  Events at one
     position are summed before the sweep, so a deep stack is one row.
     """
     lo, hi = F.greatest(F.col("lo") - pad, F.lit(0)), F.least(F.col("hi") + pad, F.col(length))
-    moves = intervals.select(key, length, F.explode(F.array(F.struct(lo.alias("pos"), F.lit(1).alias("step")), F.struct(hi.alias("pos"), F.lit(-1).alias("step")), F.struct(F.lit(0).cast("long").alias("pos"), F.lit(0).alias("step")))).alias("e"))
-    steps = moves.groupBy(key, length, F.col("e.pos").alias("pos")).agg(F.sum("e.step").alias("step"))
-    depth = F.sum("step").over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return steps.withColumn("depth", depth).where(F.col("pos") < F.col(length)).groupBy(key).agg(F.min("depth").alias("min_coverage"), F.max("depth").alias("max_coverage"))
+    zero = F.struct(F.lit(0).cast("long").alias("pos"), F.lit(0).alias("step"))
+    depth = scanned(_steps(intervals, [key, length], lo, hi, zero), [key, length], "pos", F.col("step"), "depth", width=width)
+    return depth.where(F.col("pos") < F.col(length)).groupBy(key).agg(F.min("depth").alias("min_coverage"), F.max("depth").alias("max_coverage"))
 
 
-def depth_intervals(intervals: DataFrame, key: str) -> DataFrame:
+def depth_intervals(intervals: DataFrame, key: str, width: int = WIDTH) -> DataFrame:
     """Maximal ranges of constant depth above zero: key, lo, hi, depth."""
-    moves = intervals.select(key, F.explode(F.array(F.struct(F.col("lo").alias("pos"), F.lit(1).alias("step")), F.struct(F.col("hi").alias("pos"), F.lit(-1).alias("step")))).alias("e"))
-    steps = moves.groupBy(key, F.col("e.pos").alias("lo")).agg(F.sum("e.step").alias("step")).where("step <> 0")
-    w = Window.partitionBy(key).orderBy("lo")
-    rows = steps.select(key, "lo", F.lead("lo").over(w).alias("hi"), F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
-    return rows.where("depth > 0")
+    steps = _steps(intervals, [key], F.col("lo"), F.col("hi")).where("step <> 0")
+    rows = following(scanned(steps, key, "pos", F.col("step"), "depth", width=width), key, "pos", "hi", width)
+    return rows.where("depth > 0").select(key, F.col("pos").alias("lo"), "hi", "depth")
 
 
-def merge_intervals(intervals: DataFrame, key: str, min_overlap: int = 0) -> DataFrame:
+def merge_intervals(intervals: DataFrame, key: str, min_overlap: int = 0, width: int = WIDTH) -> DataFrame:
     """Intervals joined where the next lies within, or overlaps by ``min_overlap`` or more: key, lo, hi, n."""
-    w = Window.partitionBy(key).orderBy("lo", F.desc("hi"))
-    reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    # those that begin together are one island, whatever their order: the longest says whether it is a new one
+    rows = intervals.groupBy(key, "lo").agg(F.max("hi").alias("hi"), F.count("*").alias("n"))
+    rows = scanned(rows, key, "lo", F.col("hi"), "__reach", "max", False, width)
     joins = (F.col("hi") <= F.col("__reach")) | (F.col("__reach") - min_overlap >= F.col("lo"))
-    rows = intervals.withColumn("__reach", reach).withColumn("__new", F.when(F.col("__reach").isNull() | ~joins, 1).otherwise(0))
-    rows = rows.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(key, "__island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n")).drop("__island")
+    rows = scanned(rows, key, "lo", F.when(F.col("__reach").isNull() | ~joins, 1).otherwise(0), "__island", width=width)
+    return rows.groupBy(key, "__island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).drop("__island")
+
 
+def deep_ranges(intervals: DataFrame, key: str, least: int, width: int = WIDTH) -> DataFrame:
+    """Maximal ranges with depth ``least`` or more (1 at least): key, lo, hi."""
+    steps = _steps(intervals, [key], F.col("lo"), F.col("hi")).where("step <> 0")
+    rows = scanned(steps, key, "pos", F.col("step"), "depth", width=width)
+    deep, was = F.col("depth") >= least, F.col("depth") - F.col("step") >= least
+    # crossings alternate, so the next one after a beginning is its end
+    crossings = following(rows.where(deep != was), key, "pos", "hi", width)
+    return crossings.where(deep).select(key, F.col("pos").alias("lo"), "hi")
 
-def deep_ranges(intervals: DataFrame, key: str, least: int) -> DataFrame:
-    """Maximal ranges with depth ``least`` or more: key, lo, hi."""
-    rows = depth_intervals(intervals, key).where(F.col("depth") >= least)
-    w = Window.partitionBy(key).orderBy("lo")
-    rows = rows.withColumn("__new", F.when(F.lag("hi").over(w) == F.col("lo"), 0).otherwise(1))
-    rows = rows.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(key, "__island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("__island")
+
+def _levels(rows: DataFrame) -> DataFrame:
+    """Adds ``__level``: buckets of 4 ** level positions are no shorter than the interval."""
+    size = F.greatest(F.col("hi") - F.col("lo"), F.lit(1)).cast("double")
+    return rows.withColumn("__level", F.ceil(F.log2(size) / 2).cast("int"))
+
+
+def _registered(rows: DataFrame, others: list[int]) -> DataFrame:
+    """A row for each bucket (at most two a level) in which an interval can meet one of the ``others``' levels or of its own."""
+    levels = F.array_distinct(F.concat(F.array("__level"), F.filter(F.array(*[F.lit(x) for x in others]), lambda x: x > F.col("__level"))))
+    rows = rows.withColumn("__at", F.explode(levels)).withColumn("__size", F.pow(F.lit(4.0), F.col("__at")).cast("long"))
+    first, last = F.floor(F.col("lo") / F.col("__size")), F.floor((F.greatest(F.col("hi"), F.col("lo") + 1) - 1) / F.col("__size"))
+    return rows.withColumn("__first", first).withColumn("__bucket", F.explode(F.sequence(first, last)))
+
+
+def overlap_join(left: DataFrame, right: DataFrame, key: str | list[str], hot: int = HOT, least: int = 1) -> DataFrame:
+    """Pairs of a left and a right interval (lo, hi) of one key that share ``least`` positions or more, each pair once.
+
+    The right's lo and hi come as r_lo and r_hi; other columns must differ.
+    An interval stands in the buckets of its own length's level, and in those of
+    longer levels that the other side has, two at most each; a pair meets on the
+    longer one's level, in the first bucket both share.  So disjoint intervals
+    hardly meet, whatever a key holds.  Buckets of more than ``hot`` left
+    intervals are salted.
+    """
+    keys = _keys(key)
+    left = _levels(left)
+    right = _levels(right.withColumnsRenamed({"lo": "r_lo", "hi": "r_hi"}).withColumns({"lo": F.col("r_lo"), "hi": F.col("r_hi")}))
+    # there are some thirty levels at most
+    ours, theirs = ([r[0] for r in x.select("__level").distinct().collect()] for x in (left, right))
+    l, r = _registered(left, theirs), _registered(right, ours)  # noqa: E741
+    place = [*keys, "__at", "__bucket"]
+    crowds = l.groupBy(*place).count().where(F.col("count") > hot).select(*place, F.ceil(F.col("count") / hot).cast("int").alias("__salts"))
+    l = l.join(crowds, place, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64("lo", "hi"), F.col("__salts")), F.lit(0)).cast("int")).drop("__salts")  # noqa: E741
+    r = r.join(crowds, place, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    r = r.select(*place, "__salt", F.col("__first").alias("__r_first"), F.col("__level").alias("__r_level"), *[c for c in r.columns if c not in (*place, "lo", "hi", "__salt", "__first", "__level", "__size")])
+    shared = F.least("hi", "r_hi") - F.greatest("lo", "r_lo")
+    met = l.join(r, [*place, "__salt"]).where((shared >= least) & (F.col("__at") == F.greatest("__level", "__r_level")) & (F.col("__bucket") == F.greatest("__first", "__r_first")))
+    return met.drop(*[c for c in met.columns if c.startswith("__") and c not in keys])
 
 
 def intersect_intervals(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Non-empty intersections of two lists of each key."""
-    l, r = left.select(key, F.col("lo").alias("l0"), F.col("hi").alias("l1")), right.select(key, F.col("lo").alias("r0"), F.col("hi").alias("r1"))  # noqa: E741
-    rows = l.join(r, key).where((F.col("l0") < F.col("r1")) & (F.col("r0") < F.col("l1")))
-    return rows.select(key, F.greatest("l0", "r0").alias("lo"), F.least("l1", "r1").alias("hi"))
+    met = overlap_join(left.select(key, "lo", "hi"), right.select(key, "lo", "hi"), key)
+    return met.select(key, F.greatest("lo", "r_lo").alias("lo"), F.least("hi", "r_hi").alias("hi"))
 
 
 def largest_cover_range(intervals: DataFrame, key: str, min_overlap: int = 1, min_coverage: int = 1) -> DataFrame:
@@ -63,11 +147,11 @@ def largest_cover_range(intervals: DataFrame, key: str, min_overlap: int = 1, mi
     return merged.withColumn("__rank", best).where("__rank = 1").select(key, F.col("lo").alias("left"), F.col("hi").alias("right"))
 
 
-def gaps(intervals: DataFrame, key: str, length: str, least: int) -> DataFrame:
+def gaps(intervals: DataFrame, key: str, length: str, least: int, width: int = WIDTH) -> DataFrame:
     """What intervals (lo, hi) leave of 0..length in pieces of ``least`` or more: key, lo, hi."""
-    edges = intervals.select(key, length, "lo", "hi").union(intervals.select(key, length, F.col(length).alias("lo"), F.col(length).alias("hi")).distinct())
-    w = Window.partitionBy(key).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    rows = edges.select(key, F.coalesce(F.max("hi").over(w), F.lit(0)).alias("lo"), F.col("lo").alias("hi"))
+    edges = intervals.select(key, "lo", "hi").union(intervals.select(key, F.col(length).alias("lo"), F.col(length).alias("hi")).distinct())
+    edges = scanned(edges.groupBy(key, "lo").agg(F.max("hi").alias("hi")), key, "lo", F.col("hi"), "__reach", "max", False, width)
+    rows = edges.select(key, F.coalesce("__reach", F.lit(0)).alias("lo"), F.col("lo").alias("hi"))
     return rows.where(F.col("hi") - F.col("lo") >= F.greatest(F.lit(least), F.lit(1)))
 
 

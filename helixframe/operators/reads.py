@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequence import LEGAL, reverse_complement
+from helixframe.operators.budget import split_by_budget as split_by_budget
 
 
 def legal_min_length(reads: DataFrame, least: int) -> DataFrame:
@@ -108,90 +107,6 @@ def corrected_header(left: Column, right: Column, corrected: Column, original: C
     return F.format_string("(%d_%d_%d_%d_%d_%d_%.2f)", *(c.cast("long") for c in (left, right, corrected, original, candidates, overlaps)), cutoff.cast("double"))
 
 
-def split_by_budget(reads: DataFrame, bases: int, key: str = "read_id", width: int | None = None) -> DataFrame:
-    """``part`` from 0: reads in key order, a new part once the running one has ``bases`` or more.
-
-    The sum restarts at each part, so parts depend on all before them.  Ranges of ``width`` keys are worked out side by side: once a part ends within a range,
-    what follows depends only on where.  Each range tells, for each read at
-    which its first part can end, what it then carries out; one pass over ranges
-    settles which of these holds, and each range numbers its reads from there.
-    A range tells one row for each of its reads up to the first ``bases``.
-    """
-    spark = reads.sparkSession
-    if width is None:
-        # some 16 parts a range, so that ranges tell little; ranges of 20 million reads at most
-        found = reads.agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("sum"), (F.max(key) - F.min(key) + 1).alias("ids")).first()
-        spread = (found["ids"] or 1) / max(found["n"], 1)
-        width = int(max(1 << 16, min(16 * bases * found["n"] / max(found["sum"] or 1, 1), 2e7) * spread))
-    rows = reads.select(F.floor(F.col(key) / width).cast("long").alias("bin"), F.col(key).cast("long").alias("id"), F.coalesce(F.length("seq"), F.lit(0)).cast("long").alias("n"))
-
-    def ends(key_, pdf):
-        n = pdf.sort_values("id").n.to_numpy()
-        first, carry, parts = range_ends(n, bases)
-        return pd.DataFrame({"bin": int(key_[0]), "sum": np.cumsum(n)[first], "carry": carry, "parts": parts, "total": int(n.sum())}) if len(first) else pd.DataFrame({"bin": [int(key_[0])], "sum": [-1], "carry": [0], "parts": [0], "total": [int(n.sum())]})
-
-    told = rows.groupBy("bin").applyInPandas(ends, "bin long, sum long, carry long, parts long, total long")
-    state, part, enter = 0, 0, []
-    current, options, total = None, [], 0
-
-    def settle():
-        """What the range before carries out, by the first of its reads at which the sum reaches the budget."""
-        nonlocal state, part
-        enter.append((current, state, part))
-        if state >= bases:
-            state, part = 0, part + 1
-            enter[-1] = (current, 0, part)
-        hit = [o for o in options if state + o[0] >= bases]
-        if hit:
-            part += 1 + hit[0][2]
-            state = hit[0][1]
-        else:
-            state += total
-
-    for r in told.orderBy("bin", "sum").toLocalIterator(prefetchPartitions=True):
-        if r["bin"] != current and current is not None:
-            settle()
-            options = []
-        current, total = r["bin"], r["total"]
-        if r["sum"] >= 0:
-            options.append((r["sum"], r["carry"], r["parts"]))
-    if current is not None:
-        settle()
-    entered = spark.createDataFrame(enter, "bin long, state long, part long")
-
-    def number(key_, pdf):
-        pdf = pdf.sort_values("id")
-        out, total_, at = [], int(pdf.state.iloc[0]), int(pdf.part.iloc[0])
-        for n in pdf.n.tolist():
-            if total_ >= bases:
-                total_, at = 0, at + 1
-            total_ += n
-            out.append(at)
-        return pd.DataFrame({key: pdf.id, "part": out})
-
-    placed = rows.join(F.broadcast(entered), "bin").groupBy("bin").applyInPandas(number, f"{key} long, part long")
-    return reads.join(placed, key)
-
-
-def range_ends(n: np.ndarray, bases: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each read at which a part that was begun before can end, as its sum is reached: (read, what the last part of the
-    range holds at its end, parts that end after that one)."""
-    total = np.concatenate([[0], np.cumsum(n)])
-    m = len(n)
-    # a part that begins at read i ends at the first read by which it has the budget
-    end = np.searchsorted(total[1:], total[:-1] + bases, "left")
-    carry, parts = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
-    for i in range(m - 1, -1, -1):
-        if end[i] >= m:
-            carry[i] = total[m] - total[i]
-        else:
-            carry[i], parts[i] = carry[end[i] + 1], parts[end[i] + 1] + 1
-    # a part that ends with the range's last read is carried out whole: the next range ends it
-    first = np.flatnonzero(total[:-1] < bases)
-    last = first == m - 1
-    return first, np.where(last, bases, carry[np.minimum(first + 1, m)]), np.where(last, -1, parts[np.minimum(first + 1, m)])
-
-
 def with_reverse(reads: DataFrame) -> DataFrame:
     """Each read on both strands: ``strand`` 0 as it is, 1 its reverse complement."""
     return reads.withColumn("strand", F.lit(0)).unionByName(reads.withColumn("seq", reverse_complement(F.col("seq"))).withColumn("strand", F.lit(1)))
@@ -203,5 +118,6 @@ def merge_volumes(volumes: list[DataFrame], key: str = "read_id") -> DataFrame:
     for v in volumes:
         moved = v.withColumn(key, F.col(key) + F.lit(offset))
         out = moved if out is None else out.unionByName(moved)
-        offset += (v.agg(F.max(key)).first()[0] or -1) + 1
+        last = v.agg(F.max(key)).first()[0]
+        offset += 0 if last is None else last + 1
     return out

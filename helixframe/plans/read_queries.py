@@ -99,10 +99,11 @@ def labelled_reads_anti(spark, sf):
 
 
 @query(
-    f"""WITH RECURSIVE r AS ({READS_SQL}), n AS (SELECT read_id, length(seq) AS len, row_number() OVER (ORDER BY read_id) AS rn FROM r),
-f AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS part, CAST(0 AS BIGINT) AS total, CAST(NULL AS BIGINT) AS read_id, CAST(0 AS BIGINT) AS len
-  UNION ALL SELECT n.rn, CASE WHEN total >= 100000 THEN part + 1 ELSE part END, CASE WHEN total >= 100000 THEN n.len ELSE total + n.len END, n.read_id, n.len FROM f JOIN n ON n.rn = f.rn + 1)
-SELECT part, min(read_id) AS first, max(read_id) AS last, count(*) AS n, CAST(sum(len) AS BIGINT) AS bases FROM f WHERE rn > 0 GROUP BY part"""
+    # a step a part: a part ends with the first read by which the sum since the part before has the budget
+    f"""WITH RECURSIVE r AS ({READS_SQL}), n AS MATERIALIZED (SELECT read_id, length(seq) AS len, row_number() OVER (ORDER BY read_id) AS rn, sum(length(seq)) OVER (ORDER BY read_id ROWS UNBOUNDED PRECEDING) AS upto FROM r),
+f AS (SELECT CAST(0 AS BIGINT) AS part, CAST(0 AS BIGINT) AS rn, CAST(0 AS HUGEINT) AS upto
+  UNION ALL SELECT f.part + 1, min(n.rn), min(n.upto) FROM f JOIN n ON n.upto >= f.upto + 100000 AND n.rn > f.rn GROUP BY f.part)
+SELECT f.part, min(read_id) AS first, max(read_id) AS last, count(*) AS n, CAST(sum(len) AS BIGINT) AS bases FROM (SELECT *, lead(rn) OVER (ORDER BY part) AS nxt FROM f) f JOIN n ON n.rn > f.rn AND n.rn <= coalesce(nxt, n.rn) GROUP BY f.part"""
 )
 def reads_split_by_budget(spark, sf):
     rows = R.split_by_budget(reads(spark, sf), 100_000)

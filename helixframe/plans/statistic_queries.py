@@ -141,8 +141,10 @@ def depth_intervals(spark, sf):
     return I.depth_intervals(_spans(spark, sf), "read_id")
 
 
-MERGE = """mr AS (SELECT *, max(hi) OVER (PARTITION BY read_id ORDER BY lo, hi DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rc FROM sp),
-mi AS (SELECT *, sum(CASE WHEN rc IS NULL OR NOT (hi <= rc OR rc - 50 >= lo) THEN 1 ELSE 0 END) OVER (PARTITION BY read_id ORDER BY lo, hi DESC ROWS UNBOUNDED PRECEDING) AS isl FROM mr),
+#: Spans are numbered once, and both windows go by that number, so equal spans can't change places.
+MERGE = """ms AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY lo, hi DESC) AS rn FROM sp),
+mr AS (SELECT *, max(hi) OVER (PARTITION BY read_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rc FROM ms),
+mi AS (SELECT *, sum(CASE WHEN rc IS NULL OR NOT (hi <= rc OR rc - 50 >= lo) THEN 1 ELSE 0 END) OVER (PARTITION BY read_id ORDER BY rn ROWS UNBOUNDED PRECEDING) AS isl FROM mr),
 mg AS (SELECT read_id, min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM mi GROUP BY read_id, isl)"""
 
 

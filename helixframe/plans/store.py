@@ -7,20 +7,48 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that operators of this process have written, by application.
+_written: dict[str, list[str]] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder.  One of our own only where none is set and all tasks run in this process."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="helixframe-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder for one operator call; ``clear`` knows of it."""
+    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(root)
+    return root
+
+
+def delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete every folder that operators wrote in this application; returned frames that still read them fail from then on."""
+    roots = _written.pop(spark.sparkContext.applicationId, [])
+    for root in roots:
+        delete(spark, root)
+    return len(roots)
+
 
 class Store:
     """Writes cut lineage, so a lost executor costs a task and not the loop so far."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not root:
-            master = spark.sparkContext.master
-            if not master.startswith("local") or master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            root = "file://" + tempfile.mkdtemp(prefix="helixframe-")
-            spark.conf.set("spark.checkpoint.dir", root)
-        self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = new_folder(spark, name)
         self.count = 0
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
