@@ -47,6 +47,26 @@ def following(rows: DataFrame, key: str | list[str], at: str, out: str, width: i
     return binned.withColumn("__within", within).join(later, [*keys, "__bin"]).withColumn(out, F.coalesce("__within", "__later")).drop("__bin", "__within", "__later")
 
 
+def as_of(left: DataFrame, right: DataFrame, at: str, bins: int = 10_000) -> DataFrame:
+    """``left`` with the columns of the last ``right`` row whose ``at`` is not larger; null before the first.
+
+    ``right`` is unique in ``at``.  Both sides are cut into ``bins`` ranges; what
+    stands before a range comes from a row a range.
+    """
+    found = right.agg(F.min(at).alias("a"), F.max(at).alias("b")).first()
+    low, width = found["a"] or 0, max(1, ((found["b"] or 0) - (found["a"] or 0)) // bins)
+    bin_ = F.floor((F.greatest(F.least(F.col(at), F.lit((found["b"] or 0) + 1)), F.lit(low - 1)) - low) / width)
+    r = right.select(bin_.alias("__bin"), F.col(at).alias("__at"), F.struct(at, *[c for c in right.columns if c != at]).alias("__row"))
+    lasts = r.groupBy("__bin").agg(F.max("__row").alias("__row"))
+    l = left.select(bin_.alias("__bin"), F.col(at).alias("__at"), F.struct(*left.columns).alias("__left"))  # noqa: E741
+    every = lasts.unionByName(l.select("__bin").distinct(), allowMissingColumns=True).groupBy("__bin").agg(F.max("__row").alias("__row"))
+    before = every.select("__bin", F.last("__row", True).over(Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    order = Window.partitionBy("__bin").orderBy("__at", F.col("__left").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = r.unionByName(l, allowMissingColumns=True).withColumn("__row", F.last("__row", True).over(order)).where("__left is not null")
+    got = F.coalesce("__row", "__before")
+    return rows.join(before, "__bin").select("__left.*", *[got[c].alias(c) for c in right.columns if c != at])
+
+
 def _steps(intervals: DataFrame, keys: list[str], lo: Column, hi: Column, *more: Column) -> DataFrame:
     """Changes of depth, one row a position: keys, pos, step."""
     ends = [F.struct(lo.alias("pos"), F.lit(1).alias("step")), F.struct(hi.alias("pos"), F.lit(-1).alias("step")), *more]

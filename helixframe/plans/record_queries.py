@@ -12,6 +12,8 @@ from helixframe.plans.chain_queries import query_into
 from helixframe.plans.fixtures import LAYOUT_SQL, READS_SQL, layout, overlaps, reads, references, table
 from helixframe.plans.overlap_queries import ALL, WITH
 from helixframe.plans.read_queries import _SEEDS
+from helixframe.plans.store import new_folder
+from helixframe.sources import volumes as V
 
 QUERIES, SQL = {}, {}
 query = query_into(QUERIES, SQL)
@@ -171,3 +173,30 @@ def without_names(spark, sf):
     """Reads are named by part keys, of which those of large parts are listed."""
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("read_id"), F.concat(F.lit("read-"), "p_partkey").alias("name"), "p_size")
     return O.without_names(overlaps(spark, sf), parts.where("p_size > 25"), parts)
+
+
+@query(f"{_R} SELECT read_id, length(seq) AS len, md5(seq) AS bases FROM r")
+def packed_volumes(spark, sf):
+    """Through volumes of two-bit bases and back."""
+    where = new_folder(spark, "volumes")
+    V.write_volumes(reads(spark, sf), where, 1_000_000)
+    return V.read_volumes(spark, where).select("read_id", F.length("seq").cast("long").alias("len"), F.md5("seq").alias("bases"))
+
+
+@query(f"{_C} SELECT qid, sid, score, qdir, qbeg, qend, qoff, qsize, sdir, sbeg, send, soff, ssize FROM c")
+def binary_candidates(spark, sf):
+    """Through fixed-width binary records and back."""
+    where = new_folder(spark, "candidates")
+    V.write_records(_candidates(spark, sf), where)
+    return V.read_records(spark, where)
+
+
+@query(
+    f"""{_R}, i AS (SELECT read_id, length(seq) AS len, CAST(sum(length(seq)) OVER (ORDER BY read_id ROWS UNBOUNDED PRECEDING) - length(seq) AS BIGINT) AS start FROM r),
+q AS (SELECT l_orderkey * 7 + l_linenumber AS id, l_orderkey * 31 + l_linenumber * 977 AS "offset" FROM lineitem),
+m AS (SELECT q.*, i.read_id, i.start, i.len FROM q ASOF LEFT JOIN (SELECT * FROM i WHERE len > 0) i ON q."offset" >= i.start)
+SELECT id, "offset", CASE WHEN "offset" < start + len THEN read_id END AS read_id, CASE WHEN "offset" < start + len THEN "offset" - start END AS place FROM m"""
+)
+def offset_to_read(spark, sf):
+    offsets = table(spark, sf, "lineitem").selectExpr("l_orderkey * 7 + l_linenumber as id", "l_orderkey * 31 + l_linenumber * 977 as offset")
+    return V.reads_at(offsets, V.starts(reads(spark, sf)))

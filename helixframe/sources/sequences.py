@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixframe.sources.files import list_files, ranges
+from helixframe.sources.splitting import NAME, SequenceSource
+
 
 def _paths(spark: SparkSession, path: str | list[str]) -> list[str]:
     """A path, several, or a ``.fofn``/``.list`` file that names one a line."""
@@ -17,58 +22,49 @@ def _paths(spark: SparkSession, path: str | list[str]) -> list[str]:
     return out
 
 
-def _place() -> tuple[Column, ...]:
-    """Where a row stands: its file, the split of the file, and a number that rises within the split."""
-    return F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at")
-
+#: Splits whose numbers of records are broadcast at most; more are joined by a shuffle of counts and rows.
+FEW_SPLITS = 200_000
 
-def _in_file(rows: DataFrame, out: str) -> DataFrame:
-    """The row's number within its file, from 0.
 
-    Rows are counted by split, so the only thing that is ordered in one task is
-    a row a split, and no sequence is shuffled.
-    """
-    splits = rows.groupBy("file", "split").agg(F.min("at").alias("__first"), F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    splits = splits.select("file", "split", "__first", before.alias("__before"))
-    return rows.join(F.broadcast(splits), ["file", "split"]).withColumn(out, F.col("__before") + F.col("at") - F.col("__first")).drop("__first", "__before", "split", "at")
+def split_records(spark: SparkSession, path: str | list[str], kind: str, split_bytes: int = 64 << 20) -> DataFrame:
+    """Records as the source gives them: split, at (from 0 in the split), name, sub_head, seq, quality, length."""
+    return _loaded(spark, json.dumps(ranges(list_files(spark, _paths(spark, path)), split_bytes)), kind)
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """read_id from 0 in file and record order (``within``); files get offsets."""
-    sizes = rows.groupBy("file").agg(F.count("*").alias("n"))
-    offset = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = sizes.select("file", offset.alias("offset"))
-    return rows.join(F.broadcast(files), "file").select((F.col("offset") + F.col("within")).cast("long").alias("read_id"), "name", "sub_head", "seq", "quality")
+def _loaded(spark: SparkSession, planned: str, kind: str, counts: bool = False) -> DataFrame:
+    spark.dataSource.register(SequenceSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format(NAME).options(kind=kind, ranges=planned, counts=str(counts).lower()).load()
 
 
-def _header(line: Column) -> tuple[Column, Column]:
-    return F.regexp_extract(line, r"^(\S*)", 1), F.regexp_extract(line, r"^\S*\s+(.*?)\s*$", 1)
+def _read(spark: SparkSession, path: str | list[str], kind: str, split_bytes: int, tests: list[Column]) -> DataFrame:
+    planned = ranges(list_files(spark, _paths(spark, path)), split_bytes)
+    text = json.dumps(planned)
+    n = _loaded(spark, text, kind, True)
+    # a row a split is all that is ordered in one task; no sequence is shuffled
+    before = F.coalesce(F.sum("n").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = n.select("split", before.alias("__before"))
+    rows = _loaded(spark, text, kind)
+    for t in tests:
+        rows = rows.where(t)
+    rows = rows.join(F.broadcast(offsets) if len(planned) <= FEW_SPLITS else offsets, "split")
+    return rows.select((F.col("__before") + F.col("at")).cast("long").alias("read_id"), "name", "sub_head", "seq", "quality")
 
 
-def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str | list[str], split_bytes: int = 64 << 20, *tests: Column) -> DataFrame:
     """Records that begin with ``>`` at the start of a line; sequence lines are joined.
 
-    The record separator is the reader's, so plain files split over tasks; a
-    gzip file is one task's.  A sequence may be empty.
+    read_id counts records from 0 in the order of paths and records; those
+    without header and bases don't count.  Plain and block-gzip files split,
+    other gzip files are a task's each.  ``tests`` (columns of ``name`` and
+    ``length``) are taken by the reader and leave ids as they are.
     """
-    raw = spark.read.option("lineSep", "\n>").text(_paths(spark, path)).select(*_place(), F.regexp_replace("value", "^>", "").alias("value"))
-    raw = _in_file(raw.where(F.trim("value") != ""), "within")
-    name, rest = _header(F.substring_index("value", "\n", 1))
-    body = F.when(F.instr("value", "\n") > 0, F.expr("substring(value, instr(value, '\n') + 1)")).otherwise("")
-    return _numbered(raw.select("file", "within", name.alias("name"), rest.alias("sub_head"), F.regexp_replace(body, r"\s", "").alias("seq"), F.lit(None).cast("string").alias("quality")))
-
-
-def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Four-line records.  A record whose header, separator or quality length is wrong fails the read."""
-    raw = _in_file(spark.read.text(_paths(spark, path)).select(*_place(), "value"), "line")
-    rows = raw.groupBy("file", F.floor(F.col("line") / 4).alias("within"))
-    pick = lambda i: F.max(F.when(F.col("line") % 4 == i, F.col("value")))
-    rows = rows.agg(pick(0).alias("head"), pick(1).alias("seq"), pick(2).alias("plus"), pick(3).alias("quality")).where("trim(coalesce(head, '')) <> '' or seq is not null")
-    good = F.col("head").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("quality"))
-    rows = rows.withColumn("seq", F.when(good, F.col("seq")).otherwise(F.raise_error(F.concat(F.lit("bad FASTQ record: "), F.coalesce("head", F.lit(""))))))
-    name, rest = _header(F.expr("substring(head, 2)"))
-    return _numbered(rows.select("file", "within", name.alias("name"), rest.alias("sub_head"), "seq", "quality"))
+    return _read(spark, path, "fasta", split_bytes, list(tests))
+
+
+def read_fastq(spark: SparkSession, path: str | list[str], split_bytes: int = 64 << 20, *tests: Column) -> DataFrame:
+    """Four-line records, as ``read_fasta``.  A record whose header, separator or quality length is wrong fails the read."""
+    return _read(spark, path, "fastq", split_bytes, list(tests))
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:

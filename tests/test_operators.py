@@ -148,24 +148,6 @@ def test_fasta_and_fastq(spark, tmp_path):
     assert read_fasta(spark, f"file://{tmp_path}/out").count() == 3
 
 
-def test_records_of_many_splits_keep_their_order(spark, tmp_path):
-    rng = np.random.default_rng(4)
-    for n in range(3):
-        seqs = ["".join(rng.choice(list("ACGT"), rng.integers(0, 60))) for _ in range(40)]
-        (tmp_path / f"f{n}.fa").write_text("".join(f">r{n}_{i} x\n{s[:20]}\n{s[20:]}\n" for i, s in enumerate(seqs)))
-        (tmp_path / f"f{n}.fq").write_text("".join(f"@r{n}_{i} x\n{s}\n+\n{'!' * len(s)}\n" for i, s in enumerate(seqs)))
-    key = "spark.sql.files.maxPartitionBytes"
-    was = spark.conf.get(key)
-    spark.conf.set(key, "300")
-    try:
-        for read, end in ((read_fasta, "fa"), (read_fastq, "fq")):
-            df = read(spark, [str(tmp_path / f"f{n}.{end}") for n in range(3)])
-            got = [(r.read_id, r.name) for r in df.orderBy("read_id").collect()]
-            assert got == [(40 * n + i, f"r{n}_{i}") for n in range(3) for i in range(40)]
-    finally:
-        spark.conf.set(key, was)
-
-
 def test_other_overlap_formats(spark, tmp_path):
     """m4a, paf and ovl rows as the layouts say; names stay names where a format has no numbers."""
     (tmp_path / "x.ovl").write_text("0 1 -500 95.0 0 500 1000 1000 0 0 500 1000 overlap\n")
