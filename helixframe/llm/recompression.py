@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.scratch import Scratch
+from helixframe.llm.scratch import Scratch, small_batches
 from helixframe.llm.textkernels import BY_SPACE, U64, Words, mix, text_buffers, word_blocks
 
 #: Level whose names are counted first; those below stand for three words and less and are shared by most texts.
@@ -83,7 +83,15 @@ def _windows(words: Words, span: int) -> tuple[np.ndarray, np.ndarray]:
 def _spread(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, values) of a list column; a null is an empty list."""
     lists = lists.fill_null(pa.scalar([], lists.type))
-    return lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    at = lists.offsets.to_numpy()
+    return at - at[0], lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def _pieces(batches, rows: int = 500):
+    """Batches of whole texts in pieces, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 NAMES = "name long, doc long, place long"
@@ -158,7 +166,7 @@ def leave_out(rows: DataFrame, cuts: DataFrame, span: int) -> DataFrame:
     names_ = ["doc_id", "doc", "text", "cuts"] + (["n_words", "sha", "live"] if again else [])
 
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             offsets, data = text_buffers(batch.column(2))
             raw = memoryview(data)
             at, cut = _spread(batch.column(3))
@@ -256,7 +264,7 @@ def windows(rows: DataFrame, chosen: DataFrame, span: int) -> DataFrame:
     lists = chosen.groupBy("doc").agg(F.collect_list(F.struct("place", F.least(F.col("n"), F.lit(2)).cast("long").alias("n"))).alias("own"))  # a text's own segments
 
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             doc = batch.column(0).to_numpy()
             at, place = _spread(batch.column(2))
             _, n = _spread(batch.column(3))
@@ -294,7 +302,7 @@ OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 def _removed(span: int, keep: bool):
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             count, known, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
             at, live = _spread(batch.column(4))
             gone, shas, kept = [], [], []
@@ -349,25 +357,31 @@ def remove_windows(spark: SparkSession, docs: DataFrame, span: int = 35, text: b
     if not 2 <= span <= 250:
         raise ValueError("span must be from 2 to 250")
     scratch = Scratch(spark, "recompression")
+    with small_batches(spark):
+        left, cuts = _left_and_cuts(spark, docs, scratch, span)
+    out = leave_out(left, cuts, span).select("doc_id", "n_words", "sha", "text", "live")
+    return out.mapInArrow(_removed(span, text), OUT + (", kept string" if text else ""))
+
+
+def _left_and_cuts(spark: SparkSession, docs: DataFrame, scratch: Scratch, span: int) -> tuple[DataFrame, DataFrame]:
+    """Texts with the windows that rounds of names leave, and those of them that are not repeated."""
     rows = _keyed(docs, scratch)
     cuts = scratch.keep(standing_once(names(rows, FIRST_LEVEL, span)), "once")
-    left = scratch.keep(leave_out(rows, cuts, span), "left")
+    left = scratch.keep_bucketed(leave_out(rows, cuts, span), "left", "doc")
     scratch.drop(cuts)
     pending: list[DataFrame] = []
     for level in range(FIRST_LEVEL + 1, 2 * span):
         named = names(left.where("sha is null"), level, span)
-        cuts = scratch.keep(named.groupBy("name").agg(F.count("*").alias("n"), F.first("doc").alias("doc"), F.first("place").alias("place")), "names")
+        cuts = scratch.keep(named.groupBy("name").agg(F.count("*").alias("n"), F.first("doc").alias("doc"), F.first("place").alias("place")).select("n", "doc", "place"), "names")
         if not cuts.take(1):
             break
         pending.append(cuts.where("n = 1").select("doc", "place"))
         ruled = pending[-1].agg(F.sum(F.col("place").bitwiseAND(255) + 1)).first()[0] or 0
         if ruled >= WORTH * max(_live(left), 1):
-            new = scratch.keep(leave_out(left, _all(pending), span), "left")
+            new = scratch.keep_bucketed(leave_out(left, _all(pending), span), "left", "doc")
             scratch.drop(left)
             left, pending = new, []
-    cuts = _all([*pending, not_repeated(left, scratch, span)])
-    out = leave_out(left, cuts, span).select("doc_id", "n_words", "sha", "text", "live")
-    return out.mapInArrow(_removed(span, text), OUT + (", kept string" if text else ""))
+    return left, scratch.keep(_all([*pending, not_repeated(left, scratch, span)]), "cuts")
 
 
 def _all(frames: list[DataFrame]) -> DataFrame:

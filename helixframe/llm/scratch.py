@@ -7,36 +7,13 @@ loses nothing that was written, and a retried task reads the same rows again.
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder.  One of our own only where none is set and all tasks run in this process."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="helixframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-#: Folders that operators of this process have written, by application.
-_written: dict[str, list[str]] = {}
-
-
-def clear(spark: SparkSession) -> int:
-    """Delete every folder that operators wrote in this application; returned frames that still read them fail from then on."""
-    roots = _written.pop(spark.sparkContext.applicationId, [])
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for root in roots:
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(conf).delete(path, True)
-    return len(roots)
+from helixframe.plans.store import clear as clear
+from helixframe.plans.store import delete, new_folder
+from helixframe.plans.store import shared_dir as shared_dir
 
 
 class Scratch:
@@ -44,9 +21,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = new_folder(spark, name)
         self._count = 0
-        _written.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
     def path(self, label: str) -> str:
         self._count += 1
@@ -60,15 +36,24 @@ class Scratch:
         out._helixframe_path = where
         return out
 
+    def keep_bucketed(self, df: DataFrame, label: str, column: str) -> DataFrame:
+        """Like ``keep``, dealt out by ``column``: joins by it read the table where it lies and shuffle the other side alone."""
+        where, name = self.path(label), f"helixframe_{uuid.uuid4().hex}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(n, column).sortBy(column).format("parquet").option("path", where).saveAsTable(name)
+        out = self.spark.table(name)
+        out._helixframe_path, out._helixframe_table = where, name
+        return out
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         for df in frames:
+            if hasattr(df, "_helixframe_table"):
+                self.spark.sql(f"DROP TABLE IF EXISTS {df._helixframe_table}")
             self.remove(df._helixframe_path)
 
     def remove(self, where: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(where)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, where)
 
 
 @contextlib.contextmanager
