@@ -38,6 +38,7 @@ HEADER_COLUMNS = {
     "refers_to": "WARC-Refers-To",
     "content_type": "Content-Type",
 }
+_FIELDS = {c: h.lower() for c, h in HEADER_COLUMNS.items()}
 SCHEMA = ", ".join(f"{c} string" for c in HEADER_COLUMNS) + ", content_length long, headers map<string,string>, payload binary"
 ARROW = pa.schema([(c, pa.string()) for c in HEADER_COLUMNS] + [("content_length", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
 
@@ -59,7 +60,11 @@ def build_record(row: dict) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if row["record_type"] != "revisit" else b"")
     head = [VERSION]
-    fields = {h: row.get(c) for c, h in HEADER_COLUMNS.items()} | dict(row.get("headers") or ())
+    fields = {h: row.get(c) for c, h in HEADER_COLUMNS.items()}
+    known = {h.lower() for h, v in fields.items() if v is not None} | {"content-length"}
+    for name, value in dict(row.get("headers") or ()).items():
+        if name.lower() not in known:  # columns go before the map, whatever case its names have
+            fields[next((h for h in fields if h.lower() == name.lower()), name)] = value
     fields["Content-Type"] = fields["Content-Type"] or "application/http;msgtype=response"
     fields["WARC-Date"] = fields["WARC-Date"] or "1970-01-01T00:00:00Z"
     if row["record_type"] == "revisit":
@@ -149,20 +154,22 @@ def _list(path: str) -> list[str]:
 
 
 def parse_headers(head: bytes) -> dict[str, str]:
-    out: dict[str, str] = {}
-    name = None
+    """Headers by lower-case name, as names are the same in any case; values of a repeated one are joined by a comma."""
+    pairs: list[list[str]] = []
     for line in head.split(b"\r\n")[1:]:
-        if line[:1] in (b" ", b"\t") and name:  # a continued value
-            out[name] += " " + line.strip().decode("utf-8", "replace")
+        if line[:1] in (b" ", b"\t") and pairs:  # a continued value
+            pairs[-1][1] += " " + line.strip().decode("utf-8", "replace")
         elif b":" in line:
             k, v = line.split(b":", 1)
-            name = k.strip().decode("utf-8", "replace")
-            out[name] = v.strip().decode("utf-8", "replace")
+            pairs.append([k.strip().decode("utf-8", "replace").lower(), v.strip().decode("utf-8", "replace")])
+    out: dict[str, str] = {}
+    for name, value in pairs:
+        out[name] = f"{out[name]}, {value}" if name in out else value
     return out
 
 
 def _payload(block: bytes, headers: dict[str, str]) -> bytes:
-    if headers.get("Content-Type", "").replace(" ", "").startswith("application/http"):
+    if headers.get("content-type", "").lower().replace(" ", "").startswith("application/http"):
         return block.partition(b"\r\n\r\n")[2]
     return block
 
@@ -230,7 +237,7 @@ def records(fs, path: str, wanted, payload: bool):
                     if payload:
                         rest = fed + f.read(max(0, at + total - f.tell()))
                         block = head[end + 4 :] + inflate.decompress(rest)
-                        body = _payload(block[: int(headers["Content-Length"])], headers)
+                        body = _payload(block[: int(headers["content-length"])], headers)
                     yield headers, body
                 at += total
             return
@@ -240,7 +247,7 @@ def records(fs, path: str, wanted, payload: bool):
             if not headers:
                 continue
             take = wanted(headers)
-            block = s.take(int(headers.get("Content-Length", 0)), take and payload)
+            block = s.take(int(headers.get("content-length", 0)), take and payload)
             s.until(b"\r\n\r\n")
             if take:
                 yield headers, _payload(block, headers) if payload else None
@@ -252,7 +259,7 @@ class _Reader(DataSourceReader):
 
     def pushFilters(self, filters):
         for f in filters:
-            name = HEADER_COLUMNS.get(f.attribute[0]) if hasattr(f, "attribute") and len(f.attribute) == 1 else None
+            name = _FIELDS.get(f.attribute[0]) if hasattr(f, "attribute") and len(f.attribute) == 1 else None
             if name and isinstance(f, EqualTo):
                 self.tests.append((name, "in", (f.value,)))
             elif name and isinstance(f, In):
@@ -282,7 +289,7 @@ class _Reader(DataSourceReader):
         rows, size = [], 0
         for path in partition.paths:
             for h, body in records(fs, path, wanted, self.payload):
-                rows.append([h.get(n) for n in HEADER_COLUMNS.values()] + [int(h.get("Content-Length", 0)), list(h.items()), body])
+                rows.append([h.get(n) for n in _FIELDS.values()] + [int(h.get("content-length", 0)), list(h.items()), body])
                 size += 512 + len(body or b"")
                 if size >= BATCH_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
@@ -294,7 +301,7 @@ class _Reader(DataSourceReader):
 class WarcDataSource(DataSource):
     """``spark.read.format("warc").load(folder or file)`` and ``df.write.format("warc").save(folder)``.
 
-    Option ``payload=false`` leaves every payload null and inflates none.
+    The keys of ``headers`` are in lower case.  Option ``payload=false`` leaves every payload null and inflates none.
     Equality, IN and prefix predicates on the header columns are pushed down.
     """
 
@@ -360,8 +367,9 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     Returns page_id, payload_bytes, payload_digest, record_type, refers_to; for
     a response the first two come from the payload that was read.  Null html is
     an empty payload, a null url gives no target header, and a page without an
-    id is a response.  Rows that repeat a page_id are written once each.  Other
-    columns are ignored.
+    id is a response.  Rows that repeat a page_id are written once each.  A
+    payload of any length is one record.  Other columns are ignored.  An empty
+    table gives no rows.
     """
     register(spark)
     scratch = Scratch(spark, "warc")
@@ -370,9 +378,9 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     back = spark.read.format("warc").load(where)
     revisit = F.col("record_type") == "revisit"
     return back.select(
-        F.col("headers")["X-Page-Id"].cast("long").alias("page_id"),
-        F.when(revisit, F.col("headers")["X-Payload-Length"].cast("long")).otherwise(F.length("payload").cast("long")).alias("payload_bytes"),
+        F.col("headers")["x-page-id"].cast("long").alias("page_id"),
+        F.when(revisit, F.col("headers")["x-payload-length"].cast("long")).otherwise(F.length("payload").cast("long")).alias("payload_bytes"),
         F.when(revisit, F.regexp_replace("payload_digest", "^sha256:", "")).otherwise(F.sha2("payload", 256)).alias("payload_digest"),
         "record_type",
-        F.col("headers")["X-Refers-To-Page-Id"].cast("long").alias("refers_to"),
+        F.col("headers")["x-refers-to-page-id"].cast("long").alias("refers_to"),
     )

@@ -279,6 +279,13 @@ def test_warc_round_trip_and_pushdown(spark, tmp_path):
     (tmp_path / "y.warc.gz").write_bytes(gzip.compress(plain))
     for name in ("x.warc", "y.warc.gz"):
         assert [r.payload for r in spark.read.format("warc").load(f"{tmp_path}/{name}").collect()] == [b"one", b"", b"three\r\n\r\n"]
+    lower = plain.replace(b"WARC-Type", b"warc-type").replace(b"Content-Length", b"content-LENGTH").replace(b"WARC-Date: ", b"x-tag: a\r\nX-Tag: b\r\nwarc-date: ")
+    (tmp_path / "z.warc").write_bytes(lower)
+    found = spark.read.format("warc").load(f"{tmp_path}/z.warc").where("record_type = 'response'").collect()
+    assert [r.payload for r in found] == [b"one", b"", b"three\r\n\r\n"] and {r.headers["x-tag"] for r in found} == {"a, b"}
+    # what was read is written again without a header twice
+    spark.read.format("warc").load(f"{tmp_path}/z.warc").write.format("warc").mode("append").save(f"file://{tmp_path}/again")
+    assert sorted((r.record_type, r.payload, r.headers["x-tag"]) for r in spark.read.format("warc").load(f"file://{tmp_path}/again").collect()) == [("response", p, "a, b") for p in (b"", b"one", b"three\r\n\r\n")]
     assert warc.round_trip(spark, df.limit(0)).count() == 0
     # an id that repeats, none, and an attempt that fails
     odd = spark.createDataFrame([(1, "u", long_), (1, "u", long_), (None, "v", long_), (None, None, None)], "page_id long, url string, html string")
