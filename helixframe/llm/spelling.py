@@ -169,31 +169,34 @@ def split_large(parts: DataFrame, scratch: Scratch, block: int) -> DataFrame:
 
 
 def merge_skip(lists: list[list[int]], begin: list[int], least: int):
-    """Numbers that stand in at least ``least`` of the sorted lists, each read from its place in ``begin``."""
-    width = len(lists)
-    heap = [x[b] * width + k for k, (x, b) in enumerate(zip(lists, begin, strict=True)) if b < len(x)]
+    """Numbers that stand in at least ``least`` of the sorted lists, each read from its place in ``begin``.
+
+    A number may be missing in so many lists only, so it stands in one of the
+    shortest few: these are heap-merged, and the long ones looked up.
+    """
+    spare = len(lists) - least
+    order = sorted(range(len(lists)), key=lambda k: len(lists[k]) - begin[k])
+    short, long_ = order[: spare + 1], [lists[k] for k in order[spare + 1 :]]
+    width, place = len(lists), list(begin)
+    heap = [lists[k][place[k]] * width + k for k in short if place[k] < len(lists[k])]
     heapq.heapify(heap)
-    place = list(begin)
-    while len(heap) >= least:
-        low = heap[0] // width
-        out = []
+    while heap:
+        low, missing = heap[0] // width, len(short)
         while heap and heap[0] // width == low:
-            out.append(heapq.heappop(heap) % width)
-        if len(out) >= least:
+            k = heap[0] % width
+            missing -= 1
+            place[k] += 1
+            if place[k] < len(lists[k]):
+                heapq.heapreplace(heap, lists[k][place[k]] * width + k)
+            else:
+                heapq.heappop(heap)
+        for x in long_:
+            if missing > spare:
+                break
+            i = bisect_left(x, low)
+            missing += i == len(x) or x[i] != low
+        if missing <= spare:
             yield low
-            goal = low + 1
-        else:
-            # fewer than ``least`` lists lie before the next number that can still reach it
-            while heap and len(out) < least - 1:
-                out.append(heapq.heappop(heap) % width)
-            if not heap:
-                return
-            goal = max(low + 1, heap[0] // width)
-        for k in out:
-            x = lists[k]
-            place[k] = bisect_left(x, goal, place[k])
-            if place[k] < len(x):
-                heapq.heappush(heap, x[place[k]] * width + k)
 
 
 def one_edit(short: str, long: str) -> bool:
@@ -205,39 +208,58 @@ def one_edit(short: str, long: str) -> bool:
     return gap == 0 and i < len(short) and short[i + 1 :] == long[i + 1 :]
 
 
-class _Index:
-    """Postings of (gram, position) over the words of a part."""
+def _padded(word: str) -> str:
+    return "\x01" * (Q - 1) + word + "\x02" * (Q - 1)
 
-    def __init__(self, words: list[str]):
-        self.words = words
-        self.postings: dict[str, list[int]] = {}
-        for k, w in enumerate(words):
-            for g in _placed(w):
-                self.postings.setdefault(g, []).append(k)
 
-
-def _placed(word: str, shift: int = 0) -> list[str]:
-    padded = "\x01" * (Q - 1) + word + "\x02" * (Q - 1)
-    return [f"{padded[i : i + Q]}{i + shift}" for i in range(len(padded) - Q + 1)]
+class _Index:
+    """Postings by position and gram: numbers of words, rising."""
+
+    def __init__(self):
+        self.words: list[str] = []
+        self.postings: list[dict[str, list[int]]] = []
+
+    def add(self, word: str, padded: str) -> None:
+        k, n = len(self.words), len(padded) - Q + 1
+        self.words.append(word)
+        while len(self.postings) < n:
+            self.postings.append({})
+        for i in range(n):
+            own, gram = self.postings[i], padded[i : i + Q]
+            if gram in own:
+                own[gram].append(k)
+            else:
+                own[gram] = [k]
+
+    def lists(self, padded: str, shift: int = 0) -> list[list[int]]:
+        """Postings of the grams of a word, moved by ``shift`` places."""
+        at = self.postings[: len(padded) - Q + 1 + shift]
+        return [x for i, own in enumerate(at, -shift) if i >= 0 and (x := own.get(padded[i : i + Q])) is not None]
 
 
 def neighbours(rows: list[tuple[int, str]]):
-    """(probe, other) of the words one edit apart among a part's (role, word); the probe is the longer, or the smaller of two of one length."""
-    held = _Index(sorted({w for r, w in rows if r in (BOTH, HELD)}))
-    short = _Index(sorted({w for r, w in rows if r == SHORTER}))
+    """(probe, other) of the words one edit apart among a part's (role, word), each pair once; the probe is the longer of two lengths."""
+    held, short = _Index(), _Index()
+    for w in {w for r, w in rows if r == SHORTER}:
+        short.add(w, _padded(w))
+    split = any(r in (HELD, PROBE) for r, _ in rows)
+    if split:
+        for w in sorted({w for r, w in rows if r == HELD}):
+            held.add(w, _padded(w))
     for probe in sorted({w for r, w in rows if r in (BOTH, PROBE)}):
-        least = max(len(probe) - 1, 1)  # of the grams of a longer word, an edit changes Q at most
-        own = _placed(probe)
-        lists = [held.postings[g] for g in own if g in held.postings]
+        own, least = _padded(probe), max(len(probe) - 1, 1)  # of the grams of a longer word, an edit changes Q at most
+        lists = held.lists(own)
         if len(lists) >= least:
-            behind = bisect_right(held.words, probe)
-            for k in merge_skip(lists, [bisect_left(x, behind) for x in lists], least):
+            # a split part holds words behind the probe as well: those ask for it themselves
+            begin = [bisect_left(x, bisect_right(held.words, probe)) for x in lists] if split else [0] * len(lists)
+            for k in merge_skip(lists, begin, least):
                 if one_edit(probe, held.words[k]):
                     yield probe, held.words[k]
+        if not split:
+            held.add(probe, own)
         if short.words:
             # a deleted letter moves the grams after it one place down
-            moved = _placed(probe, -1)
-            lists = [x for g in (*own, *moved) if (x := short.postings.get(g)) is not None]
+            lists = short.lists(own) + short.lists(own, -1)
             if len(lists) >= least:
                 for k in merge_skip(lists, [0] * len(lists), least):
                     if one_edit(short.words[k], probe):
@@ -247,14 +269,18 @@ def neighbours(rows: list[tuple[int, str]]):
 LINKS = "word string, n long, other string, other_n long"
 
 
-def _first_meeting(a: str, b: str, rank: np.ndarray, known: dict) -> int:
-    """The least key at which both words meet; the pair is given there alone."""
-    for w in (a, b):
-        if w not in known:
-            gram, position, _ = beginnings([w], rank)
-            known[w] = set(zip(gram.tolist(), position.tolist(), strict=True))
-    moves = (0,) if len(a) == len(b) else (0, 1)
-    return min(_key(g, len(a), p + m) for g, p in known[b] for m in moves if (g, p + m) in known[a])
+def _first_meetings(pairs: list[tuple[int, str, str]], rank: np.ndarray) -> list[bool]:
+    """Whether each pair (key, longer, other) stands at the least key at which both meet; it is given there alone."""
+    words = list({w for p in pairs for w in p[1:]})
+    gram, position, which = beginnings(words, rank)
+    cut = np.searchsorted(which, np.arange(len(words) + 1)).tolist()
+    placed = list(zip(gram.tolist(), position.tolist(), strict=True))
+    own = {w: placed[a:b] for w, a, b in zip(words, cut[:-1], cut[1:], strict=True)}
+    out = []
+    for key, a, b in pairs:
+        moves = (0,) if len(a) == len(b) else (0, 1)
+        out.append(key == min(_key(g, len(a), p + m) for g, p in own[b] for m in moves if (g, p + m) in own[a]))
+    return out
 
 
 def links(parts: DataFrame, rank) -> DataFrame:
@@ -266,16 +292,15 @@ def links(parts: DataFrame, rank) -> DataFrame:
             change = (key[1:] != key[:-1]) | (split[1:] != split[:-1])
             heads = np.append(np.concatenate([[0], np.flatnonzero(change) + 1]), len(key))
             role, words, n = table.column(1).to_pylist(), table.column(2).to_pylist(), table.column(3).to_pylist()
-            out, known = [], {}
+            count, found = dict(zip(words, n, strict=True)), []
             for a, b in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
-                if b - a < 2:
+                if b - a < 2 or all(r == SHORTER for r in role[a:b]):
                     continue
-                count = dict(zip(words[a:b], n[a:b], strict=True))
-                for x, y in neighbours(list(zip(role[a:b], words[a:b], strict=True))):
-                    if _first_meeting(x, y, rank.value, known) == key[a]:
-                        out.append((x, count[x], y, count[y]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["word", "n", "other", "other_n"])
+                found += [(int(key[a]), x, y) for x, y in neighbours(list(zip(role[a:b], words[a:b], strict=True)))]
+            if found:
+                out = [(x, count[x], y, count[y]) for (_, x, y), first in zip(found, _first_meetings(found, rank.value), strict=True) if first]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["word", "n", "other", "other_n"])
 
     # whole runs of a key go together; a large key's splits are tasks of their own by the hash of both
     dealt_ = parts.select("key", "role", "word", "n", "split").repartition("key", "split").sortWithinPartitions("key", "split")
