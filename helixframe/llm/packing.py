@@ -19,17 +19,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm.scratch import Scratch
-from helixframe.llm.textkernels import blocks, text_buffers
+from helixframe.llm.textkernels import BY_SPACE, word_blocks
 
-#: Bytes of remembered words from which a worker forgets them all, and bytes that a word takes besides its own.
-CACHE_BYTES, ENTRY_BYTES = 80_000_000, 140
+#: Bytes of remembered words from which a worker forgets them all.
+CACHE_BYTES = 50_000_000
 
 
 class WordTokens:
     """Token ids of white-space separated words, each distinct word encoded once while it is remembered.
 
     The vocabulary's pre-tokeniser never joins text across white space, so a
-    text's ids are its words' ids in order.  Words are known by their bytes.
+    text's ids are its words' ids in order.  Words are known by 128 bits (both
+    lanes of ``Words``): kept as sorted hashes and flat ids, some 40 bytes each.
+    A block with words that agree in one lane and not in the other goes by the
+    words' bytes.
     """
 
     def __init__(self, spec: str):
@@ -41,8 +44,7 @@ class WordTokens:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.bytes = 0
+        self.keys, self.keys2, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.ids, self.start = np.zeros(1 << 12, self.kind), np.zeros(1 << 10, np.int64)
         self.words = 0
         self._add([[0]])  # word 0: the id 0 that ends a document
@@ -59,25 +61,49 @@ class WordTokens:
         self.ids[used:total] = np.fromiter((i for e in encoded for i in e), self.kind, total - used)
         self.words = n
 
-    def block(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, where each text's begin and the end)."""
-        if self.bytes + self.ids.nbytes + self.start.nbytes > CACHE_BYTES:
+    def block(self, data: np.ndarray, words) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents of a block, where each document's begin and the end)."""
+        if 2 * self.keys.nbytes + self.numbers.nbytes + self.ids.nbytes + self.start.nbytes > CACHE_BYTES:
             self.clear()
-        split = [t.split() for t in texts]  # at ASCII white space
-        words = [w for own in split for w in own]
-        new = list(set(words) - self.index.keys())
-        if new:
-            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            self.index.update(zip(new, range(self.words, self.words + len(new)), strict=True))
-            self.bytes += sum(map(len, new)) + ENTRY_BYTES * len(new)
-            self._add([e.ids for e in encoded])
-        of = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
-        line = np.insert(of, ends, 0)
+        distinct, first, of = np.unique(words.hash, return_index=True, return_inverse=True)
+        second = words.hash2[first]
+        at = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = np.flatnonzero(at < len(self.keys))
+        known[inside] = self.keys[at[inside]] == distinct[inside]
+        if (words.hash2 != second[of]).any() or (self.keys2[at[known]] != second[known]).any():
+            return self._by_bytes(data, words)
+        index = np.zeros(len(distinct), np.int64)
+        index[known] = self.numbers[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = data.tobytes()
+            spans = zip(words.start[first[new]].tolist(), words.end[first[new]].tolist(), strict=True)
+            texts = [raw[a:b].decode() for a, b in spans]
+            index[new] = self.words + np.arange(len(new))
+            self.keys, self.keys2 = np.insert(self.keys, at[new], distinct[new]), np.insert(self.keys2, at[new], second[new])
+            self.numbers = np.insert(self.numbers, at[new], index[new].astype(np.int32))
+            self._add([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        line = np.insert(index[of], words.first[1:], 0)
         size = self.start[line + 1] - self.start[line]
-        upto = np.cumsum(size)
-        ids = self.ids[np.repeat(self.start[line] - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)]
-        return ids, np.concatenate([[0], upto[ends + np.arange(len(ends))]])
+        ends = np.cumsum(size)
+        ids = self.ids[np.repeat(self.start[line] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        last = words.first[1:] + np.arange(len(words.first) - 1)  # where each document's end stands in line
+        return ids, np.concatenate([[0], ends[last]])
+
+    def _by_bytes(self, data: np.ndarray, words) -> tuple[np.ndarray, np.ndarray]:
+        """``block`` for words that one lane can't tell apart."""
+        raw = data.tobytes()
+        texts = [raw[a:b] for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True)]
+        distinct = list(set(texts))
+        ids = dict(zip(distinct, [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in distinct], add_special_tokens=False)], strict=True))
+        out, ends = [], [0]
+        for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+            for t in texts[a:b]:
+                out += ids[t]
+            out.append(0)
+            ends.append(len(out))
+        return np.array(out, self.kind), np.array(ends, np.int64)
 
 
 _workers: dict[int, WordTokens] = {}
@@ -108,10 +134,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> Da
         own = _worker(spec.value)
         for batch in batches:
             docids = batch.column(0)
-            offsets, data = text_buffers(batch.column(1))
-            raw = memoryview(data)
-            for a, b in blocks(offsets):
-                ids, first = own.block([bytes(raw[x:y]) for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist(), strict=True)])
+            for a, b, data, words in word_blocks(batch.column(1), BY_SPACE, fold=False, lanes=2):
+                ids, first = own.block(data, words)
                 view = memoryview(np.ascontiguousarray(ids.astype("<u4"))).cast("B")
                 lengths = np.diff(first)
                 n = -(-lengths // capacity)
@@ -175,6 +199,8 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return where, offset, bins
 
 
+#: One bin in so many is opened again at most in a certified partition.
+SHARE = 8
 PACKED = PIECES + ", sequence_id long, offset long, loose boolean"
 
 
@@ -188,12 +214,14 @@ def _packer(capacity: int, turn: int, last: bool):
         where, offset, bins = best_fit_decreasing(lengths, capacity)
         gap = bins - lower_bound(lengths, capacity)
         loose = np.zeros(len(lengths), bool)
-        # the loosest bins: their free space is what a better packing could save.  A bound is rounded up, so a certified
-        # partition gives its loosest bin once as well
-        take = 2 * gap + 2 if gap > 0 else int(turn == 0)
-        if take and not last:
-            fill = np.bincount(where, weights=lengths, minlength=bins)
-            loose = np.isin(where, np.argsort(fill, kind="stable")[:take])
+        if not last and bins:
+            # the loosest bins: their free space is what a better packing could save.  Bounds are rounded up for each
+            # partition, so certified ones give theirs as well: as many as hold what a whole bin does, or nearly all there is
+            free = capacity - np.bincount(where, weights=lengths, minlength=bins)
+            order = np.argsort(-free, kind="stable")
+            take = int(np.searchsorted(np.cumsum(free[order]), min(capacity, 0.9 * free.sum()))) + 1
+            take = max(2 * gap + 2 if gap > 0 else 0, min(take, bins // SHARE + 1))
+            loose = np.isin(where, order[:take])
         task = TaskContext.get().partitionId()
         sequence = (turn << 56) | (task << 32) | where
         out = held.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
@@ -205,14 +233,13 @@ def _packer(capacity: int, turn: int, last: bool):
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def pack_pieces(spark: SparkSession, pieces: DataFrame, scratch: Scratch, capacity: int = 2048, per_partition: int = 2048, turns: int = 4) -> DataFrame:
+def pack_pieces(spark: SparkSession, pieces: DataFrame, scratch: Scratch, capacity: int = 2048, per_partition: int = 16_384, turns: int = 8) -> DataFrame:
     """Pack pieces into as few sequences of ``capacity`` tokens as it can.
 
-    A partition holds about ``per_partition`` pieces.  After each turn the loose
-    bins of partitions above their bound are opened and dealt out anew, so a
-    piece meets pieces of other partitions; in the first turn every partition
-    gives its loosest bin.  The last turn keeps all it makes; turns end early
-    when every partition is certified.
+    A partition holds about ``per_partition`` pieces.  After each turn the
+    loosest bins of every partition are opened and dealt out anew, so a piece
+    meets pieces of other partitions; of a partition above its bound more are.
+    What is open shrinks from turn to turn, until one partition holds it.
     """
     done, pool = [], pieces
     for turn in range(turns):
@@ -234,7 +261,7 @@ def pack_pieces(spark: SparkSession, pieces: DataFrame, scratch: Scratch, capaci
     return out
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = 2048, per_partition: int = 2048) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = 2048, per_partition: int = 16_384) -> DataFrame:
     """Documents to placed pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null text counts as empty.  Repeated rows are packed once each.  A null

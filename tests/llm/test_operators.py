@@ -92,6 +92,22 @@ def test_what_polynomials_confuse_is_told_apart(spark):
     assert {r.doc_id: r.n_removed for r in out} == {1: 0, 2: 112 + alike}
 
 
+def test_words_that_one_lane_confuses_go_by_their_bytes(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    texts = ["alpha beta alpha", "", "gamma beta alpha delta"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    own = packing.WordTokens(t.to_str())
+    want = [i for x in texts for i in (*t.encode(x, add_special_tokens=False).ids, 0)]
+    for bits in (64, 1, 0, 64):  # what is left of the first lane
+        w = textkernels.Words(offsets, data, textkernels.BY_SPACE, False, 2)
+        w.hash = w.hash & np.uint64(2**bits - 1)
+        ids, ends = own.block(data, w)
+        assert ids.tolist() == want and [want[a:b][-1:] for a, b in zip(ends[:-1], ends[1:], strict=True)] == [[0]] * 3
+
+
 def test_sets_agree_in_both_lanes_or_not_at_all():
     a, b = np.array([[1, 5], [2, 6]], np.uint64), np.array([[1, 5], [2, 7]], np.uint64)
     x, y = minhash.numbered([a.tobytes(), b.tobytes()])
