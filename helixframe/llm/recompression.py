@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from helixframe.llm.scratch import Scratch, small_batches
 from helixframe.llm.textkernels import BY_SPACE, U64, Words, mix, text_buffers, word_blocks
 
-#: Level whose names are counted first; those below stand for three words and less and are shared by most texts.
-FIRST_LEVEL = 4
+#: Levels whose names are counted in each round; those below stand for three words and less and are shared by most texts.
+#: The last round goes on to the level from which nothing fits a window.
+ROUNDS = ((4, 4), (5, 5), (6, 250))
 #: Cuts are applied at once where they rule out this share of the windows left, else together with later ones.
 WORTH = 0.1
 _KEYS = np.random.default_rng(20240611).integers(1, 2**63, (256, 5), dtype=np.uint64) * U64(2) + U64(1)
@@ -97,8 +98,8 @@ def _pieces(batches, rows: int = 500):
 NAMES = "name long, doc long, place long"
 
 
-def names(rows: DataFrame, level: int, span: int) -> DataFrame:
-    """Runs and pairs that the round of ``level`` makes: name, doc, and the windows that hold their reach (first * 256 + how many more).
+def names(rows: DataFrame, first: int, last: int, span: int) -> DataFrame:
+    """Runs and pairs that levels ``first`` to ``last`` make: name, doc, and the windows that hold their reach (first * 256 + how many more).
 
     ``rows`` has doc, text and, after the first round, ``live``: the windows
     left, as first and last in turn.
@@ -112,23 +113,30 @@ def names(rows: DataFrame, level: int, span: int) -> DataFrame:
                 at, live = _spread(batch.column(2))
             for a, b, _, words in word_blocks(batch.column(1), BY_SPACE, fold=False):
                 s = words_as_symbols(words)
-                for k in range(1, level + 1):
-                    s = next_level(s, k, span)
                 base, n = _windows(words, span)
-                which = np.searchsorted(base, s.start, "right") - 1
-                lo = np.maximum(s.high - span, base[which])
-                hi = np.minimum(s.low, base[which] + n[which] - 1)
-                use = s.joined & (lo <= hi)
-                if lives:
-                    own = live[at[a] : at[b]].reshape(-1, 2) + np.repeat(base, np.diff(at[a : b + 1]) // 2)[:, None]
-                    k = np.searchsorted(own[:, 1], lo)
-                    use &= np.append(own[:, 0], _FAR)[k] <= hi
-                lo, hi, which = lo[use], hi[use], which[use]
-                yield pa.RecordBatch.from_arrays([pa.array(s.name[use].view(np.int64)), pa.array(doc[a + which]), pa.array(((lo - base[which]) << 8) | (hi - lo))], ["name", "doc", "place"])
+                own = live[at[a] : at[b]].reshape(-1, 2) + np.repeat(base, np.diff(at[a : b + 1]) // 2)[:, None] if lives else None
+                for level in range(1, last + 1):
+                    s = next_level(s, level, span)
+                    if not len(s.name):
+                        break
+                    if level >= first:
+                        yield _named(s, base, n, own, doc[a:b], span)
 
     return rows.select("doc", "text", *(["live"] if lives else [])).mapInArrow(run, NAMES)
 
 
+def _named(s: Symbols, base: np.ndarray, n: np.ndarray, own: np.ndarray | None, doc: np.ndarray, span: int) -> pa.RecordBatch:
+    """What the last level joined, where a window that is left (``own``) holds its reach."""
+    which = np.searchsorted(base, s.start, "right") - 1
+    lo = np.maximum(s.high - span, base[which])
+    hi = np.minimum(s.low, base[which] + n[which] - 1)
+    use = s.joined & (lo <= hi)
+    if own is not None:
+        use &= np.append(own[:, 0], _FAR)[np.searchsorted(own[:, 1], lo)] <= hi
+    lo, hi, which = lo[use], hi[use], which[use]
+    return pa.RecordBatch.from_arrays([pa.array(s.name[use].view(np.int64)), pa.array(doc[which]), pa.array(((lo - base[which]) << 8) | (hi - lo))], ["name", "doc", "place"])
+
+
 def standing_once(named: DataFrame) -> DataFrame:
     """(doc, place) of the names that stand once; no task sees all rows of a name."""
     return named.groupBy("name").agg(F.count("*").alias("n"), F.first("doc").alias("doc"), F.first("place").alias("place")).where("n = 1").select("doc", "place")
@@ -366,15 +374,13 @@ def remove_windows(spark: SparkSession, docs: DataFrame, span: int = 35, text: b
 def _left_and_cuts(spark: SparkSession, docs: DataFrame, scratch: Scratch, span: int) -> tuple[DataFrame, DataFrame]:
     """Texts with the windows that rounds of names leave, and those of them that are not repeated."""
     rows = _keyed(docs, scratch)
-    cuts = scratch.keep(standing_once(names(rows, FIRST_LEVEL, span)), "once")
+    cuts = scratch.keep(standing_once(names(rows, *ROUNDS[0], span)), "once")
     left = scratch.keep_bucketed(leave_out(rows, cuts, span), "left", "doc")
     scratch.drop(cuts)
     pending: list[DataFrame] = []
-    for level in range(FIRST_LEVEL + 1, 2 * span):
-        named = names(left.where("sha is null"), level, span)
+    for first, last in ROUNDS[1:]:
+        named = names(left.where("sha is null"), first, last, span)
         cuts = scratch.keep(named.groupBy("name").agg(F.count("*").alias("n"), F.first("doc").alias("doc"), F.first("place").alias("place")).select("n", "doc", "place"), "names")
-        if not cuts.take(1):
-            break
         pending.append(cuts.where("n = 1").select("doc", "place"))
         ruled = pending[-1].agg(F.sum(F.col("place").bitwiseAND(255) + 1)).first()[0] or 0
         if ruled >= WORTH * max(_live(left), 1):
