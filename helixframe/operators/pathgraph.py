@@ -8,7 +8,6 @@ written to the shared folder, and none brings the graph to the driver.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -128,53 +127,59 @@ def repeat_bridges(paths: DataFrame, most_length: int = 60_000) -> DataFrame:
     return rows.where(F.least("length", F.coalesce("back", "length")) < most_length).select("path")
 
 
-BUBBLES = "start long, end long, size long, length long, inside array<bigint>"
-
-
 def bubbles(spark: SparkSession, paths: DataFrame, depth: int = 48, width: int = 16, most_length: int = 500_000, tips: int = 6) -> DataFrame:
     """Superbubbles (Onodera and others, 2013) of nodes with several ways out: start, end, size (paths inside), length, inside.
 
-    From the start, a node is taken once all its ways in are; when one node is
-    left and nothing else is open, it is the end.  A dead end, a way back to the
-    start or to a mirrored node, ``tips`` open nodes, ``width`` paths a step
-    beyond ten steps, or too long a way end the search without a bubble.
+    All starts advance together.  A node is taken once all its ways in are; when
+    one node is ready and none is open, it is the end.  A start leaves without a
+    bubble at a dead end, on a way back to itself or to a mirrored node, and
+    after a round that leaves ``tips`` nodes, has taken ``width`` paths a node
+    beyond ten nodes, or has gone too far.  So at most ``tips`` nodes a start
+    are ever joined with their ways out.
     """
-    outs = paths.groupBy("src").agg(F.count("*").alias("n")).where("n > 1").select(F.col("src").alias("start"))
-    reach = ego_nodes(spark, paths, outs, depth)
-    inside = reach.select("start", F.col("node").alias("src")).join(paths, "src").select("start", "src", "dst", "path", "length")
-    ways_in = paths.groupBy(F.col("dst")).agg(F.count("*").alias("ins"))
-    inside = inside.join(ways_in, "dst")
-
-    def one(key, pdf):
-        start = int(key[0])
-        out: dict[int, list] = {}
-        for r in pdf.sort_values("path").itertuples(index=False):
-            out.setdefault(r.src, []).append((r.dst, r.path, r.length))
-        ins = dict(zip(pdf.dst.tolist(), pdf.ins.tolist(), strict=True))
-        far, seen, ready, used, size = {start: 0}, {}, [start], [], 0
-        while ready:
-            node = ready.pop()
-            ways = out.get(node, [])
-            if not ways:
-                break
-            for to, path, length in ways:
-                if to == start or to in (-x for x in far) or -to in seen:
-                    ready = None
-                    break
-                used.append(path)
-                seen[to] = seen.get(to, 0) + 1
-                far[to] = max(far.get(to, 0), far[node] + length)
-                if seen[to] == ins[to]:
-                    ready.append(to)
-            size += 1
-            if ready is None or len([x for x in seen if seen[x] < ins[x]]) + len(ready) >= tips or max(far.values()) > most_length or size > depth * width or (size > 10 and len(used) > width * size):
-                break
-            open_ = [x for x in seen if seen[x] < ins[x]]
-            if len(ready) == 1 and not open_ and len(used) > 1:
-                return pd.DataFrame([(start, ready[0], len(used), far[ready[0]], sorted(used))], columns=["start", "end", "size", "length", "inside"])
-        return pd.DataFrame(columns=["start", "end", "size", "length", "inside"])
-
-    return inside.groupBy("start").applyInPandas(one, BUBBLES)
+    store = Store(spark, "bubbles")
+    edges = store.keep(paths.select("src", "dst", "path", "length"), "edges")
+    ins = store.keep(edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("ins")), "ins")
+    outs = edges.groupBy("src").agg(F.count("*").alias("n")).where("n > 1").select(F.col("src").alias("start"))
+    # nodes reached: how far, ways in seen and in all, and the round in which it was taken
+    nodes = outs.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("far"), F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("ins"), F.lit(None).cast("int").alias("taken"))
+    nodes = store.keep(nodes, "nodes")
+    used = store.keep(edges.limit(0).select(F.col("src").alias("start"), "path"), "used")
+    found = []
+    for round_ in range(depth):
+        ready = nodes.where("seen = ins and taken is null")
+        steps = store.keep(ready.select("start", F.col("node").alias("src"), "far").join(edges, "src", "left"), "steps")
+        if not steps.take(1):
+            break
+        reached = steps.where("dst is not null").groupBy("start", F.col("dst").alias("node")).agg(F.max(F.col("far") + F.col("length")).alias("far"), F.count("*").alias("seen"))
+        known = nodes.select("start", "node", "far", "seen", "ins", F.when(F.col("taken").isNull() & (F.col("seen") == F.col("ins")), round_).otherwise(F.col("taken")).alias("taken"))
+        both = known.unionByName(reached.join(ins, "node").select("start", "node", "far", "seen", "ins", F.lit(None).cast("int").alias("taken")))
+        after = both.groupBy("start", "node").agg(F.max("far").alias("far"), F.sum("seen").alias("seen"), F.max("ins").alias("ins"), F.max("taken").alias("taken"))
+        after = store.keep(after, "nodes")
+        used = store.keep(used.unionByName(steps.where("dst is not null").select("start", "path")), "used")
+        dead = steps.where("dst is null or dst = start").select("start")
+        folded = after.select("start", F.abs("node").alias("a")).groupBy("start", "a").count().where("count > 1").select("start")
+        taken, open_ = F.count("taken"), F.count_if(F.col("taken").isNull() & (F.col("seen") < F.col("ins")))
+        facts = after.groupBy("start").agg(taken.alias("taken"), open_.alias("open"), F.count_if(F.col("taken").isNull() & (F.col("seen") == F.col("ins"))).alias("ready"), F.max("far").alias("far"), F.max_by("node", F.when(F.col("taken").isNull(), F.col("far"))).alias("end"))
+        facts = facts.join(used.groupBy("start").agg(F.count("*").alias("used")), "start", "left").na.fill(0, ["used"])
+        facts = facts.join(dead.union(folded).distinct(), "start", "left_anti")
+        wide = (F.col("open") + F.col("ready") >= tips) | (F.col("far") > most_length) | (F.col("taken") > depth * width) | ((F.col("taken") > 10) & (F.col("used") > width * F.col("taken")))
+        facts = store.keep(facts.where(~wide), "facts")
+        done = (F.col("ready") == 1) & (F.col("open") == 0) & (F.col("used") > 1)
+        ends = facts.where(done).select("start", "end", F.col("far").alias("length"))
+        inside = used.join(ends, "start").groupBy("start", "end", "length").agg(F.sort_array(F.collect_list("path")).alias("inside"))  # depth * width paths at most
+        found.append(store.keep(inside.select("start", "end", F.size("inside").cast("long").alias("size"), "length", "inside"), "found"))
+        going = facts.where(~done).select("start")
+        nodes, used = after.join(going, "start", "left_semi"), used.join(going, "start", "left_semi")
+    if not found:
+        return spark.createDataFrame([], BUBBLES)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+BUBBLES = "start long, end long, size long, length long, inside array<bigint>"
 
 
 def compound_paths(spark: SparkSession, paths: DataFrame, found: DataFrame) -> DataFrame:
