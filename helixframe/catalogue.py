@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.plans import chain_queries, kernel_queries, layout_queries, overlap_queries, read_queries, record_queries, statistic_queries
+from helixframe.plans import chain_queries, graph_queries, kernel_queries, layout_queries, overlap_queries, read_queries, record_queries, statistic_queries
 
-MODULES = (read_queries, overlap_queries, statistic_queries, chain_queries, layout_queries, record_queries, kernel_queries)
+MODULES = (read_queries, overlap_queries, statistic_queries, chain_queries, layout_queries, record_queries, graph_queries, kernel_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

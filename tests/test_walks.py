@@ -115,3 +115,16 @@ def test_bubbles_by_frontier(spark, seed, limits):
     want = plain_bubbles(paths, **{names.get(k, k): v for k, v in limits.items()})
     assert {(r.start, r.end, r.size, r.length, tuple(r.inside)) for r in got} == want and len(got) == len(want)
     assert seed or want
+
+
+def test_table_functions(spark):
+    from helixframe.functions import tables
+
+    assert tables.worst_window("10=2X10=", 10) == (2, 2) and tables.worst_window("5=3I5=", 8) == (3, 0) and tables.worst_window("5=", 8) is None and tables.worst_window(None, 1) is None
+    tables.register(spark)
+    spark.createDataFrame([("a", "AC-G", "A-TG", 5), ("b", None, "A", 0)], "id string, q string, s string, at long").createOrReplaceTempView("aligned_rows")
+    got = spark.sql("SELECT t.* FROM aligned_rows, LATERAL alignment_tags(q, s, at) t").collect()
+    assert [tuple(r) for r in got] == [(5, 0, "A", -1, 0, "-"), (5, 1, "C", 5, 0, "A"), (6, 0, "-", 5, 1, "C"), (7, 0, "G", 6, 0, "-")]
+    spark.createDataFrame([("a", "10=2X10="), ("b", "3="), ("c", "4D20=")], "id string, cigar string").createOrReplaceTempView("cigars")
+    got = spark.sql("SELECT * FROM worst_windows(TABLE(SELECT id, cigar FROM cigars) PARTITION BY (id), 10)").collect()
+    assert sorted(tuple(r) for r in got) == [("a", 2, 2), ("c", 4, 0)]
