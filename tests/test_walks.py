@@ -128,3 +128,13 @@ def test_table_functions(spark):
     spark.createDataFrame([("a", "10=2X10="), ("b", "3="), ("c", "4D20=")], "id string, cigar string").createOrReplaceTempView("cigars")
     got = spark.sql("SELECT * FROM worst_windows(TABLE(SELECT id, cigar FROM cigars) PARTITION BY (id), 10)").collect()
     assert sorted(tuple(r) for r in got) == [("a", 2, 2), ("c", 4, 0)]
+
+
+def test_contigs_of_the_line_are_stretches_of_the_documents(spark, sf_dir):
+    from helixframe import catalogue
+    from helixframe.plans.fixtures import reads
+
+    bases = "".join(r.seq or "" for r in reads(spark, sf_dir).orderBy("read_id").collect())
+    turned = bases[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    out = catalogue.queries()["contigs"](spark, sf_dir).collect()
+    assert out and max(r.n_reads for r in out) > 5 and all(r.length == len(r.seq) and (r.seq in bases or r.seq in turned) for r in out)
