@@ -18,14 +18,31 @@ LOG_REGISTERS = 12
 BAND = 0.1
 
 
-def boilerplate_lines(hashed: DataFrame, min_sites: int) -> DataFrame:
-    """``hashed`` (h, site) to the line hashes that stand on at least ``min_sites`` distinct sites."""
+#: Line hashes that a join broadcasts at most (8 bytes each); more are dealt out in so many lanes a line.
+BROADCAST_LINES, LANES = 100_000, 16
+
+
+def standing(hashed: DataFrame, few: DataFrame) -> DataFrame:
+    """Rows of ``hashed`` (__id, h, ...) whose line is in the written table ``few`` (h, each once).
+
+    Counted first: few lines are broadcast, so no row of ``hashed`` moves.  Else
+    the join goes by line and lane, so that a line on very many pages isn't one task's.
+    """
+    if few.count() <= BROADCAST_LINES:
+        return hashed.join(F.broadcast(few), "h", "left_semi")
+    dealt = few.withColumn("__lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
+    lane = F.pmod(F.xxhash64("__id"), F.lit(LANES)).cast("int")
+    return hashed.withColumn("__lane", lane).join(dealt, ["h", "__lane"], "left_semi").drop("__lane")
+
+
+def boilerplate_lines(hashed: DataFrame, min_sites: int, scratch: Scratch) -> DataFrame:
+    """``hashed`` (__id, h, site) to the line hashes that stand on at least ``min_sites`` distinct sites."""
     spread = hashed.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_REGISTERS))).alias("about"))
-    spread = spread.where(F.col("about") >= int(min_sites * (1 - BAND)) - 1)
+    spread = scratch.keep(spread.where(F.col("about") >= int(min_sites * (1 - BAND)) - 1), "spread")
     sure = spread.where(F.col("about") > min_sites * (1 + BAND) + 1).select("h")
     near = spread.where(F.col("about") <= min_sites * (1 + BAND) + 1).select("h")
-    # one row per line and site meets the near lines, however often the line stands on a site
-    exact = hashed.distinct().join(near, "h").groupBy("h").agg(F.count("site").alias("n")).where(F.col("n") >= min_sites).select("h")
+    # lines that aren't near the threshold leave first, so only near ones are counted by line and site
+    exact = standing(hashed, near).select("h", "site").distinct().groupBy("h").agg(F.count("site").alias("n")).where(F.col("n") >= min_sites).select("h")
     return sure.union(exact)
 
 
@@ -43,8 +60,8 @@ def remove_boilerplate(spark: SparkSession, docs: DataFrame, min_sites: int = 10
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
     hashed = docs.select(F.col("doc_id").alias("__id"), F.col(site).alias("site"), F.explode(lines).alias("line"))
     hashed = scratch.keep(hashed.where(F.trim("line") != "").select("__id", "site", F.xxhash64("line").alias("h")), "lines")
-    flagged = scratch.keep(boilerplate_lines(hashed.select("h", F.col("site").cast("string").alias("site")), min_sites), "flagged")
-    bad = hashed.join(flagged, "h").groupBy("__id").agg(F.collect_set("h").alias("__bad"))
+    flagged = scratch.keep(boilerplate_lines(hashed.withColumn("site", F.col("site").cast("string")), min_sites, scratch), "flagged")
+    bad = standing(hashed, flagged).groupBy("__id").agg(F.collect_set("h").alias("__bad"))
     kept = F.filter(lines, lambda x: ~(F.array_contains(F.col("__bad"), F.xxhash64(x)) & (F.trim(x) != "")))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     out = docs.select(*names).join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left")

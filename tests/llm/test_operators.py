@@ -407,6 +407,21 @@ def test_boilerplate_lines(spark, docs, corpus):
     assert linededup.remove_boilerplate(spark, empty(docs)).count() == 0
 
 
+def test_boilerplate_lines_in_lanes(spark, docs, monkeypatch):
+    """Too many lines to broadcast: the same rows, and no broadcast of lines."""
+    rows = lambda: sorted(map(tuple, linededup.remove_boilerplate(spark, docs, 4).select("doc_id", "text", "n_lines", "n_removed").collect()), key=repr)
+    want = rows()
+    monkeypatch.setattr(linededup, "BROADCAST_LINES", 0)
+    assert rows() == want
+
+
+def test_boilerplate_of_null_and_repeated_ids_and_long_texts(spark):
+    long = "\n".join(f"own line {i}" for i in range(20_000))
+    rows = [(None, "nav\nown a", f"s{i}") for i in range(3)] + [(7, "nav\nown b", "s9")] * 2 + [(8, f"nav\n{long}", "s8"), (9, None, None)]
+    out = linededup.remove_boilerplate(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), 4).collect()
+    assert sorted((r.doc_id or 0, r.n_removed, len(r.text or "")) for r in out) == [(0, 1, 5)] * 3 + [(7, 1, 5)] * 2 + [(8, 1, len(long)), (9, 0, 0)]
+
+
 def test_packing(spark, docs, corpus):
     from tokenizers import Tokenizer
 
