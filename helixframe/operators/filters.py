@@ -80,18 +80,24 @@ def neighbours(overlaps: DataFrame, max_overhang: int) -> DataFrame:
 def lacking_support(overlaps: DataFrame, least: int, max_overhang: int = 500) -> DataFrame:
     """Overlaps (one a pair) for which some end has fewer than ``least`` common neighbours that reach it.
 
-    A triangle join on read ids: overlap (x, y), neighbour z of x that
-    qualifies at the end, and z a neighbour of y.  It is an equi-join on (read)
-    and then on (other, read), so repeats spread by both ids.
+    Of an overlap (x, y) only the read with fewer neighbours lists them, and the
+    other is asked whether it has them too.  So a hub of degree d never makes
+    d * d rows: with m overlaps there are some m ** 1.5 rows at most.
     """
     near = neighbours(overlaps, max_overhang)
+    degree = near.groupBy("read").agg(F.count("*").alias("n"))
     placed = O.with_location(overlaps, 0, "__loc")
     rows = placed.select("a_id", "b_id", F.explode(_needs(F.col("__loc"))).alias("n")).select("a_id", "b_id", "n.*")
     rows = rows.select("a_id", "b_id", F.when(F.col("of_a"), F.col("a_id")).otherwise(F.col("b_id")).alias("x"), F.when(F.col("of_a"), F.col("b_id")).otherwise(F.col("a_id")).alias("y"), "end", "far")
+    ranked = rows.join(degree.select(F.col("read").alias("x"), F.col("n").alias("nx")), "x").join(degree.select(F.col("read").alias("y"), F.col("n").alias("ny")), "y")
+    own = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") <= F.col("y")))
+    asked = ranked.select("a_id", "b_id", "x", "y", "end", "far", own.alias("own"), F.when(own, F.col("x")).otherwise(F.col("y")).alias("read"), F.when(own, F.col("y")).otherwise(F.col("x")).alias("hub"))
     ok = F.when(F.col("end") == 0, F.when(F.col("far"), F.col("far0")).otherwise(F.col("near0"))).otherwise(F.when(F.col("far"), F.col("far1")).otherwise(F.col("near1")))
-    met = rows.join(near.withColumnRenamed("read", "x"), "x").where(ok & (F.col("other") != F.col("y"))).select("a_id", "b_id", "x", "y", "end", "other")
-    met = met.join(near.select(F.col("read").alias("y"), "other"), ["y", "other"]).groupBy("a_id", "b_id", "x", "end").agg(F.count("*").alias("n"))
-    checked = rows.select("a_id", "b_id", "x", "end").join(met, ["a_id", "b_id", "x", "end"], "left")
+    # what reaches the end is known where x lists: before the second join if x itself is asked, else after it
+    keys = ["a_id", "b_id", "x", "end"]
+    met = asked.join(near, "read").where((F.col("other") != F.col("y")) & (~F.col("own") | ok)).select(*keys, "far", "own", "hub", "other")
+    met = met.join(near.withColumnRenamed("read", "hub"), ["hub", "other"]).where(F.col("own") | ok).groupBy(*keys).agg(F.count("*").alias("n"))
+    checked = rows.select(*keys).join(met, keys, "left")
     return checked.where(F.coalesce("n", F.lit(0)) < F.greatest(F.lit(least), F.lit(0))).select("a_id", "b_id").distinct()
 
 

@@ -192,3 +192,46 @@ def test_polishing_goes_on_after_many_reads_at_one_place(spark):
     out = kernels.polish(mapped, spark.createDataFrame([(0, draft)], "read_id long, seq string"), reads_).first().seq
     assert out[:1600] == text[:1600] and out[2000:3500] == text[2000:3500]
     assert out[1600:2000] == draft[1600:2000].lower() and out[3500:] == draft[3500:].lower()
+
+
+def brute_weak(rows, least, hang):
+    """lacking_support by looking at every neighbour of every end."""
+    near = {}
+    for a, b, a0, a1, al, b0, b1, bl in rows:
+        near.setdefault(a, {})[b] = (a0, al - a1, b0, bl - b1)
+        near.setdefault(b, {})[a] = (b0, bl - b1, a0, al - a1)
+    weak = set()
+    for a, b, a0, a1, al, b0, b1, bl in rows:
+        a_right, b_right = al - a1, bl - b1
+        if a_right == 0 and b0 == 0:
+            needs = [(a, b, 1, b_right), (b, a, 0, a0)]
+        else:  # the other dovetail
+            needs = [(a, b, 0, b0), (b, a, 1, a_right)]
+        for x, y, end, beyond in needs:
+            reach = [z for z, f in near[x].items() if z != y and z in near[y] and (f[2 + end] > hang if beyond > 2000 else f[end] <= hang)]
+            if len(reach) < least:
+                weak.add((a, b))
+    return weak
+
+
+def test_support_around_a_hub(spark):
+    """One read overlaps all others: the read with fewer neighbours lists them, so rows stay far below degree squared."""
+    import random
+
+    from helixframe.operators import filters
+    from helixframe.schema import OVERLAPS
+
+    rng = random.Random(4)
+    n, rows, seen = 400, [], set()
+    pairs = [(0, i) for i in range(1, n)] + [(i, i + k) for i in range(1, n) for k in (1, 2) if i + k < n]
+    for a, b in pairs:
+        if (a, b) in seen:
+            continue
+        seen.add((a, b))
+        span, free_a, free_b = rng.randint(2500, 3000), rng.choice([100, 400, 2500]), rng.choice([100, 400, 2500])
+        rows.append((a, b, free_a, free_a + span, free_a + span, 0, span, span + free_b))
+    table = [(a, b, 95.0, 0, a0, a1, al, 0, b0, b1, bl) for a, b, a0, a1, al, b0, b1, bl in rows]
+    df = spark.createDataFrame(table, OVERLAPS)
+    for least in (1, 2):
+        got = {tuple(r) for r in filters.lacking_support(df, least, 300).collect()}
+        assert got == brute_weak(rows, least, 300) and 0 < len(got) < len(rows)
