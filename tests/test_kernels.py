@@ -117,3 +117,14 @@ def test_bubble_branches(spark):
     rows = [(1, 0, a), (1, 1, near), (1, 2, planted.genome(2500, 12)), (2, 0, a), (2, 1, near), (3, 0, a), (3, 1, "ACGT" * 100)]
     got = N.bubble_branches(spark.createDataFrame(rows, "bubble long, rank int, seq string")).collect()
     assert sorted((r.bubble, r["rank"]) for r in got) == [(1, 0), (1, 2)]
+
+
+def test_polishing_mends_a_planted_draft(spark):
+    text = planted.genome(3000)
+    draft = planted.noisy(text, 0.01, np.random.default_rng(9))
+    reads = planted.reads(spark, planted.sample(text, 1500, 100, 0.02)).select("read_id", "seq")
+    target = spark.createDataFrame([(0, draft)], "read_id long, seq string")
+    mapped = N.chain_best(kmers.reference_seeds(reads, target, 15, 5, 500), least_seeds=3)
+    got = N.polish(mapped, target, reads).collect()
+    like = lambda x: K.identity(*K.align(x.upper(), text)[1:])
+    assert [r.read_id for r in got] == [0] and like(got[0].seq) > like(draft)
