@@ -7,12 +7,15 @@ full (128 bits of blake2b over all of their bytes) keep their first copy only.
 their bytes form a shard that is suffix-sorted by external induced sorting;
 runs of suffixes with a common prefix of ``span`` bytes are equal strings, and
 all but the first of a run are repeats.  Where more segments share an anchor
-than one shard holds, their strings are told apart one by one instead, by
-digests that the cluster aggregates; so no shard grows with the corpus.
+than one shard holds, each is split by anchors of another hash, and the parts
+meet as segments do, up to ``SPLITS`` times.  Strings of parts that still share
+an anchor with too many are told apart one by one, by digests that the cluster
+aggregates; so no shard grows with the corpus.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 
@@ -30,12 +33,14 @@ from helixframe.llm.textkernels import U64, blocks, gram_values, mix, text_buffe
 GRAM = 24
 #: Bytes that are scanned at once; longer documents are scanned in overlapping pieces.
 PIECE = 1_000_000
-#: Bytes of a shard that are sorted together, about; a longer group of one anchor goes by its strings' digests.
+#: Bytes of a shard that are sorted together, about; a longer group of one anchor is split.
 SHARD_BYTES = 2_000_000
 #: Tuples that a sort's queues hold in memory; a shard of SHARD_BYTES has four times as many, and those go to disk.
 QUEUE_TUPLES = 500_000
 #: One segment in so many tells which anchors are common, and so many of these make one common.
 LOOKED_AT, COMMON = 64, 24
+#: So often a group of one anchor is split by anchors of another hash before it goes by its strings' digests.
+SPLITS = 3
 _PLACE_BITS = U64(24)
 
 
@@ -52,8 +57,11 @@ def _pieces(offsets: np.ndarray, span: int):
                     yield a, b, int(offsets[a]) + at, int(offsets[a]) + end, at
 
 
-def segments(offsets: np.ndarray, data: np.ndarray, span: int):
-    """Arrays (document, start, strings, anchor hash, two halves of a content digest) of the segments of a scanned piece."""
+def segments(offsets: np.ndarray, data: np.ndarray, span: int, level: int = 0):
+    """Arrays (document, start, strings, anchor hash, two halves of a content digest) of the segments of a scanned piece.
+
+    Each ``level`` ranks the grams by a hash of its own.
+    """
     n = len(data)
     none = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] + [np.zeros(0, np.int64)] * 2
     if n < span:
@@ -61,7 +69,8 @@ def segments(offsets: np.ndarray, data: np.ndarray, span: int):
     grams = n - GRAM + 1
     whole = gram_values(data, GRAM)
     # the place breaks ties to the left, and tells which gram is the least
-    value = (whole & ~((U64(1) << _PLACE_BITS) - U64(1))) | np.arange(grams, dtype=np.uint64)
+    rank = mix(whole + U64(level)) if level else whole
+    value = (rank & ~((U64(1) << _PLACE_BITS) - U64(1))) | np.arange(grams, dtype=np.uint64)
     width = span - GRAM + 1
     padded = np.full(-(-grams // width) * width, U64(2**64 - 1))
     padded[:grams] = value
@@ -132,7 +141,9 @@ def meet(rows: DataFrame, lonely: bool = False) -> DataFrame:
     """Segments sorted by (h, g, g2, doc, at): later equal segments at other places are repeats; first ones whose anchor others share go on.
 
     With ``lonely`` all first ones go on, wherever the others of their anchor are.
+    A sixth column ``bytes`` goes along.
     """
+    cut = len(rows.columns) > 5
 
     def run(batches):
         before = None  # h, g, g2, doc, at of the last row
@@ -141,6 +152,7 @@ def meet(rows: DataFrame, lonely: bool = False) -> DataFrame:
             if not batch.num_rows:
                 continue
             h, g, g2, doc, at = (batch.column(i).to_numpy() for i in range(5))
+            texts = [batch.column(5)] if cut else []
             again = np.zeros(len(h), bool)
             again[1:] = (h[1:] == h[:-1]) & (g[1:] == g[:-1]) & (g2[1:] == g2[:-1])
             again[0] = before is not None and before[:3] == (h[0], g[0], g2[0])
@@ -154,18 +166,66 @@ def meet(rows: DataFrame, lonely: bool = False) -> DataFrame:
                 shared[0] = before is not None and before[0] == h[first[0]]
                 shared[1:-1] = h[first][1:] == h[first][:-1]
                 if open_ is not None and shared[0]:
-                    rest = open_
+                    rest, rest_texts = open_
                 lone = ~shared[:-1] & ~shared[1:] & (not lonely)
                 keep[first[lone]] = False
-                open_ = tuple(x[first[-1] :][:1] for x in (h, doc, at, again)) if lone[-1] else None
+                last = slice(first[-1], first[-1] + 1)
+                open_ = (tuple(x[last] for x in (h, doc, at, again)), [x[last] for x in texts]) if lone[-1] else None
             before = (h[-1], g[-1], g2[-1], doc[-1], at[-1])
             out = [x[keep] for x in (h, doc, at, again)]
+            texts = [x.filter(pa.array(keep)) for x in texts]
             if rest is not None:
                 out = [np.concatenate(x) for x in zip(rest, out, strict=True)]
+                texts = [pa.concat_arrays(x) for x in zip(rest_texts, texts, strict=True)]
             if len(out[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["h", "doc", "at", "again"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out] + texts, ["h", "doc", "at", "again", "bytes"][: 5 if cut else 4])
+
+    return rows.mapInArrow(run, MET + (", bytes binary" if cut else ""))
+
+
+def meet_all(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """What ``meet`` gives for segments (h, g, g2, doc, at and maybe bytes), written; common anchors are spread over tasks.  Repeats have no bytes."""
+    # segments of a common anchor meet by their content as well, so they spread over tasks; none of them is alone
+    looked = rows.where(F.pmod(F.xxhash64("doc", "at"), F.lit(LOOKED_AT)) == 0).groupBy("h").count()
+    common = scratch.keep(looked.where(F.col("count") >= COMMON).select("h"), "common")
+    order = ["h", "g", "g2", "doc", "at"]
+
+    def keep(met: DataFrame, label: str) -> DataFrame:
+        return scratch.keep(met.withColumn("bytes", F.when(~F.col("again"), F.col("bytes"))) if "bytes" in met.columns else met, label)
+
+    met = []
+    if common.take(1):
+        spread = rows.join(_few(common), "h", "left_semi").select(*rows.columns).repartition("h", "g", "g2").sortWithinPartitions(*order)
+        met.append(keep(meet(spread, True), "common-met"))
+        rows = rows.join(_few(common), "h", "left_anti").select(*rows.columns)
+    met.append(keep(meet(rows.repartition("h").sortWithinPartitions(*order)), "met"))
+    return met[0] if len(met) == 1 else met[0].unionByName(met[1])
+
+
+PARTS = "h long, g long, g2 long, doc long, at long, bytes binary"
 
-    return rows.mapInArrow(run, MET)
+
+def split(rows: DataFrame, span: int, level: int) -> DataFrame:
+    """Segments with bytes to parts by anchors of another hash; ``h`` stands for the anchors of both."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 5000):
+                part = batch.slice(i, 5000)
+                h, own, place = (part.column(k).to_numpy() for k in range(3))
+                texts = part.column(3).to_pylist()
+                raw = b"".join(texts)
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+                which, start, count, anchor, g, g2 = segments(offsets, np.frombuffer(raw, np.uint8), span, level)
+                if not len(which):
+                    continue
+                lo = offsets[which] + start
+                cut = [raw[x:y] for x, y in zip(lo.tolist(), (lo + count + span - 1).tolist(), strict=True)]
+                key = mix(h[which].view(np.uint64) ^ anchor).view(np.int64)
+                at = (((place[which] >> 8) + start) << 8) | count
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, g, g2, own[which], at)] + [pa.array(cut, pa.binary())], ["h", "g", "g2", "doc", "at", "bytes"])
+
+    return rows.mapInArrow(run, PARTS)
 
 
 BYTES = "h long, doc long, at long, bytes binary"
@@ -270,35 +330,45 @@ def strings(rows: DataFrame, span: int) -> DataFrame:
 
 def string_repeats(rows: DataFrame) -> DataFrame:
     """(doc, at) of the strings that aren't the first of their digest; no task needs all rows of a digest."""
-    first = rows.groupBy("s1", "s2").agg(F.min(F.struct("doc", "at")).alias("least")).select("s1", "s2", "least.doc", "least.at")
-    return rows.join(first, ["s1", "s2", "doc", "at"], "left_anti").select("doc", "at")
+    first = rows.groupBy("s1", "s2").agg(F.min(F.struct("doc", "at")).alias("least"), F.count("*").alias("n"))
+    first = first.where("n > 1").select("s1", "s2", "least")
+    return rows.join(first, ["s1", "s2"]).where(F.struct("doc", "at") != F.col("least")).select("doc", "at")
 
 
 def repeated_ranges(spark: SparkSession, docs: DataFrame, scratch: Scratch, span: int = 100) -> DataFrame:
     """(doc, at) where ``at`` is start * 256 + strings: the strings of ``span`` bytes that also start earlier."""
     found = scratch.keep(anchors(docs, span), "anchors")
-    known = found.where("again").select("doc", "at")
-    rows = found.where("not again").select("h", "g", "g2", "doc", "at")
-    # segments of a common anchor meet by their content as well, so they spread over tasks; none of them is alone
-    looked = rows.where(F.pmod(F.xxhash64("doc", "at"), F.lit(LOOKED_AT)) == 0).groupBy("h").count()
-    common = scratch.keep(looked.where(F.col("count") >= COMMON).select("h"), "common")
-    met = []
-    if common.take(1):
-        spread = rows.join(_few(common), "h", "left_semi").select("h", "g", "g2", "doc", "at").repartition("h", "g", "g2").sortWithinPartitions("h", "g", "g2", "doc", "at")
-        met.append(scratch.keep(meet(spread, True), "common-met"))
-        rows = rows.join(_few(common), "h", "left_anti").select("h", "g", "g2", "doc", "at")
-    met.append(scratch.keep(meet(rows.repartition("h").sortWithinPartitions("h", "g", "g2", "doc", "at")), "met"))
-    all_met = met[0] if len(met) == 1 else met[0].unionByName(met[1])
-    shared = all_met.where("not again").select("h", "doc", "at")
+    known = scratch.keep(found.where("again").select("doc", "at"), "known")
+    met = meet_all(found.where("not again").select("h", "g", "g2", "doc", "at"), scratch)
+    scratch.drop(found)
+    out = known.union(met.where("again").select("doc", "at"))
+    shared = met.where("not again").select("h", "doc", "at")
     most = SHARD_BYTES // (span + 40)
-    crowded = scratch.keep(shared.groupBy("h").count().where(F.col("count") > most).select("h"), "crowded")
-    out = known.union(all_met.where("again").select("doc", "at"))
-    few = shared
+
+    def crowded_of(rows: DataFrame) -> DataFrame:
+        return scratch.keep(rows.groupBy("h").count().where(F.col("count") > most).select("h"), "crowded")
+
+    crowded = crowded_of(shared)
+    cuts = cut_out(docs, shared, span)
+    few = []
     if crowded.take(1):
-        few = shared.join(_few(crowded), "h", "left_anti").select("h", "doc", "at")
-        many = shared.join(_few(crowded), "h", "left_semi").select("h", "doc", "at")
-        out = out.union(string_repeats(scratch.keep(strings(cut_out(docs, many, span), span), "strings")))
-    bytes_ = cut_out(docs, few, span).repartition("h").sortWithinPartitions("h", "doc", "at")
+        cuts = scratch.keep(cuts, "cuts")  # written, so that the texts are shuffled for it once
+        for level in range(1, SPLITS + 2):
+            few.append(cuts.join(_few(crowded), "h", "left_anti").select("h", "doc", "at", "bytes"))
+            cuts = cuts.join(_few(crowded), "h", "left_semi").select("h", "doc", "at", "bytes")
+            if level > SPLITS:
+                out = out.union(scratch.keep(string_repeats(scratch.keep(strings(cuts, span), "strings")), "string-repeats"))
+                break
+            met = meet_all(split(cuts, span, level), scratch)
+            out = out.union(met.where("again").select("doc", "at"))
+            cuts = met.where("not again").select("h", "doc", "at", "bytes")
+            crowded = crowded_of(cuts)
+            if not crowded.take(1):
+                few.append(cuts)
+                break
+    else:
+        few.append(cuts)
+    bytes_ = functools.reduce(DataFrame.union, few).repartition("h").sortWithinPartitions("h", "doc", "at")
     return out.union(scratch.keep(sort_shards(bytes_, span, scratch.path("spill")), "sorted"))
 
 

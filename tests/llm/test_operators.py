@@ -735,6 +735,30 @@ def test_repeats_of_an_anchor_with_more_segments_than_a_shard_holds(spark, tmp_p
     assert share(passage) >= 90 and max(sizes) <= repeats.SHARD_BYTES // 140
 
 
+@pytest.mark.parametrize(("splits", "looked"), [(0, 64), (1, 1), (3, 64)])
+def test_crowded_anchors_are_split_and_texts_cut_once(spark, monkeypatch, splits, looked):
+    """However many anchors are crowded, texts are shuffled for their bytes once, and few strings go by digests."""
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 140 * 20)
+    monkeypatch.setattr(repeats, "SPLITS", splits)
+    monkeypatch.setattr(repeats, "LOOKED_AT", looked)
+    monkeypatch.setattr(repeats, "COMMON", 10)
+    rng = random.Random(13)
+    phrases = [words(rng, 5) + "é " for _ in range(3)]  # in many contexts, two of which are alike
+    rows = [(i, "".join(words(rng, 12) + rng.choice(phrases) + words(rng, 12) for _ in range(3))) for i in range(150)]
+    rows += [(200 + i, words(rng, 3) + rows[i][1][40:-40] + words(rng, 3)) for i in range(20)]
+    passage = words(rng, 40)
+    rows += [(300 + i, words(rng, 4) + passage + words(rng, 4)) for i in range(80)]
+    cuts, digested = [], []
+    cut_out, strings = repeats.cut_out, repeats.strings
+    monkeypatch.setattr(repeats, "cut_out", lambda docs, wanted, span: cuts.append(wanted.count()) or cut_out(docs, wanted, span))
+    monkeypatch.setattr(repeats, "strings", lambda rows, span: digested.append(rows.selectExpr("coalesce(sum(at & 255), 0)").first()[0]) or strings(rows, span))
+    docs = spark.createDataFrame([*rows, rows[5]], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_removed, r.kept) for r in repeats.remove_repeats(spark, docs, 100, text=True).collect()}
+    assert got == expected_repeats(rows)
+    assert len(cuts) == 1
+    assert sum(digested) < {0: 9000, 1: 7500, 3: 4000}[splits]
+
+
 def test_shard_sort_with_queues_smaller_than_the_shard(spark, tmp_path):
     rng = random.Random(9)
     passage = words(rng, 40)
