@@ -1,11 +1,13 @@
 """Shortest paths, chimers and bubbles against plain Python on random graphs."""
 
 import heapq
+import os
 
 import numpy as np
 import pytest
 
 from helixframe.operators import pathgraph, walks
+from helixframe.plans import store
 
 EDGES = "src long, dst long, length long"
 
@@ -138,3 +140,44 @@ def test_contigs_of_the_line_are_stretches_of_the_documents(spark, sf_dir):
     turned = bases[::-1].translate(str.maketrans("ACGT", "TGCA"))
     out = catalogue.queries()["contigs"](spark, sf_dir).collect()
     assert out and max(r.n_reads for r in out) > 5 and all(r.length == len(r.seq) and (r.seq in bases or r.seq in turned) for r in out)
+
+
+def plain_chimers(edges, bound):
+    light = {}
+    for a, b, w in edges:
+        light[a, b] = min(w, light.get((a, b), w))
+    outs, ins = [a for a, _ in light], [b for _, b in light]
+    rows = [(a, b, w) for (a, b), w in light.items()]
+    alone = set()
+    for s, d in light:
+        if outs.count(s) > 1 and ins.count(d) > 1:
+            ours = {v for (a, x), w in light.items() if a == s and x != d and w <= bound for v in dijkstra(rows, x, bound - w)}
+            if not ours & set(dijkstra(rows, d, bound)):
+                alone.add((s, d))
+    return sorted(e for e in alone if (-e[1], -e[0]) in alone)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chimers_against_plain_search(spark, seed):
+    rng = np.random.default_rng(seed)
+    edges = mirrored([(a + 1, b + 1, w) for a, b, w in random_edges(rng, 24, 34)] + [(3, 3, 2)])
+    got = sorted((r.src, r.dst) for r in walks.chimer_edges(spark, spark.createDataFrame(edges, EDGES), 12).collect())
+    want = plain_chimers(edges, 12)
+    assert got == want and (want or seed)
+
+
+def written(spark, name):
+    """Passes on disk of the last operator call of that name."""
+    root = [x for x in store._written[spark.sparkContext.applicationId] if f"/{name}-" in x][-1]
+    return sorted(os.listdir(root.removeprefix("file://")))
+
+
+def test_chimers_hold_one_pass_and_few_ways(spark):
+    line = [(i, i + k, 10 * k + (k == 2)) for i in range(1, 40) for k in (1, 2, 3)]
+    assert [(r.src, r.dst) for r in walks.chimer_edges(spark, spark.createDataFrame(mirrored(line + [(5, 35, 10)]), EDGES), 60).collect()]
+    passes = written(spark, "chimers")
+    assert [sum(x.endswith(f"-{label}") for x in passes) for label in ("state", "alone")] == [1, 1]
+    # edges of the line are told apart before any way sets out
+    root = [x for x in store._written[spark.sparkContext.applicationId] if "/chimers-" in x][-1]
+    [doubtful] = [x for x in passes if x.endswith("-doubtful")]
+    assert spark.read.parquet(f"{root}/{doubtful}").count() <= 12 < 2 * len(line)
