@@ -76,7 +76,8 @@ def length_statistics(reads: DataFrame) -> DataFrame:
     ]
     for level, goal in ((25, quarter), (50, F.expr("total div 2")), (75, quarter * 3)):
         reached = F.col("bases") + F.col("len") * F.col("n") >= goal
-        need = F.ceil((goal - F.col("bases")) / F.col("len"))
+        # reads without bases add none (null here)
+        need = F.ceil(F.try_divide(goal - F.col("bases"), F.col("len")))
         out += [F.max(F.when(reached, F.col("len"))).cast("long").alias(f"n{level}"), F.min(F.when(reached, F.col("reads") + F.greatest(need, F.lit(1)))).cast("long").alias(f"l{level}")]
     return rows.agg(*out)
 

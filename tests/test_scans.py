@@ -133,3 +133,14 @@ def test_stored_tables_can_be_cleared(spark):
     assert kept.count() == 3 and store.clear(spark) == 1 and store.clear(spark) == 0
     with pytest.raises(Exception, match="(?i)does not exist|not found|no such file"):
         kept.count()
+
+
+def length_stats_of(spark, seqs, f):
+    return f(spark.createDataFrame(list(enumerate(seqs)), "read_id long, seq string")).first().asDict()
+
+
+def test_length_statistics_with_empty_reads(spark):
+    got = length_stats_of(spark, ["A" * 6, "", "A" * 2, "", None], reads.length_statistics)
+    assert got == {"count": 5, "total": 8, "mean": 1, "median": 0, "max": 6, "min": 0, "n25": 6, "l25": 1, "n50": 6, "l50": 1, "n75": 6, "l75": 1}
+    empty = length_stats_of(spark, ["", ""], reads.length_statistics)
+    assert (empty["total"], empty["n50"], empty["l25"], empty["l75"]) == (0, 0, 1, 1)
