@@ -48,12 +48,12 @@ def n_statistics(reads: DataFrame, genome_size: int | None = None) -> DataFrame:
     total = F.lit(genome_size).cast("long") if genome_size else F.sum(F.col("len") * F.col("n")).over(Window.partitionBy(F.lit(0)))
     before = Window.orderBy(F.desc("len")).rowsBetween(Window.unboundedPreceding, -1)
     rows = h.select("len", "n", total.alias("total"), F.coalesce(F.sum(F.col("len") * F.col("n")).over(before), F.lit(0)).alias("bases"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("reads"))
-    out = [F.sum("n").alias("count"), F.max("total").alias("total"), F.max("len").cast("long").alias("max"), F.min("len").cast("long").alias("min")]
+    out = [F.coalesce(F.sum("n"), F.lit(0)).alias("count"), F.max("total").alias("total"), F.max("len").cast("long").alias("max"), F.min("len").cast("long").alias("min")]
     for level in (25, 50, 75):
         goal = F.col("total") * level / 100.0
         passed = F.col("bases") + F.col("len") * F.col("n") > goal
-        # reads of this length that must be added until the sum passes the goal
-        need = F.floor((goal - F.col("bases")) / F.col("len")) + 1
+        # reads of this length that must be added until the sum passes the goal; reads without bases add none (null here)
+        need = F.floor(F.try_divide(goal - F.col("bases"), F.col("len"))) + 1
         out += [F.max(F.when(passed, F.col("len"))).cast("long").alias(f"n{level}"), F.min(F.when(passed, F.col("reads") + F.greatest(need, F.lit(1)))).cast("long").alias(f"l{level}")]
     return rows.agg(*out)
 

@@ -144,3 +144,10 @@ def test_length_statistics_with_empty_reads(spark):
     assert got == {"count": 5, "total": 8, "mean": 1, "median": 0, "max": 6, "min": 0, "n25": 6, "l25": 1, "n50": 6, "l50": 1, "n75": 6, "l75": 1}
     empty = length_stats_of(spark, ["", ""], reads.length_statistics)
     assert (empty["total"], empty["n50"], empty["l25"], empty["l75"]) == (0, 0, 1, 1)
+
+
+def test_n_statistics_with_empty_reads(spark):
+    got = length_stats_of(spark, ["A" * 6, "", "A" * 2, "", None], reads.n_statistics)
+    assert got == {"count": 5, "total": 8, "max": 6, "min": 0, "n25": 6, "l25": 1, "n50": 6, "l50": 1, "n75": 2, "l75": 2}
+    assert length_stats_of(spark, ["", ""], reads.n_statistics) == {"count": 2, "total": 0, "max": 0, "min": 0, **dict.fromkeys(("n25", "l25", "n50", "l50", "n75", "l75"))}
+    assert reads.n_statistics(spark.createDataFrame([], "read_id long, seq string")).first()["count"] == 0
