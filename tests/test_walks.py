@@ -181,3 +181,24 @@ def test_chimers_hold_one_pass_and_few_ways(spark):
     root = [x for x in store._written[spark.sparkContext.applicationId] if "/chimers-" in x][-1]
     [doubtful] = [x for x in passes if x.endswith("-doubtful")]
     assert spark.read.parquet(f"{root}/{doubtful}").count() <= 12 < 2 * len(line)
+
+
+def test_worst_windows_of_a_batch(monkeypatch):
+    from helixframe.functions import tables
+
+    rng = np.random.default_rng(5)
+    cigars = ["".join(f"{n}{op}" for n, op in zip(rng.integers(0, 30, k).tolist(), rng.choice(list("=XID"), k), strict=True)) for k in rng.integers(0, 9, 400).tolist()]
+    cigars += [None, "", "X", "5=x4X=", "12", "3 4=30X2", "100=7I", "1I99=", "40M20X=30="]
+    for bases, width in ((1_000_000, 10), (50, 10), (1, 37)):
+        monkeypatch.setattr(tables, "BASES", bases)
+        want = [(i, *w) for i, c in enumerate(cigars) if (w := tables.worst_window(c, width)) is not None]
+        assert [tuple(map(int, x)) for x in zip(*tables.worst_windows(cigars, width), strict=True)] == want
+
+
+def test_worst_windows_in_sql_is_not_called_by_key(spark, sf_dir):
+    from helixframe.plans import graph_queries
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    dealt = plan(graph_queries.worst_error_window_in_sql(spark, sf_dir))
+    by_key = plan(spark.sql("SELECT * FROM worst_windows(TABLE(SELECT string(id) AS id, '5=' AS cigar FROM range(9)) PARTITION BY (id), 2)"))
+    assert "RepartitionByExpression" in by_key and "RepartitionByExpression" not in dealt
