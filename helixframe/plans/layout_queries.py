@@ -11,6 +11,7 @@ from helixframe.plans.chain_queries import query_into
 from helixframe.plans.fixtures import FOLDED_SQL, LAYOUT_SQL, SHORT, folded, layout, mapped, mapped_sql
 from helixframe.plans.overlap_queries import _EDGE, _OWN, ALEN, ALL, best_sql, loc_sql, snap_sql
 from helixframe.plans.statistic_queries import median_sql
+from helixframe.plans.store import Store
 
 QUERIES, SQL = {}, {}
 query = query_into(QUERIES, SQL)
@@ -147,13 +148,15 @@ SELECT src, mid AS dst FROM sh UNION SELECT mid, dst FROM sh"""
 )
 def covered_contig_edges(spark, sf):
     """Reads and lengths of edges stand for the gaps: of three edges the steps are compared by their new bases."""
-    links = _contig_links(spark, sf)
-    e = bridge.contig_edges(links)
+    # each is read several times by what follows: unless written, their joins would be planned and run for every time
+    store = Store(spark, "covered")
+    links = store.keep(_contig_links(spark, sf), "links")
+    e = store.keep(bridge.contig_edges(links), "edges")
     own = F.when(F.col("strand") == 0, F.col("c0") + 1).otherwise(-(F.col("c0") + 1))
     left = F.col("loc") == "Left"
     ways = links.where(left | (F.col("loc") == "Right")).select("c0", "c1", "strand", F.when(left, own).otherwise(F.col("c1") + 1).alias("src"), F.when(left, F.col("c1") + 1).otherwise(own).alias("dst"))
     r = bridge.projected_links(_alignments(spark, sf)).select("c0", "c1", "strand", "read_id").join(ways, ["c0", "c1", "strand"]).select("src", "dst", "read_id")
-    r = r.union(r.select(-F.col("dst"), -F.col("src"), "read_id"))
+    r = store.keep(r.union(r.select(-F.col("dst"), -F.col("src"), "read_id")).distinct(), "reads")
     return bridge.covered_edges(e, e.select("src", "dst", F.col("length").alias("gap")), r)
 
 

@@ -54,3 +54,10 @@ def test_extension_takes_one_doubtful_edge(spark):
     assert got["one"] == [[1, 2, 3, 4], [5], [7], [8]]
     with pytest.raises(ValueError):
         B.extend_contigs(spark, e, "random")
+
+
+def test_covered_contig_edges_reads_passes(spark, sf_dir):
+    from helixframe.plans import layout_queries
+
+    # the joins behind links, edges and reads are not planned again for each that reads them
+    assert not [f for f in layout_queries.covered_contig_edges(spark, sf_dir).inputFiles() if "customer" in f]
