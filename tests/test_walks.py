@@ -202,3 +202,13 @@ def test_worst_windows_in_sql_is_not_called_by_key(spark, sf_dir):
     dealt = plan(graph_queries.worst_error_window_in_sql(spark, sf_dir))
     by_key = plan(spark.sql("SELECT * FROM worst_windows(TABLE(SELECT string(id) AS id, '5=' AS cigar FROM range(9)) PARTITION BY (id), 2)"))
     assert "RepartitionByExpression" in by_key and "RepartitionByExpression" not in dealt
+
+
+def test_shortest_paths_in_turns(spark):
+    edges = random_edges(np.random.default_rng(8), 30, 70)
+    starts = spark.createDataFrame([(s,) for s in range(12)], "start long")
+    frames = [walks.shortest_paths(spark, spark.createDataFrame(edges, EDGES), starts, 30, None, n) for n in (100, 5)]
+    # a turn leaves its last pass alone
+    assert sum(x.endswith("-state") for x in written(spark, "shortest")) == 3
+    whole, turns = (sorted(map(tuple, f.collect()), key=str) for f in frames)
+    assert whole == turns and {r[0] for r in whole} == set(range(12))
