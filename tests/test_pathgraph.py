@@ -109,3 +109,13 @@ def test_planted_genome_through_the_path_graph(spark):
         own = seqs[abs(t.node) - 1]
         own = own if t.node > 0 else own[::-1].translate(str.maketrans("ACGT", "TGCA"))
         assert out.seq[t.start : t.end] == own
+
+
+def test_reduced_graph_and_paths_are_written_once(spark, sf_dir):
+    from helixframe.plans import graph_queries
+
+    for f in (graph_queries._edges, graph_queries.placed):
+        assert [x for x in f(spark, sf_dir).inputFiles() if "customer" in x]
+    # what follows the reduction, and what counts paths twice, doesn't go back to the table
+    for f in (graph_queries.path_edges, graph_queries.duplicate_paths):
+        assert not [x for x in f(spark, sf_dir).inputFiles() if "customer" in x]
