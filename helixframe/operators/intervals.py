@@ -187,12 +187,21 @@ def best_window(rows: DataFrame, keys: list[str], position: str, score: str, tie
 
     A window's rows are those within the width before its end row, in
     (position, tie) order; rows at the end row's position that sort after it don't count.
+    Of the rows at one position only the best prefix can win, so each position
+    becomes a row; what stands before it is a difference of running sums, exact for integer scores.
     """
-    order = Window.partitionBy(*keys).orderBy(position, tie)
-    span = Window.partitionBy(*keys).orderBy(position).rangeBetween(-width, 0)
-    same = Window.partitionBy(*keys, position).orderBy(tie).rowsBetween(1, Window.unboundedFollowing)
-    after = F.coalesce(F.sum(score).over(same), F.lit(0))
-    n_after = F.coalesce(F.count(score).over(same), F.lit(0))
-    out = rows.select(*keys, position, tie, (F.sum(score).over(span) - after).alias("score"), (F.count(score).over(span) - n_after).alias("n"), F.row_number().over(order).alias("__row"))
-    best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "__row"))
+    within = Window.partitionBy(*keys, position).orderBy(tie).rowsBetween(Window.unboundedPreceding, 0)
+    at = Window.partitionBy(*keys, position).orderBy(tie)
+    parts = rows.select(*keys, position, F.col(score).alias("__v"), F.coalesce(F.sum(score).over(within), F.lit(0)).alias("__s"), F.count(score).over(within).alias("__n"), F.row_number().over(at).alias("__k"))
+    places = parts.groupBy(*keys, position).agg(F.coalesce(F.sum("__v"), F.lit(0)).alias("__all"), F.count("__v").alias("__count"), F.max(F.struct(F.col("__s").alias("s"), (-F.col("__k")).alias("k"), F.col("__n").alias("n"))).alias("__own"))
+    line = Window.partitionBy(*keys).orderBy(position)
+
+    def before(c: str) -> Column:
+        """The sum over positions less than this one and within the width of it; positions that are null stand alone."""
+        upto = lambda w: F.coalesce(F.sum(c).over(w), F.lit(0))
+        return F.when(F.col(position).isNull(), F.lit(0)).otherwise(upto(line.rowsBetween(Window.unboundedPreceding, -1)) - upto(line.rangeBetween(Window.unboundedPreceding, -width - 1)))
+
+    out = places.withColumns({"__s": before("__all"), "__n": before("__count")})
+    out = out.withColumns({"score": F.when(F.col("__n") + F.col("__count") > 0, F.col("__s") + F.col("__own.s")), "n": F.col("__n") + F.col("__own.n")})
+    best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), position))
     return out.withColumn("__best", best).where("__best = 1").select(*keys, F.col(position).alias("end_position"), "score", "n")

@@ -229,11 +229,9 @@ ROWS = "w AS (SELECT a_id, b_strand, b_start AS pos, identity AS score, row_numb
 
 
 def _scored(spark, sf):
-    from pyspark.sql import Window
-
-    o = overlaps(spark, sf).distinct()
-    order = Window.partitionBy("a_id").orderBy("b_id", "identity", "a_start", "a_end", "b_strand", "b_start", "b_end")
-    return o.select("a_id", "b_strand", F.col("b_start").alias("pos"), F.col("identity").alias("score"), F.row_number().over(order).alias("id"))
+    """Distinct rows, dealt out once by where they stand; what follows it in the SQL's numbering breaks ties."""
+    o = overlaps(spark, sf).repartition("a_id", "b_strand", "b_start").distinct()
+    return o.select("a_id", "b_strand", F.col("b_start").alias("pos"), F.col("identity").alias("score"), F.struct("b_id", "identity", "a_start", "a_end").alias("id"))
 
 
 @query(

@@ -151,3 +151,34 @@ def test_n_statistics_with_empty_reads(spark):
     assert got == {"count": 5, "total": 8, "max": 6, "min": 0, "n25": 6, "l25": 1, "n50": 6, "l50": 1, "n75": 2, "l75": 2}
     assert length_stats_of(spark, ["", ""], reads.n_statistics) == {"count": 2, "total": 0, "max": 0, "min": 0, **dict.fromkeys(("n25", "l25", "n50", "l50", "n75", "l75"))}
     assert reads.n_statistics(spark.createDataFrame([], "read_id long, seq string")).first()["count"] == 0
+
+
+def plain_best_window(rows, width):
+    out = {}
+    for key in {r[0] for r in rows}:
+        own = sorted((p, t, v) for k, p, t, v in rows if k == key)
+        best = None
+        for i, (p, _, _) in enumerate(own):
+            held = [v for q, _, v in own[: i + 1] if q >= p - width and v is not None]
+            if best is None or sum(held) > best[1]:
+                best = (p, sum(held), len(held))
+        out[key] = best
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_best_window(spark, seed):
+    rng = np.random.default_rng(seed)
+    # negative scores, many rows at one position, none that counts
+    rows = [(int(k), int(p), i, None if v == 5 else int(v)) for i, (k, p, v) in enumerate(zip(rng.integers(0, 4, 300), rng.integers(0, 40, 300), rng.integers(-9, 9, 300), strict=True))]
+    df = spark.createDataFrame(rows, "k long, pos long, id long, v long")
+    for width in (0, 3, 25):
+        got = {r.k: (r.end_position, r.score, r.n) for r in I.best_window(df, ["k"], "pos", "v", "id", width).collect()}
+        assert got == plain_best_window(rows, width)
+
+
+def test_best_window_slides_over_no_rows(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4)], "k long, pos long, id long, v long")
+    plan = I.best_window(df, ["k"], "pos", "v", "id")._jdf.queryExecution().optimizedPlan().toString()
+    # frames begin where the partition does: each row is added once
+    assert plan.count("unboundedpreceding") == plan.count("specifiedwindowframe") > 0
