@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.overlap import overhang_masks, overhangs
+from helixframe.plans.store import Store
 from helixframe.schema import MAD_TO_SD, MEAN_DEVIATION_TO_SD
 
 
@@ -141,28 +142,45 @@ def global_limits(info: DataFrame, low: float = 90.0, high: int = 500, identity=
 def local_identity_limits(overlaps: DataFrame, coverage: int = 40, low_coverage: int = 25, least: float = 90.0, deviation=(99.0, 6.0)) -> DataFrame:
     """By read: the identity limit from its best overlaps up to a budget of bases (read_id, identity_limit)."""
     upper = max(2 * low_coverage, int(coverage * 1.5))
-    w = Window.partitionBy("read_id").orderBy((F.col("identity") * F.col("span")).desc(), F.desc("span"), "other_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = read_ends(overlaps).withColumn("__upto", F.sum("span").over(w))
-    budget = rows.groupBy("read_id").agg(F.max("len").alias("__len"), F.sum("span").alias("__all"))
+    score = F.col("identity") * F.col("span")
+    # any order-keeping bins would do; a null score comes last
+    rows = read_ends(overlaps).withColumn("__bin", F.coalesce(F.floor(F.log(F.greatest(score, F.lit(1.0))) * 64), F.lit(-1)))
+    store = Store(overlaps.sparkSession, "budgets")
+    sums = store.keep(rows.groupBy("read_id", "__bin").agg(F.max("len").alias("__len"), F.sum("span").alias("__span")), "sums")
+    budget = sums.groupBy("read_id").agg(F.max("__len").alias("__len"), F.sum("__span").alias("__all"))
+    # a bin is looked at closely where those above it leave some of the budget
+    above = F.coalesce(F.sum("__span").over(Window.partitionBy("read_id").orderBy(F.desc("__bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    most = F.max("__len").over(Window.partitionBy("read_id"))
+    open_ = store.keep(sums.select("read_id", "__bin", (above < upper * most).alias("__open")).where("__open").select("read_id", "__bin"), "open")
+    w = Window.partitionBy("read_id").orderBy(score.desc(), F.desc("span"), "other_id").rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.join(_small(open_), ["read_id", "__bin"], "left_semi").withColumn("__upto", F.sum("span").over(w))
     # the row that reaches the upper budget is left out, and those after it
-    used = rows.where(F.col("__upto") < upper * F.col("len"))
+    used = store.keep(near.where(F.col("__upto") < upper * F.col("len")).select("read_id", "identity", "span"), "used")
     stat = weighted_mad(used, "identity", "span", ["read_id"])
     limit = F.greatest(F.least(F.lit(deviation[0]), "median") - deviation[1] * MAD_TO_SD * F.col("mad"), F.lit(least))
     enough = F.col("__all") >= low_coverage * F.col("__len")
     return budget.join(stat, "read_id", "left").select("read_id", F.when(enough & F.col("median").isNotNull(), limit).otherwise(least).alias("identity_limit"))
 
 
+def _small(written: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``written`` (a pass on disk, so that it is cheap to count), broadcast while it is small."""
+    return F.broadcast(written) if written.count() <= rows else written
+
+
 def local_overhang_limits(hangs: DataFrame, low_count: int = 25, high_count: int = 60, most: int = 500, deviation=(10.0, 6.0)) -> DataFrame:
     """``hangs`` (read_id, overhang, span, other_id) to read_id, overhang_limit; the relatively smallest overhangs decide."""
-    w = Window.partitionBy("read_id")
-    rank = F.row_number().over(w.orderBy(F.col("overhang") / F.col("span"), "overhang", "other_id"))
-    rows = hangs.withColumns({"__rank": rank, "__n": F.count("*").over(w)})
-    used = rows.where((F.col("__n") >= low_count) & (F.col("__rank") <= high_count)).withColumn("overhang", F.col("overhang").cast("double"))
+    # the rank alone, so that each task drops what it knows to come later before it is shuffled
+    rank = F.row_number().over(Window.partitionBy("read_id").orderBy(F.col("overhang") / F.col("span"), "overhang", "other_id"))
+    first = hangs.withColumn("__rank", rank).where(F.col("__rank") <= high_count)
+    store = Store(hangs.sparkSession, "hangs")
+    counts = store.keep(hangs.groupBy("read_id").agg(F.count("*").alias("__n")), "counts")
+    enough = counts.where(F.col("__n") >= low_count).select("read_id")
+    used = store.keep(first.join(enough, "read_id", "left_semi").select("read_id", F.col("overhang").cast("double").alias("overhang"), "span"), "used")
     stat = weighted_mad(used, "overhang", "span", ["read_id"]).join(weighted_mean_deviation(used, "overhang", "span", ["read_id"]), "read_id")
     by_mad = F.greatest(F.lit(deviation[0]), "median") + deviation[1] * MAD_TO_SD * F.col("mad")
     by_mean = F.greatest(F.lit(deviation[0]), "mean") + deviation[1] * MEAN_DEVIATION_TO_SD * F.col("deviation")
     limit = F.least(F.when(F.col("mad") >= 1e-10, by_mad).otherwise(by_mean), F.lit(float(most)))
-    return hangs.select("read_id").distinct().join(stat, "read_id", "left").select("read_id", F.coalesce(limit, F.lit(float(most))).alias("overhang_limit"))
+    return counts.select("read_id").join(stat, "read_id", "left").select("read_id", F.coalesce(limit, F.lit(float(most))).alias("overhang_limit"))
 
 
 def end_hangs(overlaps: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from helixframe.operators import statistics as S
 from helixframe.plans.fixtures import OVERLAPS_SQL, overlaps
 from helixframe.plans.overlap_queries import _OWN, _WEAK, ALEN, ALL, HANGS, WITH, best_sql, dedupe_sql, loc_sql, snap_sql
 from helixframe.plans.statistic_queries import ENDS, INFO, median_sql
+from helixframe.plans.store import Store
 
 QUERIES, SQL = {}, {}
 
@@ -85,7 +86,8 @@ def read_limits(spark, sf):
 @query(f"{WITH}, {read_limits_sql('93.0::DOUBLE', '100.0::DOUBLE')} SELECT {ALL} FROM ({within_sql('k')})")
 def threshold_filter(spark, sf):
     o = overlaps(spark, sf)
-    return O.threshold_filter(o, S.read_limits(o, 93.0, 100))
+    # written, so that Spark knows how few they are and joins them without shuffling overlaps
+    return O.threshold_filter(o, Store(spark, "limits").keep(S.read_limits(o, 93.0, 100), "limits"))
 
 
 _RAW = f"o0 AS ({OVERLAPS_SQL}), o AS (SELECT * FROM o0 WHERE identity >= 70 AND {ALEN} >= 600 AND {loc_sql(100)} <> 'Abnormal')"

@@ -182,3 +182,28 @@ def test_best_window_slides_over_no_rows(spark):
     plan = I.best_window(df, ["k"], "pos", "v", "id")._jdf.queryExecution().optimizedPlan().toString()
     # frames begin where the partition does: each row is added once
     assert plan.count("unboundedpreceding") == plan.count("specifiedwindowframe") > 0
+
+
+def test_identity_limits_look_at_few_bins(spark):
+    from helixframe.operators import statistics as S
+    from helixframe.schema import OVERLAPS
+
+    rng = np.random.default_rng(4)
+    rows = [(0, i, float(rng.integers(60, 100)), 0, 0, int(rng.integers(50, 900)), 1000, 0, 0, 500, 5000) for i in range(1, 3000)]
+    got = {r.read_id: r.identity_limit for r in S.local_identity_limits(spark.createDataFrame(rows, OVERLAPS), 4, 2, 10.0).collect()}
+    # the best overlaps of read 0 within six times its length, by hand
+    best, upto = [], 0
+    for i, span in sorted(((r[2], r[5]) for r in rows), key=lambda x: (-x[0] * x[1], -x[1])):
+        if (upto := upto + span) >= 6 * 1000:
+            break
+        best.append((i, span))
+
+    def median(pairs):
+        half, total = sum(w for _, w in pairs) / 2, 0
+        return next(v for v, w in sorted(pairs) if (total := total + w) >= half)
+
+    middle = median(best)
+    assert got[0] == pytest.approx(max(min(99.0, middle) - 6 * 1.4826 * median([(abs(i - middle), w) for i, w in best]), 10.0))
+    root = [x for x in store._written[spark.sparkContext.applicationId] if "/budgets-" in x][-1]
+    count = lambda n: spark.read.parquet(f"{root}/{n}").where("read_id = 0").count()
+    assert count("002-open") < count("001-sums") / 5
